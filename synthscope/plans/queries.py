@@ -198,7 +198,7 @@ def feature_types(t):
     df = t("events").select(F.when(F.col("event_type") == "click", 1).otherwise(0).alias("is_click"), F.col("event_id").alias("l"), F.col("props").alias("p"), "value")
     found = C.identify_feature_types(df)
     kinds = {c: k for k in ("numeric", "binary", "categorical", "integer") for c in found[k]}
-    return df.limit(1).select(F.explode(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])).alias("name", "kind"))
+    return df.agg(F.count("*")).select(F.explode(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])).alias("name", "kind"))
 
 
 @query(f"SELECT k AS \"column\", n FROM (SELECT {', '.join(f'count({k}) AS {k}' for k in KINDS)} FROM {WIDE}) UNPIVOT (n FOR k IN ({', '.join(KINDS)}))")
@@ -291,11 +291,11 @@ def merged_fit_state(t):
 
 
 def _encoder(t):
-    train = t("customer").where("c_custkey % 2 = 0 and c_mktsegment <> 'BUILDING'")
+    train = t("customer").where("c_mktsegment <> 'BUILDING'")
     return encode.TabularEncoder.fit(train, ["c_acctbal"], [], ["c_mktsegment"])
 
 
-_CODES = "(SELECT c_mktsegment AS v, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING'))"
+_CODES = "(SELECT c_mktsegment AS v, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'))"
 
 
 @query(f"SELECT c_custkey, coalesce(c_acctbal, 0) AS c_acctbal, coalesce(code, 0)::DOUBLE AS c_mktsegment FROM customer LEFT JOIN {_CODES} ON c_mktsegment = v")
@@ -585,9 +585,9 @@ def seed_ci_z(t):
     return results.seed_statistics(_seeds(t), ["cell", "metric"], "value", normal=True)
 
 
-@query("SELECT nt, n_noise FROM (SELECT unnest([1, 2, 3]) AS nt) CROSS JOIN (SELECT unnest([1, 2, 5, 8]) AS n_noise) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 4 + 1 = nt AND o_orderkey % 5 + 1 = n_noise AND o_orderstatus = 'F' AND o_orderkey < 40)")
+@query("SELECT nt, n_noise FROM (SELECT unnest([1, 2, 3]) AS nt) CROSS JOIN (SELECT unnest([1, 2, 5, 8]) AS n_noise) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 4 + 1 = nt AND o_orderkey % 5 + 1 = n_noise AND o_totalprice > 490000)")
 def grid_resume(t):
-    o = t("orders").where("o_orderkey < 40").select((F.col("o_orderkey") % 4 + 1).cast("int").alias("nt"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("n_noise"), F.when(F.col("o_orderstatus") == "F", "").otherwise("failed").alias("error"))
+    o = t("orders").select((F.col("o_orderkey") % 4 + 1).cast("int").alias("nt"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("n_noise"), F.when(F.col("o_totalprice") > 490000, "").otherwise("failed").alias("error"))
     return results.remaining(results.grid(o.sparkSession, [1, 2, 3], [1, 2, 5, 8]), o)
 
 
@@ -678,7 +678,7 @@ def joint_rollout(t):
     """A joint flow fitted on order lines, rolled out for every customer."""
     from ..operators.flow import JointFlow
 
-    table, targets, cond = lag.prepare_autoregressive_data(lines(t).where("id % 16 = 0").select("id", "t", "qty", "disc"), "id", "t")
+    table, targets, cond = lag.prepare_autoregressive_data(lines(t).select("id", "t", "qty", "disc"), "id", "t")
     rows = table.select(F.xxhash64("id", "t").alias("id"), F.array(*targets).alias("x_target"), F.array(*cond).alias("x_cond"))
     model = JointFlow(nt=2, n_noise=1, settings={"maxIter": 3, "maxDepth": 3, "seed": 0}).fit(rows)
     subjects = t("customer").select(F.col("c_custkey").alias("id"), F.array().cast("array<double>").alias("x_static"))
