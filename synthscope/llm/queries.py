@@ -144,4 +144,29 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containme
 
 
 
-ORACLES = {"op2_mixing": _mixing_sql(), "op4_urls": _urls_sql(), "op5_licenses": _licenses_sql(), "op10_decontam": _decontam_sql()}
+def _chat_sql() -> str:
+    """Digests of the turns as they are, and the length of the formatted text; the machine as a pattern over roles."""
+    t = chat.TEMPLATE
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    escaped = lambda c: _nested(c, [("\\", "\\\\"), *[(x, f"\\{k};") for k, x in enumerate(t.controls)]], quote)
+    marks = " ".join(f"WHEN role = {quote(r)} THEN {len(t.before[r]) + len(t.after[r])}" for r in t.before)
+    other = f"{sum(map(len, t.other))} + length({escaped('role')})"
+    letter = "CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END"
+    extra = " UNION ALL ".join(f"SELECT {c}, {n}, {quote(r)}, {quote(x)}" for c, n, r, x in TRICKY)
+    by = "ORDER BY turn NULLS FIRST, role, text"
+    said = f"coalesce(string_agg(text, '' {by}) FILTER (role = 'assistant'), '')"
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {extra}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {by})) AS turns_sha256, length({said})::BIGINT AS loss_chars, sha256({said}) AS loss_sha256,
+  sum(CASE {marks} ELSE {other} END + length({escaped('text')}))::BIGINT AS formatted_chars, regexp_full_match(string_agg({letter}, '' {by}), 's?(ua)+') AS valid
+FROM turns GROUP BY conv_id
+"""
+
+
+def _nested(column: str, pairs: list[tuple[str, str]], quote) -> str:
+    for a, b in pairs:
+        column = f"replace({column}, {quote(a)}, {quote(b)})"
+    return column
+
+
+ORACLES = {"op2_mixing": _mixing_sql(), "op4_urls": _urls_sql(), "op5_licenses": _licenses_sql(), "op6_chat": _chat_sql(), "op10_decontam": _decontam_sql()}
