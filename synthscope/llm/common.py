@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first finds what the driver holds, the second what that held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -319,9 +319,12 @@ def train(texts: list[str]) -> SemiMarkovField:
 
 
 def training_texts(docs: DataFrame, rows: int = SAMPLE) -> list[str]:
-    """At most ``rows`` short stretches around digits and at-signs: a bounded sample in the order of a hash."""
-    cut = F.regexp_extract(F.col("text").cast("string"), r"([^0-9@\n]{0,20}\S*[0-9@][^\n]{0,60})", 1)
-    got = docs.select(cut.alias("t")).where("t <> ''").orderBy(F.xxhash64("t"), "t").limit(rows).collect()
+    """At most ``rows`` short stretches around the first digit or at-sign of a text: a bounded sample in
+    the order of a hash. Each text is read up to that character, once."""
+    text = F.col("text").cast("string")
+    clear = F.length(F.regexp_extract(text, r"\A[^0-9@]*", 0))
+    around = F.substring(text, F.greatest(clear - 19, F.lit(1)), F.lit(100))
+    got = docs.where(clear < F.length(text)).select(around.alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows).collect()
     return [r["t"] for r in got]
 
 

@@ -158,56 +158,59 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, dense
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of the two fingerprints below.
-WIDE = 4
+#: 64-bit words of the two fingerprints below: to search by, and to judge by.
+WIDE, JUDGE = 4, 8
 #: Pivots that each crowded bucket compares its members with in a round.
 PIVOTS = 8
 
 
+_SEARCH, _JUDGE = [f"u{i}" for i in range(WIDE)], [f"s{i}" for i in range(JUDGE)]
+_PRINTS = [*_SEARCH, *_JUDGE]
+
+
 def wide_fingerprint(text: bytes | None, n: int = 5, seed: int = 42) -> list[int]:
-    """Two 256-bit SimHashes of a text: of its set of words (to search by; an edit changes
-    one word but n shingles), and of its n-word shingles (to judge by). Zeros without words."""
+    """Two SimHashes of a text: 256 bits of its set of words (to search by; an edit changes
+    one word but n shingles), and 512 of its n-word shingles (to judge by). Zeros without words."""
     words = (text or b"").lower().split()
     if not words:
-        return [0] * (2 * WIDE)
+        return [0] * (WIDE + JUDGE)
     digest = xxhash.xxh64_intdigest
     single = np.fromiter((digest(w, seed) for w in set(words)), np.uint64)
-    prints = [majority(widened(x, WIDE)) for x in (single, shingle_hashes(words, n, seed))]
+    prints = [majority(widened(single, WIDE)), majority(widened(shingle_hashes(words, n, seed), JUDGE))]
     return [_signed(int(x)) for x in np.concatenate(prints)]
 
 
 def _wide_batches(batches, n: int):
     for batch in batches:
         rows = [wide_fingerprint(t, n) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(2 * WIDE)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *(f"{k}{i}" for k in "us" for i in range(WIDE))])
+        cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(WIDE + JUDGE)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_PRINTS])
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.82, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_id) of every distinct non-null doc_id: near-duplicate groups of whole texts.
 
     Rows are searched by the multi-index over 256-bit SimHashes of their words and linked
-    where the 256-bit SimHashes of their ``words``-word shingles agree in ``similarity`` of
+    where the 512-bit SimHashes of their ``words``-word shingles agree in ``similarity`` of
     the bits or more; group_id is the least doc_id reached. In crowded buckets members are
     compared with pivots, and groups found that way by representatives, round by round until
     a round links nothing more. Blank and null texts form one group; the rows of a repeated
     doc_id with different texts join their groups; an empty table gives no rows.
     """
-    cols = [f"{k}{i}" for k in "us" for i in range(WIDE)]
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in cols)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _PRINTS)
     prints = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(partial(_wide_batches, n=words), schema))
-    nodes = stored(prints.groupBy(*cols).agg(F.min("doc_id").alias("node")).groupBy("node").agg(*[F.min(c).alias(c) for c in cols]))
-    judge = nodes.select("node", *[f"s{i}" for i in range(WIDE)])
-    limit = int(64 * WIDE * (1 - similarity) + 1e-9)
+    nodes = stored(prints.groupBy(*_PRINTS).agg(F.min("doc_id").alias("node")))
+    judge = nodes.select("node", *_JUDGE)
+    limit = int(64 * JUDGE * (1 - similarity) + 1e-9)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = judge.select(F.col("node").alias("a"), *[F.col(f"s{i}").alias(f"x{i}") for i in range(WIDE)])
-        b = judge.select(F.col("node").alias("b"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(WIDE)])
-        differing = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(WIDE)), F.lit(0))
+        a = judge.select(F.col("node").alias("a"), *[F.col(c).alias(f"x_{c}") for c in _JUDGE])
+        b = judge.select(F.col("node").alias("b"), *[F.col(c).alias(f"y_{c}") for c in _JUDGE])
+        differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _JUDGE), F.lit(0))
         return pairs.join(a, "a").join(b, "b").where(differing <= limit).select("a", "b")
 
-    same = prints.join(nodes, cols).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    pairs, crowded, _ = candidates(nodes, "node", [f"u{i}" for i in range(WIDE)], 1, dense)
+    same = prints.join(nodes, _PRINTS).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    pairs, crowded, _ = candidates(nodes, "node", _SEARCH, 1, dense)
     links = verified(pairs).union(same)
     found = connected_components(links)
     if not crowded.isEmpty():

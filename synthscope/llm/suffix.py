@@ -304,35 +304,49 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, pos, mask): anchors with at least one 50-byte window that also occurs in a document with a
-    smaller doc_id. ``tid`` tells the texts of a repeated doc_id apart."""
-    spark = docs.sparkSession
-    texts = _texts(docs)
+def _shared_anchors(texts: DataFrame) -> DataFrame:
+    """(doc_id, tid, places): positions of anchors whose hash occurs in two documents."""
     found = texts.where("doc_id is not null").mapInArrow(_anchor_batches, "h long, doc_id long, tid long, pos int")
     same = W.partitionBy("h")
     shared = found.select("doc_id", "tid", "pos", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low < high")
-    marks = stored(shared.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places")))
-    release(spark)
+    return stored(shared.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places")))
+
 
-    def contexts(places: DataFrame, ship: bool, schema: str) -> DataFrame:
-        # rows that repeat a text of a doc_id give the same anchors again, which count once
-        joined = texts.where("doc_id is not null").join(places, ["doc_id", "tid"]).select("doc_id", "tid", F.encode("text", "UTF-8").alias("text"), "places")
-        return joined.mapInArrow(partial(_context_batches, ship=ship), schema)
+def _contexts(texts: DataFrame, places: DataFrame, ship: bool, schema: str) -> DataFrame:
+    # rows that repeat a text of a doc_id give the same anchors again, which count once
+    joined = texts.where("doc_id is not null").join(places, ["doc_id", "tid"]).select("doc_id", "tid", F.encode("text", "UTF-8").alias("text"), "places")
+    return joined.mapInArrow(partial(_context_batches, ship=ship), schema)
 
-    keyed = contexts(marks, False, "h long, c long, doc_id long, tid long, pos int").repartition("h")
+
+def _judged_anchors(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, tid, pos, whole): anchors that a smaller document has with their whole context, and
+    those of strings with several contexts. The others have nothing to lose."""
+    keyed = _contexts(texts, marks, False, "h long, c long, doc_id long, tid long, pos int").repartition("h")
     by_context, by_string = W.partitionBy("h", "c"), W.partitionBy("h")
-    judged = keyed.withColumn("owner", F.min("doc_id").over(by_context)).select("doc_id", "tid", "pos", (F.col("owner") < F.col("doc_id")).alias("whole"), F.min("c").over(by_string).alias("c0"), F.max("c").over(by_string).alias("c1"), F.min("doc_id").over(by_string).alias("low"))
-    # an anchor of the least document of its string has nothing to lose, but others compare with it
-    judged = stored(judged.where("whole or c0 <> c1").select("doc_id", "tid", "pos", "whole"))
-    release(spark)
+    judged = keyed.withColumn("owner", F.min("doc_id").over(by_context)).select("doc_id", "tid", "pos", (F.col("owner") < F.col("doc_id")).alias("whole"), F.min("c").over(by_string).alias("c0"), F.max("c").over(by_string).alias("c1"))
+    return stored(judged.where("whole or c0 <> c1").select("doc_id", "tid", "pos", "whole"))
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, pos, mask): anchors with at least one 50-byte window that also occurs in a document with a
+    smaller doc_id. ``tid`` tells the texts of a repeated doc_id apart. Shuffle files of a step
+    go once its result is stored."""
+    texts = _texts(docs)
+    marks = _shared_anchors(texts)
+    release(docs.sparkSession)
+    judged = _judged_anchors(texts, marks)
+    release(docs.sparkSession)
     open_places = judged.where("not whole").groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places"))
-    rows = contexts(open_places, True, "h long, doc_id long, tid long, pos int, suffix binary, prefix binary, after int")
-    sorted_rows = rows.repartition("h").sortWithinPartitions("h")
-    partly = sorted_rows.mapInArrow(_mask_batches, "doc_id long, tid long, pos int, mask long").where("mask <> 0")
+    rows = _contexts(texts, open_places, True, "h long, doc_id long, tid long, pos int, suffix binary, prefix binary, after int")
+    partly = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_mask_batches, "doc_id long, tid long, pos int, mask long").where("mask <> 0")
     return judged.where("whole").select("doc_id", "tid", "pos", F.lit(WHOLE).cast("long").alias("mask")).union(partly)
 
 
+def _cuts(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, cuts): the anchors and masks of each document that loses something."""
+    return stored(repeated_windows(docs).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("pos", "mask")).alias("cuts")))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -340,7 +354,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeat a doc_id do not count against each other; texts under 50 bytes stay whole; other
     columns are ignored; an empty table gives no rows.
     """
-    cuts = stored(repeated_windows(docs).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("pos", "mask")).alias("cuts")))
+    cuts = _cuts(docs)
     release(docs.sparkSession)
     joined = _texts(docs).join(cuts, ["doc_id", "tid"], "left")
     return joined.select("doc_id", "text", F.col("cuts.pos").alias("places"), F.col("cuts.mask").alias("masks")).mapInArrow(_result_batches, RESULT)
