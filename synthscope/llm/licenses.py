@@ -3,7 +3,7 @@
 Native expressions only. Templates are few and short, so they are literals of the plan. A
 line is compared with a template only if its number of bigrams lies within the bounds that
 the Dice threshold allows, and if it holds one of the few bigrams of the template that no
-match can do without.
+match can do without; one regular expression over those drops the other lines first.
 """
 
 from __future__ import annotations
@@ -62,13 +62,16 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     bounds = {name: size_bounds(len(g), threshold) for name, g in known.items()}
     # of each template, as many bigrams as a match must share at least one of
     needed = {name: g[: len(g) - ceil(threshold / 2 * (len(g) + bounds[name][0]) - 1e-9) + 1] for name, g in known.items()}
-    pivot = "|".join(sorted({re.escape(w) for g in needed.values() for gram in g for w in gram.split()[:1]}))
+    grams_needed = sorted({gram for g in needed.values() for gram in g})
+    initials = "".join(sorted({gram[0] for gram in grams_needed}))
+    pivot = "|".join(gram.replace(" ", "[^a-z0-9]+") for gram in grams_needed)  # the words next to each other, whatever stands between
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "line"))
-    lines = lines.where(F.col("line").rlike(rf"(?i)(?<![a-z0-9])(?:{pivot})(?![a-z0-9])"))
-    words = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), line_words(F.col("line")).alias("w"))
+    lines = lines.where(F.col("line").rlike(rf"(?i)(?=[{initials}])(?<![a-z0-9])(?:{pivot})(?![a-z0-9])"))
+    # each step's value is generated as a row of its own, or the planner would repeat its expression wherever the next step names it
+    words = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.explode(F.array(line_words(F.col("line")))).alias("w"))
     pairs = F.when(F.size("w") > 1, F.array_distinct(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.col("w"))
     low, high = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    grams = words.where(F.size("w") > 0).where(F.size("w") >= low).select("doc_id", "line_no", pairs.alias("g")).where(F.size("g").between(low, high))
+    grams = words.where(F.size("w") > 0).where(F.size("w") >= low).select("doc_id", "line_no", F.explode(F.array(pairs)).alias("g")).where(F.size("g").between(low, high))
     scores = []
     for name, own in known.items():
         own_grams = F.array(*[F.lit(g) for g in own])
@@ -76,4 +79,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
         fits = F.size("g").between(*bounds[name]) & F.arrays_overlap("g", F.array(*[F.lit(g) for g in needed[name]]))
         scores.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
     best = F.aggregate(F.array(*scores), scores[0] if len(scores) == 1 else F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
-    return grams.select("doc_id", "line_no", best.alias("b")).where(F.col("b.dice") >= threshold - 1e-12).select("doc_id", "line_no", "b.license", "b.dice")
+    return grams.select("doc_id", "line_no", F.explode(F.array(best)).alias("b")).where(F.col("b.dice") >= threshold - 1e-12).select("doc_id", "line_no", "b.license", "b.dice")
