@@ -5,6 +5,9 @@ values; a probe enumerates the small Hamming ball around each of its own segment
 fetches what the table has there and checks the complete distance. If two fingerprints
 differ in at most ``d`` bits, one of ``m`` segments differs in at most ``d // m``, so the
 balls miss nothing.
+
+Near duplicates by shingle similarity are searched by banded min-hashes instead, and checked
+on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -158,83 +161,117 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, dense
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of the two fingerprints below: to search by, and to judge by.
-WIDE, JUDGE = 4, 8
-#: Pivots that each crowded bucket compares its members with in a round.
-PIVOTS = 8
+#: Search keys of a text: bands of min-hashes of its shingles. Two texts of Jaccard similarity
+#: 0.8 share none of the 24 keys with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
+BANDS, ROWS = 24, 5
+#: Pivots that each crowded bucket compares its members with before the finer search, and rounds of it.
+PIVOTS, TURNS = 2, 2
 
 
-_SEARCH, _JUDGE = [f"u{i}" for i in range(WIDE)], [f"s{i}" for i in range(JUDGE)]
-_PRINTS = [*_SEARCH, *_JUDGE]
+def shingle_set(text: bytes | None, n: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes, in order, of a text's n-word shingles; none for a text without words."""
+    words = (text or b"").lower().split()
+    return np.unique(shingle_hashes(words, n, seed)) if words else np.zeros(0, np.uint64)
 
 
-def wide_fingerprint(text: bytes | None, n: int = 5, seed: int = 42) -> list[int]:
-    """Two SimHashes of a text: 256 bits of its set of words (to search by; an edit changes
-    one word but n shingles), and 512 of its n-word shingles (to judge by). Zeros without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return [0] * (WIDE + JUDGE)
-    digest = xxhash.xxh64_intdigest
-    single = np.fromiter((digest(w, seed) for w in set(words)), np.uint64)
-    prints = [majority(widened(single, WIDE)), majority(widened(shingle_hashes(words, n, seed), JUDGE))]
-    return [_signed(int(x)) for x in np.concatenate(prints)]
+def _set_id(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
+
 
+def band_keys(shingles: np.ndarray, bands: int, rows: int, salt: int = 0) -> np.ndarray:
+    """One long a band: the hash of the band's number and its min-hashes over the shingles."""
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        low = np.minimum(low, widened(shingles[at : at + 1024] ^ np.uint64(salt), bands * rows).min(axis=0))
+    return np.array([_signed(xxhash.xxh64_intdigest(b.tobytes(), i)) for i, b in enumerate(low.reshape(bands, rows))], np.int64)
 
-def _wide_batches(batches, n: int):
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *[r.view(np.int64) for r in rows]])))
+
+
+def _key_batches(batches, n: int):
     for batch in batches:
-        rows = [wide_fingerprint(t, n) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(WIDE + JUDGE)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_PRINTS])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [shingle_set(t, n) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            cols = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), _lists([band_keys(s, BANDS, ROWS) if len(s) else s for s in sets])]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "node", "size", "keys"])
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.82, dense: int = DENSE) -> DataFrame:
+def _set_batches(batches, n: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            sets = [shingle_set(t, n) for t in batch.column(0).slice(at, 500).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
+
+
+def _text_links(docs: DataFrame, words: int, similarity: float, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, node) of the rows with a doc_id, where a node is a distinct set of
+    shingles, and links (a, b) of nodes whose sets have Jaccard similarity ``similarity`` or
+    more, enough of them to connect all that such pairs connect."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    prints = stored(texts.mapInArrow(partial(_key_batches, n=words), "doc_id long, node long, size int, keys array<long>"))
+    table = stored(prints.select("node", "size", F.explode("keys").alias("key")).distinct())
+    full = stored(table.groupBy("key").count().where(F.col("count") > dense).select("key"))
+    crowded = stored(table.join(full, "key", "left_semi"))
+    alike = F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9
+    some = table.join(full, "key", "left_anti")
+    left, right = some.select("key", F.col("node").alias("a"), F.col("size").alias("x")), some.select("key", F.col("node").alias("b"), F.col("size").alias("y"))
+    sparse = stored(left.join(right, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct())
+
+    needed = sparse.select(F.col("a").alias("node")).union(sparse.select("b")).union(crowded.select("node")).distinct()
+    holders = prints.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    held = texts.join(holders.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    sets = stored(held.mapInArrow(partial(_set_batches, n=words), "node long, shingles array<long>").join(needed, "node", "left_semi").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return stored(pairs.join(a, "a").join(b, "b").where(both >= (F.size("x") + F.size("y") - both) * similarity - 1e-9).select("a", "b"))
+
+    def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+        return members.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of buckets with several groups, and of those the ones outside the bucket's largest group."""
+        major = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n")).where("n > 1").select("key", "major")
+        mixed = stored(members.join(major, "key"))
+        return mixed, mixed.where("root <> major")
+
+    links = verified(sparse)
+    if crowded.isEmpty():
+        return prints, links
+    for turn in range(TURNS):  # links most of a large group at a cost linear in its size
+        mixed, outer = split(rooted(crowded, links))
+        chosen = F.array_distinct(F.array(*[F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]))
+        pivots = (mixed if turn == 0 else outer).groupBy("key").agg(chosen.alias("p")).select("key", F.explode("p").alias("p"))
+        met = mixed.join(pivots, "key").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("size").alias("x"), F.col("p.size").alias("y"), (F.col("root") != F.col("p.root")).alias("apart"))
+        links = links.union(verified(met.where(F.col("apart") & alike).select("a", "b").distinct()))
+    return prints, links
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_id) of every distinct non-null doc_id: near-duplicate groups of whole texts.
 
-    Rows are searched by the multi-index over 256-bit SimHashes of their words and linked
-    where the 512-bit SimHashes of their ``words``-word shingles agree in ``similarity`` of
-    the bits or more; group_id is the least doc_id reached. In crowded buckets members are
-    compared with pivots, and groups found that way by representatives, round by round until
-    a round links nothing more. Blank and null texts form one group; the rows of a repeated
-    doc_id with different texts join their groups; an empty table gives no rows.
+    Texts are linked where the Jaccard similarity of their sets of ``words``-word shingles is
+    ``similarity`` or more, computed from the sets; pairs are found by banded min-hashes. group_id is the least doc_id reached.
+    Blank and null texts form one group; the rows of a repeated doc_id with different texts
+    join their groups; an empty table gives no rows.
     """
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _PRINTS)
-    prints = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(partial(_wide_batches, n=words), schema))
-    nodes = stored(prints.groupBy(*_PRINTS).agg(F.min("doc_id").alias("node")))
-    judge = nodes.select("node", *_JUDGE)
-    limit = int(64 * JUDGE * (1 - similarity) + 1e-9)
+    prints, links = _text_links(docs, words, similarity, dense)
+    rows = prints.select("doc_id", "node").distinct()
+    shared = rows.groupBy("doc_id").agg(F.min("node").alias("a")).join(rows, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    rows = rows.join(connected_components(links.union(shared)), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return rows.join(groups, "root").select("doc_id", "group_id").distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = judge.select(F.col("node").alias("a"), *[F.col(c).alias(f"x_{c}") for c in _JUDGE])
-        b = judge.select(F.col("node").alias("b"), *[F.col(c).alias(f"y_{c}") for c in _JUDGE])
-        differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _JUDGE), F.lit(0))
-        return pairs.join(a, "a").join(b, "b").where(differing <= limit).select("a", "b")
-
-    same = prints.join(nodes, _PRINTS).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    pairs, crowded, _ = candidates(nodes, "node", _SEARCH, 1, dense)
-    links = verified(pairs).union(same)
-    found = connected_components(links)
-    if not crowded.isEmpty():
-        links = stored(links)
-        turn = 0
-        while True:
-            root = F.coalesce("root", "node")
-            members = crowded.join(found, "node", "left").select("seg", "val", root.alias("node")).distinct()
-            pivots = members.groupBy("seg", "val").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)])).alias("pivots"), F.count("*").alias("n")).where("n > 1")
-            met = members.join(pivots, ["seg", "val"]).select("node", F.explode("pivots").alias("p")).where("node <> p")
-            new = stored(verified(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()))
-            if new.isEmpty():
-                break
-            links = links.union(new)
-            found = connected_components(links)
-            turn += 1
-    ids = prints.select("doc_id").distinct()
-    return ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.82) -> DataFrame:
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its near-duplicate group, one row per doc_id;
     rows without a doc_id stay, since nothing can name them."""
     groups = near_duplicate_groups(docs, words, similarity)
     first = groups.where("doc_id = group_id").select("doc_id")
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

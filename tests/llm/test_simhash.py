@@ -85,3 +85,37 @@ def test_near_duplicates(spark):
 def test_empty(no_docs):
     assert simhash.simhash_components(no_docs).collect() == []
     assert simhash.drop_near_duplicates(no_docs).collect() == []
+
+
+def exact_shingles(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def exact_jaccard(a, b):
+    one, two = exact_shingles(a), exact_shingles(b)
+    return len(one & two) / len(one | two)
+
+
+def exact_pairs(texts):
+    sets = {d: exact_shingles(t) for d, t in texts.items()}
+    return [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_near_duplicates_of_every_kind_of_edit(spark):
+    rng = random.Random(31)
+    make = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(60):
+        words = make(200 + 20 * k)
+        n = len(words)
+        edits = [words + make(n * 22 // 100), make(n * 22 // 100) + words, words[: n * 83 // 100], words[n * 17 // 100 :], words[: n // 2] + make(n * 20 // 100) + words[n // 2 :]]
+        rows.append((10 * k, " ".join(words)))
+        for j, edit in enumerate(edits, 1):
+            if exact_jaccard(" ".join(words), " ".join(edit)) >= 0.8:
+                rows.append((10 * k + j, " ".join(edit)))
+                pairs.append((10 * k, 10 * k + j))
+    assert len(pairs) > 250
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [p for p in pairs if got[p[1]] != got[p[0]]] == []
+    assert len(set(got.values())) == 60
