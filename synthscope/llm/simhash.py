@@ -164,6 +164,8 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, dense
 #: Search keys of a text: bands of min-hashes of its shingles. Two texts of Jaccard similarity
 #: 0.8 share none of the 24 keys with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
 BANDS, ROWS = 24, 5
+#: Finer keys for members of crowded buckets: (1 - 0.8 ** 10) ** 100 = 1.2e-5 at 0.8.
+FINE_BANDS, FINE_ROWS = 100, 10
 #: Pivots that each crowded bucket compares its members with before the finer search, and rounds of it.
 PIVOTS, TURNS = 2, 2
 
@@ -207,6 +209,14 @@ def _set_batches(batches, n: int):
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
 
 
+def _fine_batches(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            keys = [band_keys(np.array(s.as_py(), np.int64).view(np.uint64), FINE_BANDS, FINE_ROWS, salt=0x5DEECE66D) for s in part.column(3)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(keys)], names=["node", "size", "root", "keys"])
+
+
 def _text_links(docs: DataFrame, words: int, similarity: float, dense: int) -> tuple[DataFrame, DataFrame]:
     """Stored rows (doc_id, node) of the rows with a doc_id, where a node is a distinct set of
     shingles, and links (a, b) of nodes whose sets have Jaccard similarity ``similarity`` or
@@ -249,14 +259,22 @@ def _text_links(docs: DataFrame, words: int, similarity: float, dense: int) -> t
         pivots = (mixed if turn == 0 else outer).groupBy("key").agg(chosen.alias("p")).select("key", F.explode("p").alias("p"))
         met = mixed.join(pivots, "key").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("size").alias("x"), F.col("p.size").alias("y"), (F.col("root") != F.col("p.root")).alias("apart"))
         links = links.union(verified(met.where(F.col("apart") & alike).select("a", "b").distinct()))
-    return prints, links
+    # every pair of different groups that meets in a finer bucket
+    members = rooted(crowded.select("node", "size").distinct(), links).join(sets, "node").select("node", "size", "root", "shingles")
+    fine = stored(members.mapInArrow(_fine_batches, "node long, size int, root long, keys array<long>").select("node", "size", "root", F.explode("keys").alias("key")))
+    mixed, outer = split(fine)
+    left = outer.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("ra"))
+    right = mixed.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("in_major"))
+    met = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_major") | (F.col("a") < F.col("b"))) & alike)
+    return prints, links.union(verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_id) of every distinct non-null doc_id: near-duplicate groups of whole texts.
 
     Texts are linked where the Jaccard similarity of their sets of ``words``-word shingles is
-    ``similarity`` or more, computed from the sets; pairs are found by banded min-hashes. group_id is the least doc_id reached.
+    ``similarity`` or more, computed from the sets; pairs are found by banded min-hashes,
+    members of crowded buckets again by finer ones. group_id is the least doc_id reached.
     Blank and null texts form one group; the rows of a repeated doc_id with different texts
     join their groups; an empty table gives no rows.
     """

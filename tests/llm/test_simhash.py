@@ -119,3 +119,30 @@ def test_near_duplicates_of_every_kind_of_edit(spark):
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [p for p in pairs if got[p[1]] != got[p[0]]] == []
     assert len(set(got.values())) == 60
+
+
+def test_crowded_buckets_are_searched_in_full(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(200)]
+    template, rows = [f"t{k}" for k in range(60)], []
+    for k in range(150):  # one template, one vocabulary
+        own = vocabulary[:]
+        rng.shuffle(own)
+        rows.append((k, " ".join(template + own[:25])))
+    for k in range(10):
+        words = rows[k][1].split()
+        rows.append((1000 + k, " ".join([*words[:-1], "changed"])))
+    words = vocabulary[:150]
+    for k in range(2000, 2300):  # one set of words
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        if k < 2010:
+            rows.append((k + 1000, " ".join([*words[:-2], words[-1], words[-2]])))
+    texts = dict(rows)
+    want = exact_pairs(texts)
+    assert len(want) >= 20
+    root = slow_components(texts, want)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(frame, dense=16).collect()}
+    assert [p for p in want if got[p[0]] != got[p[1]]] == []
+    assert got == root
