@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .graph import connected_components
@@ -217,6 +218,12 @@ def _fine_batches(batches):
             yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(keys)], names=["node", "size", "root", "keys"])
 
 
+def _node_batches(batches, at: int, n: int):
+    for batch in batches:
+        ids = [_set_id(shingle_set(t, n)) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*batch.schema.names, "_node"])
+
+
 def _text_links(docs: DataFrame, words: int, similarity: float, dense: int) -> tuple[DataFrame, DataFrame]:
     """Stored rows (doc_id, node) of the rows with a doc_id, where a node is a distinct set of
     shingles, and links (a, b) of nodes whose sets have Jaccard similarity ``similarity`` or
@@ -286,10 +293,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     return rows.join(groups, "root").select("doc_id", "group_id").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its near-duplicate group, one row per doc_id;
-    rows without a doc_id stay, since nothing can name them."""
-    groups = near_duplicate_groups(docs, words, similarity)
-    first = groups.where("doc_id = group_id").select("doc_id")
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
+    """Of each group of near-duplicate texts the row with the least doc_id. Unrelated texts under
+    one doc_id are judged each by itself; rows without a doc_id stay, since nothing can name them."""
+    prints, links = _text_links(docs, words, similarity, dense)
+    rows = prints.select("doc_id", "node").distinct().join(connected_components(links), "node", "left")
+    first = stored(rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("f")).select("f.doc_id", F.col("f.node").alias("_node")))
+    several = stored(prints.select("doc_id", "node").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    named = docs.where("doc_id is not null")
+    plain = named.join(first.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    mixed = named.join(several, "doc_id", "left_semi").select(*docs.columns)
+    told = mixed.mapInArrow(partial(_node_batches, at=docs.columns.index("text"), n=words), T.StructType([*mixed.schema.fields, T.StructField("_node", T.LongType())]))
+    told = told.join(first, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"])
+    return plain.select(*docs.columns).unionByName(told.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -146,3 +146,25 @@ def test_crowded_buckets_are_searched_in_full(spark):
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(frame, dense=16).collect()}
     assert [p for p in want if got[p[0]] != got[p[1]]] == []
     assert got == root
+
+
+def test_only_texts_within_the_limit_are_linked(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        own = list(words)
+        for at in rng.sample(range(10, 290), 9):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(own))]
+    rows += [(2000, "a line that comes again and again " * 300 + " ".join(f"x{i}" for i in range(40))), (2001, "a line that comes again and again " * 300 + " ".join(f"y{i}" for i in range(40)))]
+    texts = dict(rows)
+    root = slow_components(texts, exact_pairs(texts))
+    got = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == root
+
+
+def test_unrelated_texts_of_one_id_are_judged_each(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    frame = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, b), (4, a)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(frame).collect()) == [(1, a), (2, b)]
