@@ -556,7 +556,7 @@ def row_utility(t):
 def sequence_utility(t):
     real, synth = real_synth(t)
     label = lambda d: d.groupBy("id").agg((F.max("price") > 90000).cast("int").alias("label"))
-    return utility.evaluate_sequence_task("order_price", synth, real, label, "id", "t", ["price"], max_len=6)
+    return utility.evaluate_sequence_task("order_price", synth, real, label, "id", "t", ["price"])
 
 
 # --- result tables ---------------------------------------------------------------------------------------------
@@ -680,9 +680,9 @@ def joint_rollout(t):
 
     table, targets, cond = lag.prepare_autoregressive_data(lines(t).select("id", "t", "qty", "disc"), "id", "t")
     rows = table.select(F.xxhash64("id", "t").alias("id"), F.array(*targets).alias("x_target"), F.array(*cond).alias("x_cond"))
-    model = JointFlow(nt=2, n_noise=1, settings={"maxIter": 3, "maxDepth": 3, "seed": 0}).fit(rows)
+    model = JointFlow().fit(rows)
     subjects = t("customer").select(F.col("c_custkey").alias("id"), F.array().cast("array<double>").alias("x_static"))
-    return rollout.rollout(model, subjects, steps=6).select("id", "step", F.get("x", 0).alias("qty"), F.get("x", 1).alias("disc"))
+    return rollout.rollout(model, subjects).select("id", "step", F.get("x", 0).alias("qty"), F.get("x", 1).alias("disc"))
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS bal_lag1, -1.0::DOUBLE AS other_lag1, c_nationkey::DOUBLE AS nation FROM customer")

@@ -39,3 +39,16 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_is_known():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_sequences_keep_every_line(spark, duck, monkeypatch):
+    lengths, vectorise = [], queries.utility.vectorise
+    monkeypatch.setattr(queries.utility, "vectorise", lambda seqs, n, width: lengths.append(n) or vectorise(seqs, n, width))
+    assert queries.QUERIES["sequence_utility"](spark, DATA).count() == 2
+    assert set(lengths) == {duck.execute("SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)").fetchone()[0]}
+
+
+def test_joint_rollout_takes_the_default_steps(spark, duck):
+    got = queries.QUERIES["joint_rollout"](spark, DATA).groupBy("id").count().collect()
+    assert len(got) == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+    assert {r["count"] for r in got} == {48}
