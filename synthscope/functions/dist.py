@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 
 from .columns import valid_common_numeric_columns
 
-#: Ranges that each column's values are cut into for running sums.
-BINS = 1024
+#: Ranges with about as many values each that a column is cut into for running sums.
+BINS = 128
 
 
 def running_sums(counts: DataFrame, key: str, value: str, sums: Sequence[str]) -> DataFrame:
     """``counts`` (one row a key and value) with ``cum_<s>`` of each sum up to and with the value, in the order of values
     within the key, and ``next``, the value that follows.
 
-    A key with very many values is not one task's work: values are cut into ranges of equal
-    width, summed within each range, and the few range totals are summed in turn.
+    A key with very many values is not one task's work: values are cut into ranges at
+    approximate quantiles, so skewed values too, summed within each range, and the few range
+    totals are summed in turn.
     """
-    finite = F.when(F.abs(F.col(value)) < float("inf"), F.col(value))
-    ends = counts.groupBy(key).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"))
-    width = F.col("__hi") - F.col("__lo")
-    bin_ = F.when(F.col(value) == float("inf"), BINS + 1).when(F.col(value) == float("-inf"), -1).when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width * BINS), F.lit(BINS))).otherwise(0)
-    cut = counts.join(ends, key).withColumn("__bin", bin_.cast("int")).drop("__lo", "__hi")
+    ends = counts.groupBy(key).agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 10 * BINS).alias("__ends"))
+    bin_ = F.size(F.filter("__ends", lambda x: x < F.col(value)))
+    cut = counts.join(ends, key).withColumn("__bin", bin_).drop("__ends")
     by_key = W.partitionBy(key).orderBy("__bin")
     before = by_key.rowsBetween(W.unboundedPreceding, -1)
     totals = cut.groupBy(key, "__bin").agg(F.min(value).alias("__first"), *[F.sum(s).alias(f"__{s}") for s in sums])
@@ -88,6 +87,34 @@ def js_distance(real: DataFrame, synth: DataFrame, names: Sequence[str]) -> Data
     return category_shares(real, synth, names).groupBy("column").agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(part(F.col("p"))) + 0.5 * F.sum(part(F.col("q"))))).alias("js"))
 
 
+def order_statistics(counts: DataFrame, key: str, value: str, n: str, fractions: Sequence[float]) -> DataFrame:
+    """(key, n, q0, q1, ...): exact percentiles, interpolated between neighbours, from rows (key, value, n) of distinct values.
+
+    Ranks come from running sums over ranges of values, so no task holds a column's values.
+    """
+    cum = running_sums(counts.select(key, F.col(value).cast("double").alias("__v"), F.col(n).alias("__n")), key, "__v", ["__n"])
+    totals = counts.groupBy(key).agg(F.sum(n).alias("__total"))
+    place = [F.lit(float(f)) * (F.col("__total") - 1) for f in fractions]
+    at = lambda k: F.min(F.when(F.col("cum___n") > k, F.col("__v")))
+    ends = cum.join(totals, key).groupBy(key, "__total").agg(*[x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"__a{i}"), at(F.ceil(p)).alias(f"__b{i}"))])
+    between = lambda i, p: (F.col(f"__a{i}") + (p - F.floor(p)) * F.when(F.col(f"__b{i}") != F.col(f"__a{i}"), F.col(f"__b{i}") - F.col(f"__a{i}")).otherwise(0.0)).alias(f"q{i}")
+    return ends.select(key, F.col("__total").alias("n"), *[between(i, p) for i, p in enumerate(place)])
+
+
+def quantiles(df: DataFrame, names: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """(column, n, q0, q1, ...) of the values that are there, all columns in one pass; no row for a column without values."""
+    counts = _long(df, names, 0).groupBy("column", "value").agg(F.sum("r").alias("n"))
+    return order_statistics(counts, "column", "value", "n", fractions)
+
+
+def grouped_quantiles(df: DataFrame, key: str, value: str, fractions: Sequence[float]) -> DataFrame:
+    """(key, n, q0, q1, ...) of a value by group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    return order_statistics(counts, key, value, "n", fractions)
+
+
 def summarise(values: DataFrame, name: str) -> DataFrame:
     """One row: mean, median, 95th percentile and number of a column's values."""
-    return values.agg(F.avg(name).alias("mean"), F.median(name).alias("median"), F.percentile(name, 0.95).alias("p95"), F.count(name).alias("n"))
+    ends = quantiles(values.select(F.col(name).cast("double").alias("v")), ["v"], [0.5, 0.95])
+    whole = values.agg(F.avg(name).alias("mean"), F.count(name).alias("n"))
+    return whole.join(ends.select(F.col("q0").alias("median"), F.col("q1").alias("p95")), F.lit(True), "left").select("mean", "median", "p95", "n")  # single rows

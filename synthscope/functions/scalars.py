@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -38,11 +37,6 @@ def normalise_text(c: Column, unknown: str = "Unknown") -> Column:
     return F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(unknown))
 
 
-def bucket_rare(c: Column, min_count: int = 50, other: str = "OTHER") -> Column:
-    """Values with fewer than ``min_count`` rows become ``other``."""
-    return F.when(F.count("*").over(W.partitionBy(c)) < min_count, F.lit(other)).otherwise(c)
-
-
 def bin_by_edges(c: Column, edges: Sequence[float] = (2.0, 7.0)) -> Column:
     """Number of edges that a value has reached; null stays null."""
     return F.when(c.isNull(), F.lit(None)).otherwise(sum((F.when(c >= e, 1).otherwise(0) for e in edges), F.lit(0))).cast("int")

@@ -29,9 +29,17 @@ def merge_states(*states: DataFrame) -> DataFrame:
 
 
 def codes_of(state: DataFrame) -> DataFrame:
-    """(col, value, code): 0, 1, ... in the order of values, the null marker first."""
-    w = W.partitionBy("col").orderBy((F.col("value") != NULL).cast("int"), "value")
-    return state.select("col", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    """(col, value, code): 0, 1, ... in the order of values, the null marker first.
+
+    Values are numbered within those that begin alike, and what comes before these is a sum
+    over their counts, so a column of very many values is not one task's work.
+    """
+    placed = state.select("col", "value", F.when(F.col("value") == NULL, "").otherwise(F.concat(F.lit("+"), F.substring("value", 1, 3))).alias("__begin"))
+    counts = placed.groupBy("col", "__begin").agg(F.count("*").alias("__c"))
+    before = W.partitionBy("col").orderBy("__begin").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("col", "__begin", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("col", "__begin").orderBy("value"))
+    return placed.withColumn("__i", inside).join(offsets, ["col", "__begin"]).select("col", "value", (F.col("__before") + F.col("__i") - 1).cast("int").alias("code"))
 
 
 @dataclass

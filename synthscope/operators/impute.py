@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dist import quantiles
 from ..functions.scalars import clean
 
 
@@ -23,21 +24,21 @@ def forward_fill(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]
 
 def backward_fill(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
     """The next known value of the same entity (never of another one)."""
-    w = W.partitionBy(id_col).orderBy(time_col).rowsBetween(0, W.unboundedFollowing)
-    return _replaced(df, {c: F.first(F.col(f"`{c}`"), ignorenulls=True).over(w) for c in names})
+    w = W.partitionBy(id_col).orderBy(F.col(time_col).desc()).rowsBetween(W.unboundedPreceding, 0)
+    return _replaced(df, {c: F.last(F.col(f"`{c}`"), ignorenulls=True).over(w) for c in names})
 
 
 def fill_both_ways(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
-    """Forward, then backward fill, in one pass over the sorted entity."""
+    """Forward, then backward fill: one shuffle, the entity sorted both ways, so that either frame only ever grows."""
     back = W.partitionBy(id_col).orderBy(time_col).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(id_col).orderBy(time_col).rowsBetween(0, W.unboundedFollowing)
-    return _replaced(df, {c: F.coalesce(F.last(F.col(f"`{c}`"), True).over(back), F.first(F.col(f"`{c}`"), True).over(ahead)) for c in names})
+    ahead = W.partitionBy(id_col).orderBy(F.col(time_col).desc()).rowsBetween(W.unboundedPreceding, 0)
+    return _replaced(df, {c: F.coalesce(F.last(F.col(f"`{c}`"), True).over(back), F.last(F.col(f"`{c}`"), True).over(ahead)) for c in names})
 
 
 def column_medians(df: DataFrame, names: Sequence[str]) -> dict:
-    """Median of each column, NaN left out; one job, one row to the driver."""
-    row = df.agg(*[F.median(clean(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(names)]).first() if names else []
-    return dict(zip(names, row, strict=True))
+    """Median of each column, NaN left out; a row a column to the driver."""
+    found = {r["column"]: r["q0"] for r in quantiles(df.select(*[clean(F.col(f"`{c}`")).alias(c) for c in names]), names, [0.5]).collect()} if names else {}
+    return {c: found.get(c) for c in names}
 
 
 def column_modes(df: DataFrame, names: Sequence[str], unknown: str = "Unknown") -> dict:

@@ -1,8 +1,11 @@
-"""Nearest neighbours in mixed-type tables: squared differences of numbers, 2 for each category that differs."""
+"""Nearest neighbours in mixed-type tables: squared differences of numbers, 2 for each category that differs.
+
+Categories are compared by a 64-bit hash of their text.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
@@ -10,58 +13,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reference rows that go to the executors at once, and pairs that a task holds at once.
-BLOCK_ROWS, BLOCK_PAIRS = 20_000, 2_000_000
+#: Reference and query rows that meet in one task, about, and pairs whose distances a task holds at once.
+BLOCK_ROWS, CHUNK_ROWS, BLOCK_PAIRS = 20_000, 2_048, 2_000_000
+FOUND = "id long, d2 array<double>, near array<long>"
 
 
-def _arrays(batch: pa.RecordBatch, n_num: int, n_cat: int) -> tuple[np.ndarray, np.ndarray]:
-    nums = [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(n_num)]
-    cats = [batch.column(1 + n_num + i).to_numpy(zero_copy_only=False) for i in range(n_cat)]
-    return np.array(nums, float).reshape(n_num, batch.num_rows), np.array(cats, np.int64).reshape(n_cat, batch.num_rows)
+def _arrays(table: pa.Table, n_num: int, n_cat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, numbers and category hashes, in the order of ids."""
+    cols = [table.column(name).to_numpy() for name in ("id", *(f"n{j}" for j in range(n_num)), *(f"c{j}" for j in range(n_cat)))]
+    order = np.argsort(cols[0], kind="stable")
+    return cols[0][order], np.array(cols[1 : 1 + n_num], float).reshape(n_num, len(order))[:, order], np.array(cols[1 + n_num :], np.int64).reshape(n_cat, len(order))[:, order]
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], ref, k: int, n_num: int, n_cat: int) -> Iterator[pa.RecordBatch]:
-    rn, rc, rid = ref.value
-    m = rn.shape[1] if n_num else rc.shape[1]
-    for batch in batches:
-        qn, qc = _arrays(batch, n_num, n_cat)
-        ids, dist, near = batch.column(0), [], []
-        for at in range(0, batch.num_rows, step := max(1, BLOCK_PAIRS // max(m, 1))):
-            total = np.zeros((min(step, batch.num_rows - at), m))
-            for i in range(n_num):
-                total += (qn[i, at : at + step, None] - rn[i][None, :]) ** 2
-            for i in range(n_cat):
-                total += 2.0 * (qc[i, at : at + step, None] != rc[i][None, :])
-            kk = min(k, m)
-            place = np.argsort(total, axis=1, kind="stable")[:, :kk] if kk > 1 else total.argmin(axis=1)[:, None]
-            dist += np.take_along_axis(total, place, axis=1).tolist()
-            near += rid[place].tolist()
-        yield pa.RecordBatch.from_arrays([ids, pa.array(dist, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int64()))], names=["id", "d2", "near"])
+def _nearest(query: pa.Table, ref: pa.Table, k: int, n_num: int, n_cat: int) -> pa.Table:
+    """The k nearest reference rows of a block for each query row of a chunk, ties by id."""
+    (ids, qn, qc), (rid, rn, rc) = _arrays(query, n_num, n_cat), _arrays(ref, n_num, n_cat)
+    dist, near = np.zeros((len(ids), min(k, len(rid)))), np.zeros((len(ids), min(k, len(rid))), np.int64)
+    step = max(1, BLOCK_PAIRS // max(len(rid), 1))
+    for at in range(0, len(ids), step):
+        total = np.zeros((min(step, len(ids) - at), len(rid)))
+        for i in range(n_num):
+            total += (qn[i, at : at + step, None] - rn[i][None, :]) ** 2
+        for i in range(n_cat):
+            total += 2.0 * (qc[i, at : at + step, None] != rc[i][None, :])
+        rows = np.arange(len(total))
+        for j in range(dist.shape[1]):
+            place = total.argmin(axis=1)
+            dist[at : at + step, j], near[at : at + step, j] = total[rows, place], rid[place]
+            total[rows, place] = np.inf
+    return pa.table({"id": pa.array(ids), "d2": pa.array(dist.tolist(), pa.list_(pa.float64())), "near": pa.array(near.tolist(), pa.list_(pa.int64()))})
 
 
-def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, query_id: str = "id", ref_id: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, query_id: str = "id", ref_id: str = "id", block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(id, d: array of the k least distances, near: ids of those rows) for each query row.
 
-    The reference goes to the executors in blocks of ``block_rows``, so what is broadcast is
-    bounded; the blocks' k best are merged by id. Null numbers and categories are the
+    Both tables are dealt by hash, the reference into blocks and the queries into chunks; each chunk
+    meets each block in one task, and the blocks' k best are merged by id. Nothing passes
+    through the driver, and a task holds one block and one chunk. The work is that of all
+    pairs: cap the rows (``split.capped``) where that is too much. Null numbers and categories are the
     caller's to fill. An empty reference is an error; an empty query gives no rows.
     """
     cols = lambda df, i: df.select(F.col(i).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(numeric)], *[F.xxhash64(F.col(f"`{c}`").cast("string")).alias(f"c{j}") for j, c in enumerate(categorical)])
     q, r = cols(query, query_id), cols(ref, ref_id)
-    total = r.count()
-    if not total:
+    n_query, n_ref = q.count(), r.count()
+    if not n_ref:
         raise ValueError("no reference rows")
-    blocks, found = -(-total // block_rows), None
-    for b in range(blocks):
-        part = (r if blocks == 1 else r.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
-        batch = part.to_batches()[0] if part.num_rows else None
-        if batch is None:
-            continue
-        order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-        rn, rc = _arrays(batch, len(numeric), len(categorical))
-        send = query.sparkSession.sparkContext.broadcast((rn[:, order], rc[:, order], batch.column(0).to_numpy()[order]))
-        hits = q.mapInArrow(partial(_nearest, ref=send, k=k, n_num=len(numeric), n_cat=len(categorical)), "id long, d2 array<double>, near array<long>")
-        found = hits if found is None else found.union(hits)
+    chunks, blocks = max(1, -(-n_query // chunk_rows)), -(-n_ref // block_rows)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("chunk", own(chunks)).withColumn("block", every(blocks))
+    r = r.withColumn("block", own(blocks)).withColumn("chunk", every(chunks))
+    found = q.groupBy("chunk", "block").cogroup(r.groupBy("chunk", "block")).applyInArrow(partial(_nearest, k=k, n_num=len(numeric), n_cat=len(categorical)), FOUND)
     if blocks > 1:
         pairs = found.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("d2").alias("d"), F.col("near").alias("n")))).alias("p"))  # k pairs a block
         best = F.slice(F.array_sort("p"), 1, k)

@@ -66,3 +66,14 @@ def value_shares(df: DataFrame, name: str) -> DataFrame:
     counts = df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("all")).alias("share"))
+
+
+def bucket_rare(df: DataFrame, name: str, min_count: int = 50, other: str = "OTHER") -> DataFrame:
+    """``df`` with the values of a column that fewer than ``min_count`` rows have as ``other``; null is a value.
+
+    Values are counted within tasks first; the frequent ones, at most one in ``min_count`` rows, are then joined to all rows.
+    """
+    value = F.col(f"`{name}`")
+    often = df.groupBy(value.alias("__often")).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_count)
+    joined = df.join(often, value.eqNullSafe(F.col("__often")), "left")
+    return joined.select(*[F.when(F.col("__n").isNull(), F.lit(other)).otherwise(value).alias(name) if c == name else F.col(f"`{c}`") for c in df.columns])

@@ -20,19 +20,37 @@ def smallest_hashes(df: DataFrame, n: int, keys: Sequence[str], seed: int) -> Da
     return df.orderBy(*_order(seed, keys)).limit(n)
 
 
+#: Ranges that hashes are cut into for ranking: the upper bits of 52.
+RANGE_BITS = 12
+
+
+def hash_ranked(df: DataFrame, keys: Sequence[str], seed: int, by: str | None = None) -> DataFrame:
+    """``df`` with ``__r``, the rank (1, 2, ...) by hash and keys within each value of ``by`` (of all rows without it), and ``__n``, how many there are.
+
+    Hashes are cut into ranges; rows are ranked within theirs, and what comes before a range
+    is a sum over the counts of ranges. A value that most rows have is as many tasks' work as there are ranges.
+    """
+    group = F.lit(0) if by is None else F.col(by)
+    placed = df.withColumn("__h", hash_rank(seed, *[F.col(k) for k in keys])).withColumn("__range", F.shiftright("__h", 52 - RANGE_BITS)).withColumn("__g", group)
+    counts = placed.groupBy("__g", "__range").agg(F.count("*").alias("__c"))
+    w = W.partitionBy("__g")  # over the counts: as many rows as ranges
+    before = F.coalesce(F.sum("__c").over(w.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("__g").alias("__og"), F.col("__range").alias("__orange"), before.alias("__before"), F.sum("__c").over(w).alias("__n"))
+    inside = F.row_number().over(W.partitionBy("__g", "__range").orderBy("__h", *keys))
+    ranked = placed.withColumn("__i", inside).join(offsets, (F.col("__range") == F.col("__orange")) & F.col("__g").eqNullSafe(F.col("__og")))
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__i")).alias("__r"), "__n")
+
+
 def subject_split(df: DataFrame, id_col: str, test: float = 0.1, holdout: float = 0.1, seed: int = 0) -> DataFrame:
     """(id, part) of every entity: test, holdout (each at least one) and train.
 
-    The cut hashes are order statistics of one row an entity, found by a top-n; the parts
-    are then a comparison, so entities are never gathered in one task.
+    An entity's part follows from its rank by hash, which is counted range by range, so
+    entities are never gathered in one task.
     """
-    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct().withColumn("h", hash_rank(seed, F.col(id_col)))
-    total = ids.count()
-    n_test, n_hold = max(1, int(total * test)), max(1, int(total * holdout))
-    lowest = ids.orderBy("h", id_col).limit(n_test + n_hold)
-    cut = lowest.agg(F.max(F.struct("h", id_col)).alias("end")).crossJoin(ids.orderBy("h", id_col).limit(n_test).agg(F.max(F.struct("h", id_col)).alias("mid")))  # one row
-    here = F.struct("h", id_col)
-    return ids.crossJoin(F.broadcast(cut)).select(id_col, F.when(here <= F.col("mid"), "test").when(here <= F.col("end"), "holdout").otherwise("train").alias("part"))
+    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    ranked = hash_ranked(ids, [id_col], seed)
+    n_test, n_hold = (F.greatest(F.floor(F.col("__n") * F.lit(float(x))), F.lit(1)) for x in (test, holdout))
+    return ranked.select(id_col, F.when(F.col("__r") <= n_test, "test").when(F.col("__r") <= n_test + n_hold, "holdout").otherwise("train").alias("part"))
 
 
 def take_part(df: DataFrame, parts: DataFrame, id_col: str, part: str) -> DataFrame:
@@ -52,8 +70,7 @@ def cap_subjects(df: DataFrame, id_col: str, cap: int | None, seed: int = 0) ->
 
 def train_test_split(df: DataFrame, frac: float, keys: Sequence[str], y: str | None = None, seed: int = 0) -> DataFrame:
     """``df`` with ``is_test``: a share of each class of ``y`` (of all rows without it), rounded up."""
-    w = W.partitionBy(*([y] if y else []))
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(*_order(seed, keys)))).withColumn("__n", F.count("*").over(w))
+    ranked = hash_ranked(df, keys, seed, y)
     return ranked.withColumn("is_test", F.col("__r") <= F.ceil(F.col("__n") * F.lit(float(frac)))).drop("__r", "__n")
 
 
@@ -68,19 +85,15 @@ def sample_rows(df: DataFrame, n: int, keys: Sequence[str], replace: bool | None
     total = df.count()
     replace = n > total if replace is None else replace
     if not replace:
-        return smallest_hashes(df, n, keys, seed).withColumn("draw", F.row_number().over(W.orderBy(*_order(seed, keys))) - 1)
+        return hash_ranked(df, keys, seed).where(F.col("__r") <= n).withColumn("draw", (F.col("__r") - 1).cast("long")).drop("__r", "__n")
     return bootstrap(df, n, keys, seed)
 
 
 def bootstrap(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0, draw: str = "draw") -> DataFrame:
-    """``n`` draws with replacement: draw i is the row whose rank (by keys) is a hash of i.
-
-    The pool is the table of entities to draw from; its rank comes from one ordered pass.
-    """
-    pool = df.withColumn("__k", (F.row_number().over(W.orderBy(*keys)) - 1).cast("long"))
+    """``n`` draws with replacement: draw i is the row whose rank (by hash and keys) is a hash of i."""
+    pool = hash_ranked(df, keys, seed).withColumn("__k", (F.col("__r") - 1).cast("long")).drop("__r", "__n")
     total = df.count()
-    spark = df.sparkSession
-    picks = spark.range(n).select(F.col("id").alias(draw), F.pmod(hash_rank(seed, F.col("id")), F.lit(max(total, 1))).alias("__k"))
+    picks = df.sparkSession.range(n).select(F.col("id").alias(draw), F.pmod(hash_rank(seed, F.col("id")), F.lit(max(total, 1))).alias("__k"))
     return picks.join(pool, "__k").drop("__k")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
+from ..functions.dist import quantiles
 from ..functions.rank import rank_metrics
 from ..functions.scalars import clean, min_max
 from ..operators.knn import nearest
@@ -31,8 +32,8 @@ class DistanceEncoder:
         common = sorted(set.intersection(set(train.columns), *[set(o.columns) for o in others]) - set(drop))
         numeric = [c for c in common if c in numeric_columns(train)]
         v = {c: clean(F.col(f"`{c}`")) for c in numeric}
-        row = train.agg(*[x for i, c in enumerate(numeric) for x in (F.min(v[c]).alias(f"l{i}"), F.max(v[c]).alias(f"h{i}"), F.median(v[c]).alias(f"m{i}"))]).first() if numeric else {}
-        stats = {c: tuple(0.0 if row[f"{k}{i}"] is None else float(row[f"{k}{i}"]) for k in "lhm") for i, c in enumerate(numeric)}
+        found = {r["column"]: (r["q0"], r["q2"], r["q1"]) for r in quantiles(train.select(*[v[c].alias(c) for c in numeric]), numeric, [0.0, 0.5, 1.0]).collect()} if numeric else {}
+        stats = {c: found.get(c, (0.0, 0.0, 0.0)) for c in numeric}
         return cls(numeric, [c for c in common if c not in numeric], stats)
 
     def encode(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -52,10 +53,12 @@ def distance_to_closest_record(train: DataFrame, synth: DataFrame, id_col: str,
     exact matches, and the median ratio of the nearest to the second nearest (null with one real record)."""
     enc = DistanceEncoder.fit(train, [synth], [id_col, *drop])
     d = enc.nearest(capped(synth, cap, [id_col], seed), capped(train, cap, [id_col], seed), 2, id_col)
-    return d.agg(
-        F.avg(_first()).alias("dcr_mean"), F.median(_first()).alias("dcr_median"), F.percentile(_first(), 0.05).alias("dcr_p05"), F.percentile(_first(), 0.95).alias("dcr_p95"),
-        F.avg(F.when(_first() <= TINY, 1.0).otherwise(0.0)).alias("exact_match_rate"), F.median(F.when(F.size("d") > 1, _first() / F.greatest(_first(1), F.lit(TINY)))).alias("nndr_median"),
-    )
+    d = d.select(_first().alias("d1"), F.when(F.size("d") > 1, _first() / F.greatest(_first(1), F.lit(TINY))).alias("ratio"))
+    means = d.agg(F.avg("d1").alias("dcr_mean"), F.avg(F.when(F.col("d1") <= TINY, 1.0).otherwise(0.0)).alias("exact_match_rate"))
+    q = quantiles(d, ["d1", "ratio"], [0.5, 0.05, 0.95])
+    pick = lambda c, k: F.max(F.when(F.col("column") == c, F.col(k)))
+    ends = q.agg(pick("d1", "q0").alias("dcr_median"), pick("d1", "q1").alias("dcr_p05"), pick("d1", "q2").alias("dcr_p95"), pick("ratio", "q0").alias("nndr_median"))
+    return means.crossJoin(ends).select("dcr_mean", "dcr_median", "dcr_p05", "dcr_p95", "exact_match_rate", "nndr_median")  # single rows
 
 
 def exact_match_rate(train: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = ()) -> DataFrame:
@@ -73,8 +76,9 @@ def dcr_baseline_protection(train: DataFrame, synth: DataFrame, id_col: str, dro
         n = capped(synth, cap, [id_col], seed).count()
         random = random_rows(train, n, enc.numeric, enc.categorical, seed).withColumnRenamed("id", id_col)
     ref = capped(train, cap, [id_col], seed)
-    a = enc.nearest(capped(synth, cap, [id_col], seed), ref, 1, id_col).agg(F.median(_first()).alias("synth_median"))
-    b = enc.nearest(random, ref, 1, id_col).agg(F.median(_first()).alias("random_median"))
+    median = lambda df, name: quantiles(df.select(_first().alias("d")), ["d"], [0.5]).agg(F.max("q0").alias(name))
+    a = median(enc.nearest(capped(synth, cap, [id_col], seed), ref, 1, id_col), "synth_median")
+    b = median(enc.nearest(random, ref, 1, id_col), "random_median")
     return a.crossJoin(b).withColumn("dcr_baseline_protection", F.when(F.col("random_median") > 0, F.least(F.lit(1.0), F.col("synth_median") / F.col("random_median"))))  # single rows
 
 
@@ -84,7 +88,11 @@ def dcr_overfitting_protection(train: DataFrame, holdout: DataFrame, synth: Data
     s = capped(synth, cap, [id_col], seed)
     t = enc.nearest(s, capped(train, cap, [id_col], seed), 1, id_col).select("id", _first().alias("t"))
     h = enc.nearest(s, capped(holdout, cap, [id_col], seed), 1, id_col).select("id", _first().alias("h"))
-    sums = t.join(h, "id").agg(F.avg(F.when(F.col("t") < F.col("h"), 1.0).otherwise(0.0)).alias("share"), F.median("t").alias("median_train"), F.median("h").alias("median_holdout"))
+    both = t.join(h, "id")
+    share = both.agg(F.avg(F.when(F.col("t") < F.col("h"), 1.0).otherwise(0.0)).alias("share"))
+    q = quantiles(both, ["t", "h"], [0.5])
+    medians = q.agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(n) for c, n in (("t", "median_train"), ("h", "median_holdout"))])
+    sums = share.crossJoin(medians)  # single rows
     return sums.select(F.least(F.greatest((1 - F.col("share")) * 2, F.lit(0.0)), F.lit(1.0)).alias("dcr_overfitting_protection"), F.col("share").alias("dcr_closer_to_training"), "median_train", "median_holdout")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import dist, rank
 from ..functions import scalars as S
-from ..operators import encode, grid, impute, knn, lag, profile, rollout, split
+from ..operators import encode, flow, grid, impute, knn, lag, profile, rollout, split
 from ..sources import io
 from . import privacy, quality, results, trajectory, utility
 
@@ -193,7 +193,13 @@ def without_dates(t):
     return C.drop_datetime_columns(t("events"), by_type=True)
 
 
-@query("SELECT * FROM (VALUES ('is_click', 'binary'), ('l', 'integer'), ('p', 'categorical'), ('value', 'numeric')) v(name, kind)")
+_IS_BINARY = "CASE WHEN bool_and(is_click IN (0, 1)) THEN 'binary' ELSE 'integer' END"
+
+
+@query(
+    f"SELECT 'is_click' AS name, {_IS_BINARY} AS kind FROM (SELECT (event_type = 'click')::INT AS is_click FROM events) "
+    f"UNION ALL SELECT 'l', {_IS_BINARY} FROM (SELECT event_id AS is_click FROM events) UNION ALL SELECT 'p', CASE WHEN any_value(typeof(props)) = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END FROM events UNION ALL SELECT 'value', CASE WHEN any_value(typeof(value)) = 'DOUBLE' THEN 'numeric' ELSE 'categorical' END FROM events"
+)
 def feature_types(t):
     df = t("events").select(F.when(F.col("event_type") == "click", 1).otherwise(0).alias("is_click"), F.col("event_id").alias("l"), F.col("props").alias("p"), "value")
     found = C.identify_feature_types(df)
@@ -232,7 +238,7 @@ def value_shares(t):
 
 @query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) < 45 THEN 'OTHER' ELSE p_name END AS name FROM part")
 def rare_bucket(t):
-    return t("part").select("p_partkey", S.bucket_rare(F.col("p_name"), 45).alias("name"))
+    return profile.bucket_rare(t("part").select("p_partkey", F.col("p_name").alias("name")), "name", 45)
 
 
 def _hashed(seed: int, key: str) -> str:
@@ -263,7 +269,7 @@ def stratified_split(t):
     return split.train_test_split(t("customer"), 0.3, ["c_custkey"], "c_mktsegment").select("c_custkey", "c_mktsegment", "is_test")
 
 
-@query(f"SELECT i AS draw, c_custkey FROM (SELECT unnest(range(0, 500)) AS i) d JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) p ON ('0x' || substr(md5('5:' || i), 1, 13))::BIGINT % n = k")
+@query(f"SELECT i AS draw, c_custkey FROM (SELECT unnest(range(0, 500)) AS i) d JOIN (SELECT c_custkey, row_number() OVER (ORDER BY ('0x' || substr(md5('5:' || c_custkey), 1, 13))::BIGINT, c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) p ON ('0x' || substr(md5('5:' || i), 1, 13))::BIGINT % n = k")
 def bootstrap_rows(t):
     return split.bootstrap(t("customer").select("c_custkey"), 500, ["c_custkey"], 5)
 
@@ -309,10 +315,15 @@ def decode_round_trip(t):
     return enc.inverse_transform(enc.transform(t("customer"), ["c_custkey"]), ["c_custkey"])
 
 
-@query(f"SELECT user_id, list_resize(v, 8, 0.0::DOUBLE) AS padded FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE event_type = 'error' GROUP BY user_id)")
+_ERRORS = "(SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE event_type = 'error' GROUP BY user_id)"
+
+
+@query(f"SELECT user_id, list_resize(v, n, 0.0::DOUBLE) AS padded, [CASE WHEN i <= len(v) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for i in range(1, n + 1)] AS present FROM {_ERRORS}, (SELECT max(len(v)) AS n FROM {_ERRORS})")
 def padded_vectors(t):
+    """Each user's values, padded to the longest list, and which places are filled."""
     e = t("events").where("event_type = 'error'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
-    return e.select("user_id", S.padded(F.col("v"), 8).alias("padded"))
+    longest = e.agg(F.max(F.size("v"))).first()[0] or 1
+    return e.select("user_id", S.padded(F.col("v"), longest).alias("padded"), S.presence(F.col("v"), longest).alias("present"))
 
 
 # --- distributions and quality ------------------------------------------------------------------------
@@ -662,25 +673,27 @@ def uncond_relag(t):
     return rollout.unconditional_to_trajectories(t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), 50, ["price"])
 
 
-@query("SELECT id, 3 AS levels, 2 AS copies, 0.0::DOUBLE AS worst FROM (SELECT c_custkey AS id FROM customer)", "worst", "id levels copies", 6)
-def flow_pairs(t):
-    """Training pairs keep x_t + (1 - t) y = x: the greatest gap is 0."""
-    from ..operators.flow import expand_pairs
+def _noise(d: int) -> str:
+    u, v = (f"('0x' || substr(md5('0:' || id || ':' || noise || ':{d}:{x}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE" for x in "uv")
+    return f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u})) * cos(2.0::DOUBLE * pi() * {v})"
+
+
+_PAIRS_SQL = f"SELECT id, noise, level, (level + 1) / 3.0::DOUBLE AS t, a, b, {_noise(0)} AS za, {_noise(1)} AS zb FROM (SELECT c_custkey AS id, c_acctbal / 1000 AS a, c_nationkey::DOUBLE AS b FROM customer), (SELECT unnest(range(0, 2))::INT AS noise), (SELECT unnest(range(0, 3))::INT AS level)"
 
+
+@query(f"SELECT id, noise, level, t, (1 - t) * za + t * a AS x0, (1 - t) * zb + t * b AS x1, a - za AS y0, b - zb AS y1 FROM ({_PAIRS_SQL})", "t x0 x1 y0 y1", "id noise level", 6)
+def flow_pairs(t):
+    """Training pairs at three times for two noise copies of each customer."""
     rows = t("customer").select(F.col("c_custkey").alias("id"), F.array((F.col("c_acctbal") / 1000), F.col("c_nationkey").cast("double")).alias("x_target"), F.array(F.lit(1.0)).alias("x_cond"))
-    pairs = expand_pairs(rows, 2, 3, 2).join(rows.select("id", "x_target"), "id")
-    gap = F.array_max(F.transform(F.arrays_zip("x_t", "y", "x_target"), lambda s: F.abs(s["x_t"] + (1.0 - F.col("t")) * s["y"] - s["x_target"])))
-    return pairs.groupBy("id").agg(F.count_distinct("level").cast("int").alias("levels"), F.count_distinct("noise").cast("int").alias("copies"), F.max(gap).alias("worst"))
+    return flow.expand_pairs(rows, 2, 3, 2).select("id", "noise", "level", "t", *[F.get(c, i).alias(f"{n}{i}") for c, n in (("x_t", "x"), ("y", "y")) for i in (0, 1)])
 
 
 @query(None)
 def joint_rollout(t):
     """A joint flow fitted on order lines, rolled out for every customer."""
-    from ..operators.flow import JointFlow
-
     table, targets, cond = lag.prepare_autoregressive_data(lines(t).select("id", "t", "qty", "disc"), "id", "t")
     rows = table.select(F.xxhash64("id", "t").alias("id"), F.array(*targets).alias("x_target"), F.array(*cond).alias("x_cond"))
-    model = JointFlow().fit(rows)
+    model = flow.JointFlow().fit(rows)
     subjects = t("customer").select(F.col("c_custkey").alias("id"), F.array().cast("array<double>").alias("x_static"))
     return rollout.rollout(model, subjects).select("id", "step", F.get("x", 0).alias("qty"), F.get("x", 1).alias("disc"))
 
@@ -692,11 +705,12 @@ def initial_conditions(t):
 
 
 @query(
-    "SELECT q.vec_id AS id, sqrt(min(list_sum(list_transform(range(1, 9), lambda i: (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE))))) AS d FROM embeddings q CROSS JOIN embeddings r WHERE q.vec_id % 20 = 0 AND r.vec_id % 20 <> 0 GROUP BY q.vec_id",
+    "SELECT q.vec_id AS id, sqrt(min(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE))))) AS d FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id",
     "d", "id", 6,
 )
 def nearest_vectors(t):
-    """Every 20th vector as a query against all others, on its first eight dimensions."""
-    v = t("embeddings").select(F.col("vec_id").alias("id"), *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(8)])
-    found = knn.nearest(v.where("id % 20 = 0"), v.where("id % 20 <> 0"), [f"e{i}" for i in range(8)])
-    return found.select("id", F.get("d", 0).alias("d"))
+    """Every 20th vector as a query against all others, on all 64 dimensions: the nearest but itself."""
+    v = t("embeddings").select(F.col("vec_id").alias("id"), *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(64)])
+    found = knn.nearest(v.where("id % 20 = 0"), v, [f"e{i}" for i in range(64)], k=2)
+    other = F.filter(F.arrays_zip("d", "near"), lambda x: x["near"] != F.col("id"))
+    return found.select("id", F.get(other, 0)["d"].alias("d"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_present
-from ..functions.dist import ks_statistics
+from ..functions.dist import grouped_quantiles, ks_statistics
 from ..functions.scalars import clean, guarded_corr
 
 # Names of vital signs, and pairs of them that move together.
@@ -33,23 +33,23 @@ def resolve_vitals(real: DataFrame, synth: DataFrame, candidates: Mapping = VITA
     return {v: c for v, c in found.items() if c}
 
 
-def _long(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
-    """(id, time, feature, x): values that are there, all features in one pass."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias("x")) for c in names])
-    return df.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), F.explode(cells).alias("c")).select("id", "t", "c.feature", "c.x").where("x is not null")
+def _with_before(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
+    """(id, x0, b0, x1, b1, ...): each value and the last one before it that is there; one sort for all features."""
+    values = df.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(names)])
+    w = W.partitionBy("id").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
+    return values.select("id", *[c for i in range(len(names)) for c in (F.col(f"x{i}"), F.when(F.col(f"x{i}").isNotNull(), F.last(f"x{i}", True).over(w)).alias(f"b{i}"))])
 
 
 def autocorrelations(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
     """(id, feature, r): lag-1 autocorrelation of the values that are there (gaps close up), of
     entities with four rows and features with four values."""
-    long_enough = df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("id")
-    w = W.partitionBy("id", "feature").orderBy("t")
-    steps = _long(df, id_col, time_col, names).join(long_enough, "id", "left_semi").withColumn("before", F.lag("x").over(w))
-    return steps.groupBy("id", "feature").agg(F.count("*").alias("n"), guarded_corr(F.col("before"), F.col("x")).alias("r")).where((F.col("n") >= LEAST_ROWS) & F.col("r").isNotNull()).select("id", "feature", "r")
+    per = [F.when(F.count(f"x{i}") >= LEAST_ROWS, guarded_corr(F.col(f"b{i}"), F.col(f"x{i}"))).alias(f"r{i}") for i in range(len(names))]
+    rows = _with_before(df, id_col, time_col, names).groupBy("id").agg(F.count("*").alias("n"), *per).where(F.col("n") >= LEAST_ROWS)
+    return rows.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r")) for i, c in enumerate(names)])).alias("c")).select("id", "c.feature", "c.r").where("r is not null")
 
 
 def _median_distance(real: DataFrame, synth: DataFrame, key: str, name: str) -> DataFrame:
-    a, b = (x.groupBy(key).agg(F.median("r").alias(n)) for x, n in ((real, "a"), (synth, "b")))
+    a, b = (grouped_quantiles(x, key, "r", [0.5]).select(key, F.col("q0").alias(n)) for x, n in ((real, "a"), (synth, "b")))
     return a.join(b, key).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias(name))
 
 
@@ -67,8 +67,8 @@ def stay_length_ks(real: DataFrame, synth: DataFrame, id_col: str) -> DataFrame:
 
 def mean_steps(df: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
     """(feature, step): mean absolute difference of consecutive values, over all entities."""
-    w = W.partitionBy("id", "feature").orderBy("t")
-    return _long(df, id_col, time_col, names).select("feature", F.abs(F.col("x") - F.lag("x").over(w)).alias("d")).groupBy("feature").agg(F.avg("d").alias("step"))
+    row = _with_before(df, id_col, time_col, names).agg(*[F.avg(F.abs(F.col(f"x{i}") - F.col(f"b{i}"))).alias(f"s{i}") for i in range(len(names))])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("step")) for i, c in enumerate(names)])).alias("c")).select("c.*")
 
 
 def transition_mse_ratio(real: DataFrame, synth: DataFrame, id_col: str, time_col: str, names: Sequence[str]) -> DataFrame:
