@@ -6,7 +6,9 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,33 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+#: Slots of a filter; what is sent to the driver and to executors is 2 ** SLOT_BITS / 8 bytes at most.
+SLOT_BITS = 23
+
+
+def id_slots(c: Column) -> Column:
+    """The slot of an id in a filter."""
+    return F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS)).cast("int")
+
+
+def slot_filter(slots: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
+    """A bitmap, as bytes, of the slots (below 2 ** bits) in column ``slot``. It has the same size however many there
+    are: rows whose slot is not set can be passed over, the others need an exact test."""
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that no column has, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while any(c == name or c.startswith(f"{name}_") for c in lower):
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

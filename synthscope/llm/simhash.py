@@ -6,8 +6,7 @@ fetches what the table has there and checks the complete distance. If two finger
 differ in at most ``d`` bits, one of ``m`` segments differs in at most ``d // m``, so the
 balls miss nothing.
 
-Near duplicates by shingle similarity are searched by banded min-hashes instead, and checked
-on the shingle sets themselves.
+Near duplicates by shingle similarity, which two bits of 64 cannot tell, are in ``neardup``.
 """
 
 from __future__ import annotations
@@ -20,10 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import stored
 from .graph import connected_components
+from .neardup import drop_near_duplicates, near_duplicate_groups
+
+__all__ = ["drop_near_duplicates", "fingerprints", "hamming_links", "near_duplicate_groups", "simhash_components"]
 
 #: Segments of 32 bits.
 SEGMENT_BITS = 32
@@ -59,14 +60,6 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
 
 
-def widened(hashes: np.ndarray, words: int) -> np.ndarray:
-    """``words`` independent 64-bit hashes of each hash (multiply-and-shift mixing)."""
-    x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint(text: bytes | None, n: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of a text's word shingles; 0 for a text without words."""
     words = (text or b"").lower().split()
@@ -160,149 +153,3 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, dense
     named = linked.join(groups, "root").select("fp", "component_id")
     ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Search keys of a text: bands of min-hashes of its shingles. Two texts of Jaccard similarity
-#: 0.8 share none of the 24 keys with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
-BANDS, ROWS = 24, 5
-#: Finer keys for members of crowded buckets: (1 - 0.8 ** 10) ** 100 = 1.2e-5 at 0.8.
-FINE_BANDS, FINE_ROWS = 100, 10
-#: Pivots that each crowded bucket compares its members with before the finer search, and rounds of it.
-PIVOTS, TURNS = 2, 2
-
-
-def shingle_set(text: bytes | None, n: int = 5, seed: int = 42) -> np.ndarray:
-    """The distinct hashes, in order, of a text's n-word shingles; none for a text without words."""
-    words = (text or b"").lower().split()
-    return np.unique(shingle_hashes(words, n, seed)) if words else np.zeros(0, np.uint64)
-
-
-def _set_id(shingles: np.ndarray) -> int:
-    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
-
-
-def band_keys(shingles: np.ndarray, bands: int, rows: int, salt: int = 0) -> np.ndarray:
-    """One long a band: the hash of the band's number and its min-hashes over the shingles."""
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        low = np.minimum(low, widened(shingles[at : at + 1024] ^ np.uint64(salt), bands * rows).min(axis=0))
-    return np.array([_signed(xxhash.xxh64_intdigest(b.tobytes(), i)) for i, b in enumerate(low.reshape(bands, rows))], np.int64)
-
-
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *[r.view(np.int64) for r in rows]])))
-
-
-def _key_batches(batches, n: int):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = [shingle_set(t, n) for t in part.column(1).cast(pa.binary()).to_pylist()]
-            cols = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), _lists([band_keys(s, BANDS, ROWS) if len(s) else s for s in sets])]
-            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "node", "size", "keys"])
-
-
-def _set_batches(batches, n: int):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            sets = [shingle_set(t, n) for t in batch.column(0).slice(at, 500).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
-
-
-def _fine_batches(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            keys = [band_keys(np.array(s.as_py(), np.int64).view(np.uint64), FINE_BANDS, FINE_ROWS, salt=0x5DEECE66D) for s in part.column(3)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(keys)], names=["node", "size", "root", "keys"])
-
-
-def _node_batches(batches, at: int, n: int):
-    for batch in batches:
-        ids = [_set_id(shingle_set(t, n)) for t in batch.column(at).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*batch.schema.names, "_node"])
-
-
-def _text_links(docs: DataFrame, words: int, similarity: float, dense: int) -> tuple[DataFrame, DataFrame]:
-    """Stored rows (doc_id, node) of the rows with a doc_id, where a node is a distinct set of
-    shingles, and links (a, b) of nodes whose sets have Jaccard similarity ``similarity`` or
-    more, enough of them to connect all that such pairs connect."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    prints = stored(texts.mapInArrow(partial(_key_batches, n=words), "doc_id long, node long, size int, keys array<long>"))
-    table = stored(prints.select("node", "size", F.explode("keys").alias("key")).distinct())
-    full = stored(table.groupBy("key").count().where(F.col("count") > dense).select("key"))
-    crowded = stored(table.join(full, "key", "left_semi"))
-    alike = F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9
-    some = table.join(full, "key", "left_anti")
-    left, right = some.select("key", F.col("node").alias("a"), F.col("size").alias("x")), some.select("key", F.col("node").alias("b"), F.col("size").alias("y"))
-    sparse = stored(left.join(right, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct())
-
-    needed = sparse.select(F.col("a").alias("node")).union(sparse.select("b")).union(crowded.select("node")).distinct()
-    holders = prints.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    held = texts.join(holders.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = stored(held.mapInArrow(partial(_set_batches, n=words), "node long, shingles array<long>").join(needed, "node", "left_semi").dropDuplicates(["node"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return stored(pairs.join(a, "a").join(b, "b").where(both >= (F.size("x") + F.size("y") - both) * similarity - 1e-9).select("a", "b"))
-
-    def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-        return members.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of buckets with several groups, and of those the ones outside the bucket's largest group."""
-        major = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n")).where("n > 1").select("key", "major")
-        mixed = stored(members.join(major, "key"))
-        return mixed, mixed.where("root <> major")
-
-    links = verified(sparse)
-    if crowded.isEmpty():
-        return prints, links
-    for turn in range(TURNS):  # links most of a large group at a cost linear in its size
-        mixed, outer = split(rooted(crowded, links))
-        chosen = F.array_distinct(F.array(*[F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]))
-        pivots = (mixed if turn == 0 else outer).groupBy("key").agg(chosen.alias("p")).select("key", F.explode("p").alias("p"))
-        met = mixed.join(pivots, "key").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("size").alias("x"), F.col("p.size").alias("y"), (F.col("root") != F.col("p.root")).alias("apart"))
-        links = links.union(verified(met.where(F.col("apart") & alike).select("a", "b").distinct()))
-    # every pair of different groups that meets in a finer bucket
-    members = rooted(crowded.select("node", "size").distinct(), links).join(sets, "node").select("node", "size", "root", "shingles")
-    fine = stored(members.mapInArrow(_fine_batches, "node long, size int, root long, keys array<long>").select("node", "size", "root", F.explode("keys").alias("key")))
-    mixed, outer = split(fine)
-    left = outer.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("ra"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("in_major"))
-    met = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_major") | (F.col("a") < F.col("b"))) & alike)
-    return prints, links.union(verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-
-
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
-    """(doc_id, group_id) of every distinct non-null doc_id: near-duplicate groups of whole texts.
-
-    Texts are linked where the Jaccard similarity of their sets of ``words``-word shingles is
-    ``similarity`` or more, computed from the sets; pairs are found by banded min-hashes,
-    members of crowded buckets again by finer ones. group_id is the least doc_id reached.
-    Blank and null texts form one group; the rows of a repeated doc_id with different texts
-    join their groups; an empty table gives no rows.
-    """
-    prints, links = _text_links(docs, words, similarity, dense)
-    rows = prints.select("doc_id", "node").distinct()
-    shared = rows.groupBy("doc_id").agg(F.min("node").alias("a")).join(rows, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    rows = rows.join(connected_components(links.union(shared)), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    return rows.join(groups, "root").select("doc_id", "group_id").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
-    """Of each group of near-duplicate texts the row with the least doc_id. Unrelated texts under
-    one doc_id are judged each by itself; rows without a doc_id stay, since nothing can name them."""
-    prints, links = _text_links(docs, words, similarity, dense)
-    rows = prints.select("doc_id", "node").distinct().join(connected_components(links), "node", "left")
-    first = stored(rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("f")).select("f.doc_id", F.col("f.node").alias("_node")))
-    several = stored(prints.select("doc_id", "node").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    named = docs.where("doc_id is not null")
-    plain = named.join(first.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    mixed = named.join(several, "doc_id", "left_semi").select(*docs.columns)
-    told = mixed.mapInArrow(partial(_node_batches, at=docs.columns.index("text"), n=words), T.StructType([*mixed.schema.fields, T.StructField("_node", T.LongType())]))
-    told = told.join(first, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"])
-    return plain.select(*docs.columns).unionByName(told.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

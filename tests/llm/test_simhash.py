@@ -63,108 +63,5 @@ def test_long_chain_is_one_component(spark):
     assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-def test_near_duplicates(spark):
-    rng = random.Random(9)
-    rows, group = [], {}
-    for g in range(12):
-        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        for k in range(6):
-            own = list(words)
-            for _ in range(0 if k == 1 else k):
-                own[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
-            rows.append((100 * g + k, " ".join(own)))
-            group[100 * g + k] = 100 * g
-    frame = spark.createDataFrame([*rows, (None, "a text without a number"), (5000, None), (5001, "")], "doc_id long, text string")
-    for dense in (2, 64):
-        got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(frame, dense=dense).collect()}
-        assert got == group | {5000: 5000, 5001: 5000}
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()]
-    assert sorted(kept, key=str) == sorted([*set(group.values()), None, 5000], key=str)
-
-
 def test_empty(no_docs):
     assert simhash.simhash_components(no_docs).collect() == []
-    assert simhash.drop_near_duplicates(no_docs).collect() == []
-
-
-def exact_shingles(text, n=5):
-    words = text.lower().split()
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-
-
-def exact_jaccard(a, b):
-    one, two = exact_shingles(a), exact_shingles(b)
-    return len(one & two) / len(one | two)
-
-
-def exact_pairs(texts):
-    sets = {d: exact_shingles(t) for d, t in texts.items()}
-    return [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-
-
-def test_near_duplicates_of_every_kind_of_edit(spark):
-    rng = random.Random(31)
-    make = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
-    rows, pairs = [], []
-    for k in range(60):
-        words = make(200 + 20 * k)
-        n = len(words)
-        edits = [words + make(n * 22 // 100), make(n * 22 // 100) + words, words[: n * 83 // 100], words[n * 17 // 100 :], words[: n // 2] + make(n * 20 // 100) + words[n // 2 :]]
-        rows.append((10 * k, " ".join(words)))
-        for j, edit in enumerate(edits, 1):
-            if exact_jaccard(" ".join(words), " ".join(edit)) >= 0.8:
-                rows.append((10 * k + j, " ".join(edit)))
-                pairs.append((10 * k, 10 * k + j))
-    assert len(pairs) > 250
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [p for p in pairs if got[p[1]] != got[p[0]]] == []
-    assert len(set(got.values())) == 60
-
-
-def test_crowded_buckets_are_searched_in_full(spark):
-    rng = random.Random(5)
-    vocabulary = [f"w{k}" for k in range(200)]
-    template, rows = [f"t{k}" for k in range(60)], []
-    for k in range(150):  # one template, one vocabulary
-        own = vocabulary[:]
-        rng.shuffle(own)
-        rows.append((k, " ".join(template + own[:25])))
-    for k in range(10):
-        words = rows[k][1].split()
-        rows.append((1000 + k, " ".join([*words[:-1], "changed"])))
-    words = vocabulary[:150]
-    for k in range(2000, 2300):  # one set of words
-        rng.shuffle(words)
-        rows.append((k, " ".join(words)))
-        if k < 2010:
-            rows.append((k + 1000, " ".join([*words[:-2], words[-1], words[-2]])))
-    texts = dict(rows)
-    want = exact_pairs(texts)
-    assert len(want) >= 20
-    root = slow_components(texts, want)
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(frame, dense=16).collect()}
-    assert [p for p in want if got[p[0]] != got[p[1]]] == []
-    assert got == root
-
-
-def test_only_texts_within_the_limit_are_linked(spark):
-    rng = random.Random(8)
-    rows = []
-    for k in range(60):
-        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        own = list(words)
-        for at in rng.sample(range(10, 290), 9):
-            own[at] = f"new{rng.randrange(10**6)}"
-        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(own))]
-    rows += [(2000, "a line that comes again and again " * 300 + " ".join(f"x{i}" for i in range(40))), (2001, "a line that comes again and again " * 300 + " ".join(f"y{i}" for i in range(40)))]
-    texts = dict(rows)
-    root = slow_components(texts, exact_pairs(texts))
-    got = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["group_id"] for r in got} == root
-
-
-def test_unrelated_texts_of_one_id_are_judged_each(spark):
-    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
-    frame = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, b), (4, a)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(frame).collect()) == [(1, a), (2, b)]
