@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most.
 LONGEST = 5
-#: Rows, taken in the order of a hash of the text, that the field is fitted on at most.
-SAMPLE = 600
+#: What the field is fitted on at most: this many stretches of this many characters, each around the
+#: first digit or at-sign of a document, taken in the order of a hash.
+SAMPLE, STRETCH = 600, 100
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -157,39 +159,43 @@ class SemiMarkovField:
         n = len(window)
         return {(i, j): span_features(text, window[i][0], window[j - 1][1], j - i) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)}
 
+    def _score(self, x: np.ndarray, tokens: int) -> np.ndarray:
+        """Score of a segment by label; outside segments are single tokens."""
+        s = self.weights @ x
+        if tokens > 1:
+            s[0] = -np.inf
+        return s
+
     def _scores(self, lattice):
-        """Score of each segment by label; outside segments are single tokens."""
-        out = {}
-        for (i, j), x in lattice.items():
-            s = self.weights @ x
-            if j - i > 1:
-                s[0] = -np.inf
-            out[i, j] = s
-        return out
+        return {(i, j): self._score(x, j - i) for (i, j), x in lattice.items()}
 
-    def best(self, lattice, n: int) -> list[tuple[int, int, int]]:
-        """(first, after, label) of the best labelling's entity segments."""
+    def _decode(self, score, n: int) -> list[tuple[int, int, int]]:
+        """(first, after, label) of the best labelling's entity segments, for a function that scores segments.
+        Keeps a row of numbers a token, so a window of any length needs memory in proportion."""
         k = len(KINDS) + 1
-        scores = self._scores(lattice)
         top = np.full((n + 1, k), -np.inf)
         top[0, 0] = 0.0
-        back = {}
+        back = np.zeros((n + 1, k, 2), np.int32)
         for j in range(1, n + 1):
             for i in range(max(0, j - LONGEST), j):
                 ways = top[i][:, None] + self.pairs
                 came = ways.argmax(axis=0)
-                value = ways[came, np.arange(k)] + scores[i, j]
+                value = ways[came, np.arange(k)] + score(i, j)
                 for y in np.flatnonzero(value > top[j]):
                     top[j, y] = value[y]
                     back[j, y] = (i, came[y])
         out, j, y = [], n, int(top[n].argmax())
         while j > 0:
-            i, before = back[j, y]
+            i, before = back[j, y].tolist()
             if y:
                 out.append((i, j, y))
-            j, y = i, int(before)
+            j, y = i, before
         return out[::-1]
 
+    def best(self, lattice, n: int) -> list[tuple[int, int, int]]:
+        scores = self._scores(lattice)
+        return self._decode(lambda i, j: scores[i, j], n)
+
     def gradient(self, lattice, n: int, gold: list[tuple[int, int, int]]):
         """Gradient of the log-likelihood: observed minus expected feature counts (forward-backward over segments)."""
         k = len(KINDS) + 1
@@ -238,7 +244,8 @@ class SemiMarkovField:
         """(start, kind number, end) of the entities found in a text."""
         out = []
         for window in windows(text):
-            for i, j, y in self.best(self.lattice(text, window), len(window)):
+            score = lambda i, j, w=window: self._score(span_features(text, w[i][0], w[j - 1][1], j - i), j - i)
+            for i, j, y in self._decode(score, len(window)):
                 s, e = trimmed(text, window[i][0], window[j - 1][1])
                 if s < e:
                     out.append((s, y - 1, e))
@@ -308,30 +315,38 @@ name@
 
 
 def train(texts: list[str]) -> SemiMarkovField:
-    """A field fitted on the windows of some texts and the primer."""
-    examples = []
-    for text in [*(f"of {x} the" for x in PRIMER), *texts]:
-        for window in windows(text)[:20]:
-            if len(window) <= 12:
-                examples.append((SemiMarkovField.lattice(text, window), len(window), gold_segments(text, window)))
-    examples = examples[: len(PRIMER) + 400]
+    """A field fitted on all windows of some texts and of the primer."""
+    examples = [(SemiMarkovField.lattice(text, window), len(window), gold_segments(text, window)) for text in [*(f"of {x} the" for x in PRIMER), *texts] for window in windows(text)]
     return SemiMarkovField().fit(examples)
 
 
 def training_texts(docs: DataFrame, rows: int = SAMPLE) -> list[str]:
-    """At most ``rows`` short stretches around the first digit or at-sign of a text: a bounded sample in
+    """At most ``rows`` stretches around the first digit or at-sign of a text: a bounded sample in
     the order of a hash. Each text is read up to that character, once."""
     text = F.col("text").cast("string")
     clear = F.length(F.regexp_extract(text, r"\A[^0-9@]*", 0))
-    around = F.substring(text, F.greatest(clear - 19, F.lit(1)), F.lit(100))
+    around = F.substring(text, F.greatest(clear - 19, F.lit(1)), F.lit(STRETCH))
     got = docs.where(clear < F.length(text)).select(around.alias("t")).orderBy(F.xxhash64("t"), "t").limit(rows).collect()
     return [r["t"] for r in got]
 
 
+def covered(spans) -> list[tuple[int, int]]:
+    """Maximal runs that sorted spans cover."""
+    runs: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if runs and s < runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(e, runs[-1][1]))
+        else:
+            runs.append((s, e))
+    return runs
+
+
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:
     """(base spans, base spans and those of the field that touch none of them), in order of start and kind."""
     base = base_spans(text)
-    more = [m for m in field.spans(text) if not any(m[0] < e and s < m[2] for s, _, e in base)] if _ANCHOR.search(text) else []
+    runs = covered(base)
+    starts = [s for s, _ in runs]
+    more = [m for m in field.spans(text) if (i := bisect_left(starts, m[2])) == 0 or runs[i - 1][1] <= m[0]] if _ANCHOR.search(text) else []
     return base, sorted([*base, *more])
 
 
@@ -357,8 +372,9 @@ def _find_batches(batches, field: SemiMarkovField):
 def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: counts by kind and digest of the base spans, and all spans.
 
-    Offsets are code points of the whole text. Null texts are empty; repeated rows each get
-    their row; other columns are ignored; an empty table gives no rows.
+    Offsets are code points of the whole text; spans of one start are listed in the order of kinds.
+    Null texts are empty; texts of any length cost linear time; repeated rows and rows without an id
+    each get their row; other columns are ignored; an empty table gives no rows.
     """
     field = train(training_texts(docs, sample))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_find_batches, field=field), RESULT)
@@ -390,6 +406,10 @@ def _redact_batches(batches, field: SemiMarkovField, names: list[str]):
 
 
 def redact_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by the kind's name, and ``n_chars`` counted anew."""
+    """``docs`` with personal data in ``text`` replaced by the kind's name, and ``n_chars`` (if there is one) counted anew.
+
+    Null texts stay null; rows stay as they are otherwise, repeated ones and those without an id
+    too; texts of any length cost linear time; an empty table gives no rows.
+    """
     field = train(training_texts(docs, sample))
     return docs.mapInArrow(partial(_redact_batches, field=field, names=docs.columns), docs.schema)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -72,6 +73,25 @@ def test_long_texts_take_linear_time(field):
     assert pii.all_spans("x9 " * 5_000, field)[0] == []
 
 
+def test_many_spans_take_linear_time(field):
+    """Base spans and the field's are merged in one pass: eight times the addresses cost about eight times as much."""
+    times = []
+    for n in (1_000, 8_000):
+        text = "jo@mail.org and " * n
+        began = time.process_time()
+        base, every = pii.all_spans(text, field)
+        times.append(time.process_time() - began)
+        assert len(base) == len(every) == n
+    assert times[1] < 24 * times[0]
+
+
+def test_merged_spans_touch_no_base_span(field):
+    text = "mail jo@mail.org, (212) 555-0100 or 5500 1234 5678 9012 and 4111111111111111 at 10.0.0.1 " * 5
+    base, every = pii.all_spans(text, field)
+    assert every == sorted([*base, *[m for m in field.spans(text) if not any(m[0] < e and s < m[2] for s, _, e in base)]])
+    assert len(every) > len(base) > 0
+
+
 def test_rows(spark, docs, no_docs):
     rows = [(1, "mail jo@mail.org, or +1 (212) 555-0100 or 4111111111111111 at 10.0.0.1"), (2, None), (3, ""), (None, "é\U0001f600 jo@x.yz"), (1, "mail jo@mail.org")]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
