@@ -51,7 +51,7 @@ def op8_suffix(spark, sf_dir):
 
 
 def op9_editembed(spark, sf_dir):
-    return editembed.edit_fingerprints(_table(spark, sf_dir, "documents"))
+    return editembed.grouped_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op10_decontam(spark, sf_dir):
@@ -69,7 +69,8 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 def _mixing_sql() -> str:
     weights = "CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"
     return rf"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size,
+  ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, text, 'null')), 1, 13))::BIGINT % {mixing.STEPS} AS coin FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, {weights} AS weight FROM totals),
 placed AS (SELECT *, source_size / weight AS reach, row_number() OVER (ORDER BY source_size / weight, source ASC NULLS LAST) AS place FROM weighed),
@@ -78,10 +79,12 @@ run AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY place ROWS BETWEEN UN
 levels AS (SELECT *, (total - 3.0::DOUBLE * stopped) / (all_weight - gone) AS level FROM run),
 final AS (SELECT place AS p, level AS l FROM levels WHERE level <= 3.0::DOUBLE * reach ORDER BY place LIMIT 1),
 targets AS (SELECT source, source_size, CASE WHEN place < coalesce((SELECT p FROM final), 2147483647) THEN 3.0::DOUBLE * source_size ELSE (SELECT l FROM final) * weight END AS target FROM levels),
-rated AS (SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-  ('0x' || substr(md5('42:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS coin
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ((floor(rate) + (coin < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM rated
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets),
+coins AS (SELECT source, coin, sum(size)::BIGINT AS size FROM sized GROUP BY source, coin),
+middles AS (SELECT source, coin, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + size / 2.0::DOUBLE AS middle FROM coins),
+ends AS (SELECT r.source, coalesce(max(CASE WHEN middle < (rate - floor(rate)) * source_size THEN coin + 1 END), 0) AS threshold FROM middles m JOIN rates r ON m.source IS NOT DISTINCT FROM r.source GROUP BY r.source)
+SELECT s.doc_id, s.size, r.source_size, r.target, ((floor(rate)::BIGINT + (s.coin < e.threshold)::BIGINT) * s.size)::BIGINT AS taken
+FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source JOIN ends e ON s.source IS NOT DISTINCT FROM e.source
 """
 
 
@@ -129,21 +132,19 @@ SELECT doc_id, line_no, license, dice FROM best WHERE r = 1
 
 
 def _decontam_sql() -> str:
-    """Exact containment of every item's five-word shingles in every document's."""
-    def shingled(table: str, key: str) -> str:
-        return rf"""SELECT DISTINCT {key}, CASE WHEN len(w) <= 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
-FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM {table}) WHERE len(w) > 0)"""
-
+    """Exact containment of every item's five-word runs (of all its words, if it has fewer) in every document's."""
+    worded = lambda table, key: rf"SELECT DISTINCT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM {table} WHERE {key} IS NOT NULL"
+    runs = lambda key: f"SELECT DISTINCT {key}, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT {key}, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM"
     return f"""
-WITH items AS ({shingled("benchmark", "item_id")}), held AS ({shingled("documents", "doc_id")}),
+WITH tests AS (SELECT item_id, w, least(5, len(w)) AS k FROM ({worded("benchmark", "item_id")}) WHERE len(w) > 0),
+items AS ({runs("item_id")} tests)),
+held AS ({runs("doc_id")} ({worded("documents", "doc_id")}), (SELECT DISTINCT k FROM tests))),
 sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM held JOIN items USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared >= greatest(1, ceil({decontam.CONTAINED} * n_item - 1e-9))
 """
 
 
-
-
 def _chat_sql() -> str:
     """Digests of the turns as they are, and the length of the formatted text; the machine as a pattern over roles."""
     t = chat.TEMPLATE
