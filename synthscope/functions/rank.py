@@ -42,6 +42,27 @@ def macro_roc_auc(rows: DataFrame, y: str, scores: Sequence[str], classes: Seque
     return per.agg(F.when(F.count("roc_auc") == len(classes), F.avg("roc_auc")).alias("roc_auc"))
 
 
+def class_roc_auc(rows: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
+    """One row: AUC of class scores (column k for class k) against the classes that occur.
+
+    Two classes: the score of the greater one against it (the second of two columns, else the
+    column of its number, else the last). More: the mean of one against the rest, by order where there
+    are as many columns as classes, else by number. One class, or a class without a column: null.
+    """
+    classes = sorted(r[0] for r in rows.where(F.col(y).isNotNull()).select(F.col(y).cast("int")).distinct().collect())  # a row a class
+    none = rows.sparkSession.range(1).select(F.lit(None).cast("double").alias("roc_auc"))
+    if len(classes) < 2 or not scores:
+        return none
+    if len(classes) == 2:
+        at = 1 if len(scores) == 2 else classes[1] if 0 <= classes[1] < len(scores) else len(scores) - 1
+        return roc_auc(rows.where(F.col(y).isNotNull()).select((F.col(y) == classes[1]).cast("int").alias("is"), F.col(scores[at]).alias("score")), "is", "score")
+    if len(scores) == len(classes):
+        return macro_roc_auc(rows, y, scores, classes)
+    if all(0 <= k < len(scores) for k in classes):
+        return macro_roc_auc(rows, y, [scores[k] for k in classes], classes)
+    return none
+
+
 def classification_metrics(rows: DataFrame, y: str, pred: str) -> DataFrame:
     """One row: accuracy, balanced accuracy, F1 of class 1, macro and weighted F1; 0 where a ratio has no base."""
     counts = rows.groupBy(F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("p")).agg(F.count("*").alias("n"))

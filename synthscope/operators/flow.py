@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_normal
+from ..functions.scalars import hash_normal, hash_unit
 
 
 def expand_pairs(rows: DataFrame, n_noise: int, nt: int, dims: int, seed: int = 0) -> DataFrame:
@@ -205,6 +205,24 @@ class SequentialFlow:
         return x
 
 
+def flow_feature_types(kinds: Sequence[str], n_target: int) -> list[str]:
+    """Kinds of target, then condition columns for a fit: targets carry noise, so they are numbers (``q``); conditions keep theirs."""
+    if not 0 <= n_target <= len(kinds):
+        raise ValueError(f"{len(kinds)} kinds for {n_target} targets")
+    return ["q"] * n_target + list(kinds[n_target:])
+
+
+def draw_labels(rows: DataFrame, counts: DataFrame, label: str, id_col: str, seed: int = 0) -> DataFrame:
+    """``rows`` with a label each, drawn by a hash of the id in proportion to ``counts`` (label, count): one row a label."""
+    known = sorted((r[0], r[1]) for r in counts.select(label, "count").collect())
+    total, pick = sum(n for _, n in known), F.lit(known[-1][0])
+    u = hash_unit(seed, F.col(id_col), F.lit("label"))
+    for value, n in reversed(known[:-1]):
+        upto = sum(m for v, m in known if v <= value)
+        pick = F.when(u < upto / total, F.lit(value)).otherwise(pick)
+    return rows.withColumn(label, pick)
+
+
 GENERATORS = {"joint": JointFlow, "sequential": SequentialFlow}
 
 

@@ -502,14 +502,37 @@ def overfitting_protection(t):
     return privacy.dcr_overfitting_protection(real.where(half == 0), real.where(half == 1), synth, "id")
 
 
-@query(None)
+_HASH0 = "('0x' || substr(md5('0:' || id), 1, 13))::BIGINT"
+_RANKED_HOLD = f"(SELECT *, row_number() OVER (ORDER BY {_HASH0}, id) AS r, count(*) OVER () AS n FROM {_HOLD})"
+_OUTSIDE, _REFERENCE = f"(SELECT * FROM {_RANKED_HOLD} WHERE r <= ceil(n * 0.5::DOUBLE))", f"(SELECT * FROM {_RANKED_HOLD} WHERE r > ceil(n * 0.5::DOUBLE))"
+_N_EACH = f"(SELECT least(greatest(1, (SELECT count(*) FROM {_TRAIN}) // 2), (SELECT count(*) FROM {_OUTSIDE})))"
+_first_n = lambda table: f"SELECT id, size, price, brand, kind FROM (SELECT *, row_number() OVER (ORDER BY {_HASH0}, id) AS place FROM {table}) WHERE place <= {_N_EACH}"
+_CANDIDATES = f"(SELECT *, 1 AS member FROM ({_first_n(_TRAIN)}) UNION ALL SELECT *, 0 FROM ({_first_n(_OUTSIDE)}))"
+_KNOWN = f"(SELECT id, size, price, brand, kind FROM {_PS} UNION ALL SELECT id, size, price, brand, kind FROM {_TRAIN})"
+_ATTACK = f"(SELECT member, ln((r.d + 1e-12::DOUBLE) / (s.d + 1e-12::DOUBLE)) AS score FROM {_CANDIDATES} c JOIN {_near_t(_CANDIDATES, _REFERENCE)} r ON c.id = r.id JOIN {_near_t(_CANDIDATES, _KNOWN)} s ON c.id = s.id)"
+_ATTACK_BY = "(SELECT score AS s, sum(member) AS p, sum(1 - member) AS n FROM attack GROUP BY score)"
+
+
+@query(
+    f"WITH attack AS MATERIALIZED (SELECT * FROM {_ATTACK}), ranks AS (SELECT s, p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER (ORDER BY s DESC)::DOUBLE AS tp, sum(n) OVER (ORDER BY s DESC)::DOUBLE AS fp FROM {_ATTACK_BY}) "
+    "SELECT (SELECT sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)) FROM ranks) AS mia_roc_auc, (SELECT sum(p * tp / (tp + fp)) / sum(p) FROM ranks) AS mia_average_precision, "
+    "avg((score > 0)::INT) FILTER (member = 1) - avg((score > 0)::INT) FILTER (member = 0) AS mia_attacker_advantage, avg(score) FILTER (member = 1) AS member_mean, avg(score) FILTER (member = 0) AS nonmember_mean FROM attack",
+    "mia_roc_auc mia_average_precision mia_attacker_advantage member_mean nonmember_mean", digits=5,
+)
 def membership_attack(t):
     real, synth = _parts(t)
     half = S.hash_rank(9, F.col("id")) % 2
     return privacy.membership_inference(real.where(half == 0), real.where(half == 1), synth.unionByName(real.where(half == 0)), "id")
 
 
-@query(None)
+_u0 = lambda c: f"(('0x' || substr(md5('0:' || id || ':{c}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_DRAWN = (
+    f"(SELECT id, sl + {_u0('size')} * (sh - sl) AS size, pl + {_u0('price')} * (ph - pl) AS price, brands[floor({_u0('brand')} * len(brands))::INT + 1] AS brand, kinds[floor({_u0('kind')} * len(kinds))::INT + 1] AS kind "
+    f"FROM (SELECT unnest(range(0, (SELECT count(*) FROM {_PS}))) AS id), {_ST}, (SELECT list_sort(list(DISTINCT brand)) AS brands, list_sort(list(DISTINCT kind)) AS kinds FROM {_PR}))"
+)
+
+
+@query(f"SELECT a AS synth_median, b AS random_median, least(1.0::DOUBLE, a / b) AS dcr_baseline_protection FROM (SELECT median(d) AS a FROM {_near(_PS, _PR)}), (SELECT median(d) AS b FROM {_near(_DRAWN, _PR)})", "synth_median random_median dcr_baseline_protection", digits=6)
 def baseline_protection(t):
     return privacy.dcr_baseline_protection(*_parts(t), "id")
 

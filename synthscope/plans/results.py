@@ -53,6 +53,18 @@ def seed_statistics(rows: DataFrame, keys: Sequence[str], value: str, normal: bo
     return s.select(*keys, "n", "mean", F.when(F.col("n") == 1, 0.0).otherwise(F.col("s")).alias("std"), F.when(F.col("n") > 1, q * F.col("s") / F.sqrt(F.col("n").cast("double"))).alias("ci95"))
 
 
+# Numbers of times and of noise copies by profile of each data set.
+PROFILES = {
+    "mimic": {"full": ([1, 2, 3, 5, 8, 13, 21, 34], [1, 2, 3, 5, 8, 13, 21, 34]), "smoke": ([1, 3], [1, 3])},
+    "challenge2012": {"full": ([1, 2, 3, 5, 8, 13, 21], [1, 2, 3, 5, 8, 13, 21]), "smoke": ([1, 3], [1, 3])},
+}
+
+
+def profile_grid(spark, dataset: str, profile: str = "full") -> DataFrame:
+    """The cells of a profile."""
+    return grid(spark, *PROFILES[dataset][profile])
+
+
 def grid(spark, nt: Sequence[int], n_noise: Sequence[int]) -> DataFrame:
     """All pairs of two settings."""
     return spark.range(1).select(F.explode(F.array(*map(F.lit, nt))).alias("nt")).select("nt", F.explode(F.array(*map(F.lit, n_noise))).alias("n_noise"))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from ..functions.rank import classification_metrics, macro_roc_auc, roc_auc
+from ..functions.rank import class_roc_auc, classification_metrics
 from ..functions.scalars import bin_by_edges, clean, one_hot, padded, presence, round_clip, standardise
 from ..operators.grid import any_label, first_rows
 from ..operators.impute import column_medians, column_modes
@@ -127,11 +127,10 @@ def empty_metrics(spark) -> DataFrame:
 
 
 def evaluate_scores(rows: DataFrame, classes: Sequence[int]) -> DataFrame:
-    """One row: classification metrics and AUC (one class against the rest, averaged, beyond two)."""
+    """One row: classification metrics and AUC (one class against the rest, averaged, beyond two), computed here and now."""
     have = [c for c in rows.columns if c.startswith("p") and c[1:].isdigit()]
-    auc = roc_auc(rows, "label", "p1") if len(classes) == 2 else macro_roc_auc(rows, "label", have[: len(classes)], classes) if len(have) >= len(classes) else None
-    metrics = classification_metrics(rows, "label", "prediction")
-    return metrics.crossJoin(auc) if auc is not None else metrics.withColumn("roc_auc", F.lit(None).cast("double"))  # single rows
+    out = classification_metrics(rows, "label", "prediction").crossJoin(class_roc_auc(rows, "label", have))  # single rows
+    return rows.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 class Task(ABC):
@@ -168,6 +167,7 @@ class Task(ABC):
             got = evaluate_scores(scored(self.get_model(train), test), self.classes) if ok else empty_metrics(real.sparkSession)
             got = got.select(F.lit(self.name).alias("task"), F.lit(side).alias("side"), "*")
             out = got if out is None else out.unionByName(got)
+        test.unpersist()
         return out
 
 
@@ -207,6 +207,8 @@ def evaluate_sequence_task(name: str, synth: DataFrame, real: DataFrame, label:
         got = evaluate_scores(scored(fit_classifier(train), test), classes) if ok else empty_metrics(real.sparkSession)
         got = got.select(F.lit(name).alias("task"), F.lit(side).alias("side"), "*")
         out = got if out is None else out.unionByName(got)
+    for kept in (parts, *seqs.values()):
+        kept.unpersist()
     return out
 
 

@@ -55,9 +55,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.option("header", True).csv(p)}[fmt](path)
 
 
-def append_results(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Rows appended under a fixed schema; absent columns are null."""
-    migrate_schema(df, schema).write.mode("append").parquet(path)
+def append_results(df: DataFrame, path: str, schema: T.StructType, keys: Sequence[str] = ()) -> None:
+    """Rows appended under a fixed schema; absent columns are null. With ``keys``, rows whose keys the
+    table has already are left out, so an append that is tried again writes nothing twice."""
+    rows = migrate_schema(df, schema)
+    if keys and _exists(df.sparkSession, path):
+        rows = rows.join(df.sparkSession.read.schema(schema).parquet(path).select(*keys), list(keys), "left_anti").select(*schema.names)
+    rows.write.mode("append").parquet(path)
+
+
+def file_signature(spark: SparkSession, path: str) -> dict[str, object]:
+    """Path, size and time of the last change of a file or of a folder's files, for ``cached_by_signature``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.listStatus(p)
+    return {"path": path, "size": sum(s.getLen() for s in status), "mtime": max((s.getModificationTime() for s in status), default=0)}
 
 
 def migrate_schema(df: DataFrame, schema: T.StructType) -> DataFrame:

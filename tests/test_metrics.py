@@ -186,3 +186,31 @@ def test_result_rows(spark):
     assert sorted(r["new"] for r in results.load_results(old, ["new"], {"new": "old"}).collect()) == [1.0, 2.0]
     ok, bad = results.ranked_diagnostics(spark.createDataFrame([(2.0, ""), (1.0, None), (0.0, "x")], "ks double, error string"), ["ks"])
     assert [r["ks"] for r in ok.collect()] == [1.0, 2.0] and bad.count() == 1
+
+
+def test_bundle_and_first_state_diagnostics(spark):
+    from synthscope.plans import cell, quality
+
+    rows = [(i, i % 5, float(i % 7), float(i % 11), "abc"[i % 3]) for i in range(60)]
+    real = spark.createDataFrame(rows, "subject_id int, hours_in int, x double, y double, kind string")
+    samples = real.select("x", (F.col("y") * 1.5).alias("y"), "kind", F.lit("m").alias("model"), (F.col("subject_id") % 2).alias("seed"))
+    plain = real.select("x", "y", "kind")
+    got = {r["metric"]: r for r in cell.hour0_diagnostics(plain, samples, "model", "seed", ["kind"], {}).collect()}
+    each = [quality.quality_metrics(plain, samples.where(f"seed = {s}").drop("model", "seed"), {}).first() for s in (0, 1)]
+    assert got["avg_ks_stat"]["n"] == 2 and got["avg_ks_stat"]["mean"] == pytest.approx(sum(r["avg_ks_stat"] for r in each) / 2)
+    assert {"wasserstein_mean", "wasserstein_scaled_mean", "tv_mean", "js_mean", "corr_frobenius"} <= set(got)
+
+    def broken(_):
+        raise ValueError("no label")
+
+    frame = real.withColumn("row", F.col("subject_id"))
+    (row,) = cell.evaluate_cell(frame, frame, [("mortality", broken, (0, 1), [])], "subject_id", "hours_in", "row", vitals={}, ranges={}, cap=20).collect()
+    assert row["mortality_synth_roc_auc"] is None and row["avg_ks_stat"] == 0.0 and row["dcr_exact_match_rate"] > 0.5 and row["degenerate_flag"] is False
+
+
+def test_class_auc_falls_back(spark):
+    rows = spark.createDataFrame([(0, 0.9, 0.1, 0.0), (2, 0.2, 0.1, 0.7), (2, 0.1, 0.1, 0.8), (0, 0.6, 0.2, 0.2)], "y int, p0 double, p1 double, p2 double")
+    one = lambda df, names: rank.class_roc_auc(df, "y", names).first()["roc_auc"]
+    assert one(rows, ["p0", "p1", "p2"]) == 1.0 and one(rows, ["p2", "p0"]) == 0.0 and one(rows.where("y = 0"), ["p0", "p1"]) is None and one(rows, []) is None
+    three = rows.unionByName(rows.where("y = 2").withColumn("y", F.lit(3)))
+    assert one(three, ["p0", "p1", "p2"]) is not None and one(three, ["p0", "p1"]) is None
