@@ -68,12 +68,21 @@ class Formatter:
             opening, closing = self.t.other[0] + self.escape(role) + self.t.other[1], self.t.other[2]
         return [(opening, False), (self.escape(text), role in self.t.trained), (closing, False)]
 
-    def read(self, opening: str, body: str) -> tuple[str, str]:
-        """Role and text from a turn's opening and body segments."""
-        for role, x in self.t.before.items():
-            if x == opening:
-                return role, self.unescape(body)
-        return self.unescape(opening[len(self.t.other[0]) : -len(self.t.other[1])]), self.unescape(body)
+    def read(self, formatted: str) -> tuple[str, str, int] | None:
+        """Role and text of the turn that a formatted text begins with, and where it ends; none where it has no end yet.
+
+        Texts hold no control strings, so the first closing after the opening is the turn's.
+        """
+        for role, opening in self.t.before.items():
+            if formatted.startswith(opening):
+                end = formatted.find(self.t.after[role], len(opening))
+                return None if end < 0 else (role, self.unescape(formatted[len(opening) : end]), end + len(self.t.after[role]))
+        first, second, last = self.t.other
+        if not formatted.startswith(first):
+            return None
+        middle = formatted.find(second, len(first))
+        end = formatted.find(last, middle + len(second)) if middle >= 0 else -1
+        return None if end < 0 else (self.unescape(formatted[len(first) : middle]), self.unescape(formatted[middle + len(second) : end]), end + len(last))
 
 
 SEGMENTS = "conv_id long, turn_no long, part int, text string, loss boolean, valid boolean"
@@ -108,38 +117,48 @@ def format_chats(conversations: DataFrame, template: Template = TEMPLATE) -> Dat
 
 
 def _digest_rows(frames, template: Template):
-    f, conv, now, opening = Formatter(template), object(), None, ""
+    f, conv, now, held, masked = Formatter(template), object(), None, "", []
 
     def ended():
-        c, n, turns, chars, loss, total, state = now
-        return (c, n, turns.hexdigest(), chars, loss.hexdigest(), total, state in f.t.final)
+        if held:
+            raise ValueError(f"conversation {conv} ends within a turn")
+        n, turns, chars, loss, total, state = now
+        return (conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, state in f.t.final)
+
+    def frame_of(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
 
     for frame in frames:
         out = []
-        for c, part, text, loss in zip(frame["conv_id"].tolist(), frame["part"].tolist(), frame["text"], frame["loss"].tolist(), strict=True):
+        for c, text, loss in zip(frame["conv_id"].tolist(), frame["text"], frame["loss"].tolist(), strict=True):
             c = None if pd.isna(c) else int(c)
             if c != conv:
                 if now:
                     out.append(ended())
-                conv, now = c, [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, "start"]
-            now[5] += len(text)
-            if part == 0:
-                opening = text
-            if part == 1:
-                role, plain = f.read(opening, text)
-                now[1] += 1
-                now[2].update(f"{role}\n{plain}\n".encode())
-                now[6] = f.step(now[6], role)
-                if loss:
-                    now[3] += len(plain)
-                    now[4].update(plain.encode())
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+                conv, now = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, "start"]
+            now[4] += len(text)
+            if loss:
+                masked.append((len(held), len(held) + len(text)))
+            held += text
+            turn = f.read(held)
+            if turn:
+                role, plain, end = turn
+                now[0] += 1
+                now[1].update(f"{role}\n{plain}\n".encode())
+                now[5] = f.step(now[5], role)
+                for low, high in masked:
+                    said = f.unescape(held[low:high])
+                    now[2] += len(said)
+                    now[3].update(said.encode())
+                held, masked = held[end:], []
+        yield frame_of(out)
     if now:
-        yield pd.DataFrame([ended()], columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+        yield frame_of([ended()])
 
 
 def chat_digests(segments: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """One row per conversation, read back from the segments of ``format_chats`` as they stream by:
-    number of turns, digest of roles and unescaped texts, characters and digest of the text
-    under the loss mask, characters formatted, and whether the roles ended in a final state."""
-    return segments.select("conv_id", "part", "text", "loss").mapInPandas(partial(_digest_rows, template=template), DIGEST)
+    """One row per conversation, read back from the formatted text - the segments of ``format_chats`` joined as they
+    stream by, a turn at a time - and its loss mask: number of turns, digest of roles and
+    unescaped texts, characters and digest of the text under the mask, characters formatted, and
+    whether the roles ended in a final state. Text that is no whole number of turns is an error."""
+    return segments.select("conv_id", "text", "loss").mapInPandas(partial(_digest_rows, template=template), DIGEST)

@@ -14,7 +14,7 @@ ROWS = [
 
 
 def test_digests(spark):
-    frame = spark.createDataFrame([(*r, "x") for r in ROWS], "conv_id long, turn long, role string, text string, part string").repartition(3)
+    frame = spark.createDataFrame([(*r, "x", 1, True) for r in ROWS], "conv_id long, turn long, role string, text string, part string, turn_no int, loss boolean").repartition(3)
     got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(frame)).collect()}
     turns = defaultdict(list)
     for c, t, r, x in ROWS:
@@ -38,8 +38,19 @@ def test_empty(spark):
 def test_escape_is_reversible_and_hides_controls(text, role):
     f = chat.Formatter()
     assert not any(c in f.escape(text) for c in f.controls)
-    (opening, _), (body, _), _ = f.segments(role, text)
-    assert f.read(opening, body) == (role, text)
+    whole = "".join(x for x, _ in f.segments(role, text))
+    assert f.read(whole + "<s>next</s>") == (role, text, len(whole)) and all(f.read(whole[:k]) is None for k in range(len(whole)))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "<</TURN>>"]), st.lists(st.sampled_from([*chat.TEMPLATE.controls, "<", " ", "[", "\\"]), max_size=6).map("".join)), max_size=6))
+def test_turns_are_found_in_the_formatted_text(turns):
+    f = chat.Formatter()
+    whole, got = "".join(x for t in turns for x, _ in f.segments(*t)), []
+    while whole:
+        role, text, end = f.read(whole)
+        got.append((role, text))
+        whole = whole[end:]
+    assert got == turns
 
 
 @pytest.mark.parametrize(("roles", "valid"), [(["user", "assistant"], True), (["system", "user", "assistant", "user", "assistant"], True), (["user"], False), (["user", "user"], False), (["assistant"], False)])
