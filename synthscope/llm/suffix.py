@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import release, slot_filter, stored
 
 #: Length of the strings; of the anchor strings; windows that hold an anchor string at a place.
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM
-#: Bytes hashed at once.
-CHUNK = 1 << 18
+#: Bytes hashed at once; slots of the filter of shared hashes, as a power of two: 8 MB, whatever the size of the corpus.
+CHUNK, FILTER_BITS = 1 << 18, 26
 _TABLE = np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -79,7 +79,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return no, at - begin[no], h[at]
 
 
-def _anchor_batches(batches):
+def _anchored(batches):
+    """(ids, text numbers, positions, hashes, texts, text ids) of pieces of rows (doc_id, text, tid), texts of 50 bytes or more."""
     for batch in batches:
         ids, tids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -91,34 +92,54 @@ def _anchor_batches(batches):
                 part.append(long[at])
                 total += len(texts[long[at]])
                 at += 1
-            no, pos, h = anchors([texts[i] for i in part])
-            own, tid = np.array([ids[i] for i in part], np.int64), np.array([tids[i] for i in part], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own[no]), pa.array(tid[no]), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "tid", "pos"])
+            own = [texts[i] for i in part]
+            no, pos, h = anchors(own)
+            yield np.array([ids[i] for i in part], np.int64), no, pos, h, own, np.array([tids[i] for i in part], np.int64)
+
+
+def _anchor_batches(batches):
+    """Hashes of anchors, and the documents that hold them."""
+    for ids, no, _, h, _, _ in _anchored(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[no])], names=["h", "doc_id"])
+
+
+def _keyed_batches(batches, wanted):
+    """Anchors whose slot is in the filter, with hashes of the anchor string and of its context."""
+    for ids, no, pos, h, texts, tids in _anchored(batches):
+        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        keep = (wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+        no, pos, h = no[keep], pos[keep], h[keep]
+        contexts = np.zeros(len(no), np.int64)
+        for k, (i, p) in enumerate(zip(no.tolist(), pos.tolist(), strict=True)):
+            low = max(0, p - REACH)
+            context = texts[i][low : p + LENGTH]
+            contexts[k] = xxhash.xxh64_intdigest(context, p - low + 64 * len(context)) - (1 << 63)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(contexts), pa.array(ids[no]), pa.array(tids[no]), pa.array(pos.astype(np.int32))], names=["h", "c", "doc_id", "tid", "pos"])
 
 
-def _context_batches(batches, ship: bool):
-    """Anchors of texts at given positions: hashes of the anchor string and of its context, or the bytes themselves."""
+SHIPPED = "h long, doc_id long, tid long, pos int, suffix binary, prefix binary, after int"
+WINDOWS = "doc_id long, tid long, pos int, o int, h long, w long"
+
+
+def _ship_batches(batches, windows: bool):
+    """Anchors of texts at given positions: what is around them, as bytes; or the hashes of the 50-byte windows that hold them."""
+    names, kinds = (["doc_id", "tid", "pos", "o", "h", "w"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]) if windows else (["h", "doc_id", "tid", "pos", "suffix", "prefix", "after"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()])
     for batch in batches:
         ids, tids, texts, places = (batch.column(i).to_pylist() for i in range(4))
         at = 0
         while at < len(ids):
-            cols, rows = [[] for _ in range(7 if ship else 5)], 0
-            while at < len(ids) and rows < 50_000:
+            rows: list[tuple] = []
+            while at < len(ids) and len(rows) < 50_000:
                 b, d, t = texts[at], ids[at], tids[at]
                 for p in places[at]:
                     low = max(0, p - REACH)
                     key = xxhash.xxh64_intdigest(b[p : p + GRAM], 1) - (1 << 63)
-                    if ship:
-                        row = (key, d, t, p, b[p : p + LENGTH], b[low:p][::-1], min(REACH, len(b) - p - GRAM))
+                    if windows:
+                        rows += [(d, t, p, p - x, key, xxhash.xxh64_intdigest(b[x : x + LENGTH], p - x) - (1 << 63)) for x in range(low, min(p, len(b) - LENGTH) + 1)]
                     else:
-                        context = b[low : p + LENGTH]
-                        row = (key, xxhash.xxh64_intdigest(context, p - low + 64 * len(context)) - (1 << 63), d, t, p)
-                    for c, x in zip(cols, row, strict=True):
-                        c.append(x)
-                rows += len(places[at])
+                        rows.append((key, d, t, p, b[p : p + LENGTH], b[low:p][::-1], min(REACH, len(b) - p - GRAM)))
                 at += 1
-            names = ["h", "doc_id", "tid", "pos", "suffix", "prefix", "after"] if ship else ["h", "c", "doc_id", "tid", "pos"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()] if ship else [pa.int64()] * 4 + [pa.int32()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -304,57 +325,70 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
 
 
-def _shared_anchors(texts: DataFrame) -> DataFrame:
-    """(doc_id, tid, places): positions of anchors whose hash occurs in two documents."""
-    found = texts.where("doc_id is not null").mapInArrow(_anchor_batches, "h long, doc_id long, tid long, pos int")
-    same = W.partitionBy("h")
-    shared = found.select("doc_id", "tid", "pos", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low < high")
-    return stored(shared.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places")))
+def _shared_hashes(texts: DataFrame):
+    """The filter of anchor hashes that occur in two documents, as a broadcast. They are counted with a
+    combine in each task, so a hash that most documents have costs a row a task."""
+    found = texts.where("doc_id is not null").mapInArrow(_anchor_batches, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return texts.sparkSession.sparkContext.broadcast(slot_filter(found.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("slot")), FILTER_BITS))
+
+
+def _judged_anchors(texts: DataFrame, wanted) -> DataFrame:
+    """(doc_id, tid, pos, whole, n): anchors that a smaller document has with their whole context, and
+    those of strings with several contexts, with the number of such anchors of the string. The others
+    (and those that only share a slot of the filter) have nothing to lose."""
+    keyed = texts.where("doc_id is not null").mapInArrow(partial(_keyed_batches, wanted=wanted), "h long, c long, doc_id long, tid long, pos int").repartition("h")
+    by_context, by_string = W.partitionBy("h", "c"), W.partitionBy("h")
+    whole = keyed.withColumn("whole", F.min("doc_id").over(by_context) < F.col("doc_id"))
+    judged = whole.select("doc_id", "tid", "pos", "whole", F.min("c").over(by_string).alias("c0"), F.max("c").over(by_string).alias("c1"), F.count(F.when(~F.col("whole"), 1)).over(by_string).alias("n"))
+    return stored(judged.where("whole or c0 <> c1").select("doc_id", "tid", "pos", "whole", "n"))
 
 
-def _contexts(texts: DataFrame, places: DataFrame, ship: bool, schema: str) -> DataFrame:
+def _shipped(texts: DataFrame, judged: DataFrame, windows: bool) -> DataFrame:
+    places = judged.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places"))
     # rows that repeat a text of a doc_id give the same anchors again, which count once
     joined = texts.where("doc_id is not null").join(places, ["doc_id", "tid"]).select("doc_id", "tid", F.encode("text", "UTF-8").alias("text"), "places")
-    return joined.mapInArrow(partial(_context_batches, ship=ship), schema)
+    return joined.mapInArrow(partial(_ship_batches, windows=windows), WINDOWS if windows else SHIPPED)
 
 
-def _judged_anchors(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc_id, tid, pos, whole): anchors that a smaller document has with their whole context, and
-    those of strings with several contexts. The others have nothing to lose."""
-    keyed = _contexts(texts, marks, False, "h long, c long, doc_id long, tid long, pos int").repartition("h")
-    by_context, by_string = W.partitionBy("h", "c"), W.partitionBy("h")
-    judged = keyed.withColumn("owner", F.min("doc_id").over(by_context)).select("doc_id", "tid", "pos", (F.col("owner") < F.col("doc_id")).alias("whole"), F.min("c").over(by_string).alias("c0"), F.max("c").over(by_string).alias("c1"))
-    return stored(judged.where("whole or c0 <> c1").select("doc_id", "tid", "pos", "whole"))
+def _split_masks(windows: DataFrame) -> DataFrame:
+    """Masks (doc_id, tid, pos, mask) of anchors whose strings have too many contexts for one task: a window's class is
+    told by hashes of its anchor string and of its bytes, and its least document by a combined minimum."""
+    least = windows.groupBy("h", "o", "w").agg(F.min("doc_id").alias("least"))
+    hit = windows.join(least, ["h", "o", "w"]).where("least < doc_id")
+    return hit.groupBy("doc_id", "tid", "pos").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
     """(doc_id, tid, pos, mask): anchors with at least one 50-byte window that also occurs in a document with a
-    smaller doc_id. ``tid`` tells the texts of a repeated doc_id apart. Shuffle files of a step
-    go once its result is stored."""
+    smaller doc_id. ``tid`` tells the texts of a repeated doc_id apart. Strings with more than
+    ``sort_rows`` contexts are not sorted in one task but split by their windows. Shuffle files of a step go once its result is stored."""
     texts = _texts(docs)
-    marks = _shared_anchors(texts)
+    wanted = _shared_hashes(texts)
     release(docs.sparkSession)
-    judged = _judged_anchors(texts, marks)
+    judged = _judged_anchors(texts, wanted)
+    wanted.unpersist()
     release(docs.sparkSession)
-    open_places = judged.where("not whole").groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places"))
-    rows = _contexts(texts, open_places, True, "h long, doc_id long, tid long, pos int, suffix binary, prefix binary, after int")
+    rows = _shipped(texts, judged.where(f"not whole and n <= {sort_rows}"), False)
     partly = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_mask_batches, "doc_id long, tid long, pos int, mask long").where("mask <> 0")
+    crowded = judged.where(f"not whole and n > {sort_rows}")
+    if not crowded.isEmpty():
+        partly = partly.unionByName(_split_masks(_shipped(texts, crowded, True)))
     return judged.where("whole").select("doc_id", "tid", "pos", F.lit(WHOLE).cast("long").alias("mask")).union(partly)
 
 
-def _cuts(docs: DataFrame) -> DataFrame:
+def _cuts(docs: DataFrame, sort_rows: int) -> DataFrame:
     """(doc_id, tid, cuts): the anchors and masks of each document that loses something."""
-    return stored(repeated_windows(docs).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("pos", "mask")).alias("cuts")))
+    return stored(repeated_windows(docs, sort_rows).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("pos", "mask")).alias("cuts")))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts are empty. A document without an id neither gives nor loses bytes; rows that
-    repeat a doc_id do not count against each other; texts under 50 bytes stay whole; other
-    columns are ignored; an empty table gives no rows.
+    repeat a doc_id do not count against each other; texts under 50 bytes stay whole; a long text
+    is read at once; other columns are ignored; an empty table gives no rows.
     """
-    cuts = _cuts(docs)
+    cuts = _cuts(docs, sort_rows)
     release(docs.sparkSession)
     joined = _texts(docs).join(cuts, ["doc_id", "tid"], "left")
     return joined.select("doc_id", "text", F.col("cuts.pos").alias("places"), F.col("cuts.mask").alias("masks")).mapInArrow(_result_batches, RESULT)

@@ -27,8 +27,9 @@ def slow(rows):
 
 
 def test_matches_brute_force(docs):
-    got = sorted((tuple(r) for r in suffix.remove_repeats(docs).collect()), key=str)
-    assert got == slow([r[:2] for r in documents()])
+    for sort_rows in (suffix.SORT_ROWS, 1):  # strings of several contexts sorted, or split by windows
+        got = sorted((tuple(r) for r in suffix.remove_repeats(docs, sort_rows).collect()), key=str)
+        assert got == slow([r[:2] for r in documents()])
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -37,7 +38,7 @@ def test_matches_brute_force_on_repetitive_texts(spark, seed):
     pieces = ["".join(rng.choice("abc é") for _ in range(rng.randrange(20, 90))) for _ in range(12)] + ["a" * 70, "ab" * 40]
     rows = [(rng.randrange(40), "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 8)))) for _ in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in suffix.remove_repeats(frame).collect()), key=str) == slow(rows)
+    assert sorted((tuple(r) for r in suffix.remove_repeats(frame, 40_000 if seed == 1 else 3).collect()), key=str) == slow(rows)
 
 
 def test_deep_shallow_order_sorts():
@@ -50,3 +51,10 @@ def test_deep_shallow_order_sorts():
 
 def test_empty(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    text = "".join(f"line {i}\n" for i in range(200_000)) + passage  # about 2 MB
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(spark.createDataFrame([(1, passage), (2, text)], "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] >= len(passage) and got[2]["n_bytes"] == len(text)
