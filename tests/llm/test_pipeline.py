@@ -43,3 +43,25 @@ def test_stages(spark, tmp_path):
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(spark.read.parquet(f"{tmp_path}/pii")).collect()}
     assert {d: n for d, n in plan.items() if n} == {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_awkward_rows(spark, docs, no_docs, tmp_path):
+    """Nulls, blanks, ties, repeats, clashing names and an empty table pass every stage."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string")
+    for name, frame in (("labels", labels), ("benchmark", bench)):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    clashing = docs.selectExpr("*", "1 AS node_", "2 AS leak", "3 AS rate", "4 AS root", "5 AS key", "6 AS score", "7 AS tid", "8 AS copy")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clashing, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out-{name}")
+        kept = spark.read.parquet(f"{tmp_path}/out-{name}")
+        assert sorted(out.columns) == sorted(clashing.columns), name
+        n = {r["doc_id"]: r["n"] for r in kept.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+        if name == "near_dedup":
+            assert n[None] == 2 and max(v for d, v in n.items() if d is not None) <= 2
+        if name == "decontamination":
+            assert kept.count() == docs.count() - docs.where("text rlike '(?i)(^|\\\\s)one(\\\\s|$)'").count()
+        if name == "pii":
+            assert kept.count() == docs.count()
+        assert stage(spark, no_docs, str(tmp_path)).collect() == []

@@ -62,3 +62,23 @@ def test_awkward_rows(spark, docs, no_docs):
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert {r["score"] for r in quality.quality_scores(docs, labels.where("quality = 1")).collect()} == {1.0}
     assert quality.keep_good(docs, labels.where("quality = 1")).columns == docs.columns
+
+
+def slow_statistics(text):
+    """Each statistic by its definition, a character and a word at a time."""
+    t = text or ""
+    b = t.encode()
+    n, words = max(len(b), 1), b.split()
+    k = max(len(words), 1)
+    lines = [x for x in b.split(b"\n") if x]
+    share = lambda keep: (sum(1 for c in t if keep(c)) / n) ** 0.5
+    return [
+        np.log(1 + len(words)), np.log(1 + len(b) / k), share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c == "!"), share(lambda c: c == "|"), share(lambda c: c in "#$%&*^~_=+<>@\\"), share(lambda c: c in ".,;:'\"()[]{}-/?"),
+        len(set(words)) / k, np.log(1 + len(lines)), (len([x for x in lines if len(x) < 40]) / max(len(lines), 1)) ** 0.5, np.log((len(zlib.compress(b, 1)) / n if b else 1.0) + 0.02),
+    ]
+
+
+def test_statistics_match_their_definitions():
+    texts = [None, "", " \n ", "One", "A line!\n\nand | another, 12 #x", "é中\U0001f600 UPPER" * 50, "x" * 100_000] + [r[1] for r in documents()]
+    for t in texts:
+        assert np.allclose(quality.statistics(None if t is None else t.encode()), slow_statistics(t))
