@@ -1,4 +1,4 @@
-"""Flow-matching generators of rows: fitted by Spark ML trees, sampled inside tasks.
+"""Flow-matching generators of rows: fitted by Spark ML trees, drawn by the fitted models' own transforms.
 
 Between noise z (time 0) and a row x (time 1) a point moves as (1 - t) z + t x with the
 velocity x - z. Regressors learn the velocity at nt times; sampling starts from noise and
@@ -8,16 +8,14 @@ same at any partitioning.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_normal, hash_unit
@@ -32,60 +30,17 @@ def expand_pairs(rows: DataFrame, n_noise: int, nt: int, dims: int, seed: int =
     return levels.select("id", "noise", "level", "t", at.alias("x_t"), F.zip_with("x_target", "z", lambda b, a: b - a).alias("y"), "x_cond")
 
 
-@dataclass
-class Trees:
-    """A tree ensemble as arrays: leaves have feature -1."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    roots: np.ndarray
-    weights: np.ndarray
-
-    @classmethod
-    def of(cls, text: str, weights: Sequence[float]) -> Trees:
-        """From the printed form of a Spark tree ensemble with continuous features."""
-        nodes, roots, waiting = [], [], []
-        for line in text.splitlines():
-            line = line.strip()
-            if line.startswith("Tree"):
-                waiting = []
-                roots.append(len(nodes))
-            elif line.startswith(("If", "Predict")):
-                k = len(nodes)
-                if waiting:
-                    parent, side = waiting.pop()
-                    nodes[parent][side] = k
-                m = re.match(r"If \(feature (\d+) <= ([^)]+)\)", line)
-                if m:
-                    nodes.append([int(m[1]), float(m[2]), -1, -1, 0.0])
-                    waiting += [(k, 3), (k, 2)]
-                else:
-                    nodes.append([-1, 0.0, -1, -1, float(line.split(":")[1])])
-        cols = list(zip(*nodes, strict=True))
-        return cls(*[np.array(c) for c in cols], np.array(roots), np.array(weights, float))
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for root, w in zip(self.roots, self.weights, strict=True):
-            at = np.full(len(x), root)
-            while True:
-                f = self.feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go = x[np.arange(len(x)), np.maximum(f, 0)] <= self.threshold[at]
-                at = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
-            total += w * self.value[at]
-        return total
-
-
-def _fit_trees(rows: DataFrame, features, label, settings: dict) -> Trees:
+def _fit_trees(rows: DataFrame, features, label, settings: dict) -> GBTRegressionModel:
     data = rows.select(array_to_vector(features).alias("features"), label.cast("double").alias("label"))
-    model = GBTRegressor(**settings).fit(data)
-    return Trees.of(model.toDebugString, model.treeWeights)
+    return GBTRegressor(**settings).fit(data)
+
+
+def _predicted(rows: DataFrame, models: Sequence[GBTRegressionModel], features: Column, names: Sequence[str]) -> DataFrame:
+    """``rows`` with a model's prediction a name, all from the same features."""
+    rows = rows.withColumn("__features", array_to_vector(features))
+    for model, name in zip(models, names, strict=True):
+        rows = model.copy().setFeaturesCol("__features").setPredictionCol(name).transform(rows)
+    return rows.drop("__features")
 
 
 def _together(jobs: list, threads: int = 4) -> list:
@@ -120,13 +75,14 @@ class JointFlow:
         self.models = [flat[k * self.dims : (k + 1) * self.dims] for k in range(self.nt)]
         return self
 
-    def draw(self, noise: np.ndarray, cond: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-        """Rows from noise and condition: Euler steps of 1 / nt."""
-        x = noise.copy()
+    def draw(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (z: noise, cond, ...) with ``x``, drawn by Euler steps of 1 / nt; the fitted models transform the rows where they are."""
+        rows = rows.withColumn("x", F.col("z"))
+        names = [f"__v{d}" for d in range(self.dims)]
         for level in self.models:
-            inputs = np.hstack([x, cond])
-            x = x + np.column_stack([m.predict(inputs) for m in level]) / self.nt
-        return x
+            rows = _predicted(rows, level, F.concat("x", "cond"), names)
+            rows = rows.withColumn("x", F.array(*[F.get("x", d) + F.col(n) / self.nt for d, n in enumerate(names)])).drop(*names)
+        return rows
 
 
 @dataclass
@@ -168,41 +124,45 @@ class SequentialFlow:
     def _classes(self, base: DataFrame, d: int):
         codes = sorted(r[0] for r in base.select(F.get("x_target", d)).distinct().collect())  # one row a class
         if len(codes) == 1:
-            return codes, None, None
+            return codes, None
         local = F.array_position(F.array(*[F.lit(c) for c in codes]), F.get("x_target", d)) - 1
         features = F.concat("x_cond", F.slice("x_target", 1, d) if d else F.array().cast("array<double>"))
-        model = LogisticRegression(family="multinomial", regParam=0.01, maxIter=50).fit(base.select(array_to_vector(features).alias("features"), local.cast("double").alias("label")))
-        return codes, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        return codes, LogisticRegression(family="multinomial", regParam=0.01, maxIter=50).fit(base.select(array_to_vector(features).alias("features"), local.cast("double").alias("label")))
 
-    def draw(self, noise: np.ndarray, cond: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-        done = np.zeros((len(noise), 0))
+    def draw(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (z: noise, u: uniform draws, cond, ...) with ``x``, a dimension after the other."""
+        rows = rows.withColumn("x", F.array().cast("array<double>"))
         for d, model in enumerate(self.models):
-            if d in self.categorical:
-                codes, weights, bias = model
-                if weights is None:
-                    new = np.full(len(noise), codes[0])
-                else:
-                    logits = np.hstack([cond, done]) @ weights.T + bias
-                    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    new = np.array(codes)[np.minimum((p.cumsum(axis=1) < uniform[:, d, None]).sum(axis=1), len(codes) - 1)]
-            else:
-                new = self._follow(model, noise[:, d], cond, done)
-            done = np.column_stack([done, new])
-        return done
-
-    def _follow(self, levels: list, x: np.ndarray, cond: np.ndarray, done: np.ndarray) -> np.ndarray:
-        h = 1.0 / self.nt
-        v = lambda k, at: levels[min(k, self.nt - 1)].predict(np.column_stack([at, cond, done]))
+            rows = self._drawn_code(rows, d, *model) if d in self.categorical else self._followed(rows, d, model)
+            rows = rows.withColumn("x", F.concat("x", F.array("__new"))).drop("__new")
+        return rows
+
+    def _drawn_code(self, rows: DataFrame, d: int, codes: list, model) -> DataFrame:
+        if model is None:
+            return rows.withColumn("__new", F.lit(float(codes[0])))
+        rows = rows.withColumn("__features", array_to_vector(F.concat("cond", "x")))
+        rows = model.copy().setFeaturesCol("__features").setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__said").transform(rows).withColumn("__q", vector_to_array("__p"))
+        upto = lambda k: sum((F.get("__q", i) for i in range(k + 1)), F.lit(0.0))
+        place = sum((F.when(upto(k) < F.get("u", d), 1).otherwise(0) for k in range(len(codes) - 1)), F.lit(0))
+        return rows.withColumn("__new", F.get(F.array(*[F.lit(float(c)) for c in codes]), place)).drop("__features", "__p", "__q", "__raw", "__said")
+
+    def _followed(self, rows: DataFrame, d: int, levels: list) -> DataFrame:
+        """The flow of one dimension from its noise, by Runge-Kutta (or Euler) steps."""
+        h, rows = 1.0 / self.nt, rows.withColumn("__new", F.get("z", d))
+
+        def velocity(rows: DataFrame, k: int, at: Column, name: str) -> DataFrame:
+            return _predicted(rows, [levels[min(k, self.nt - 1)]], F.concat(F.array(at), "cond", "x"), [name])
+
         for k in range(self.nt):
-            a = v(k, x)
+            rows = velocity(rows, k, F.col("__new"), "__a")
             if self.solver == "euler":
-                x = x + h * a
+                rows = rows.withColumn("__new", F.col("__new") + h * F.col("__a")).drop("__a")
                 continue
-            b = v(k, x + h / 2 * a)
-            c = v(k, x + h / 2 * b)
-            x = x + h / 6 * (a + 2 * b + 2 * c + v(k + 1, x + h * c))
-        return x
+            rows = velocity(rows, k, F.col("__new") + h / 2 * F.col("__a"), "__b")
+            rows = velocity(rows, k, F.col("__new") + h / 2 * F.col("__b"), "__c")
+            rows = velocity(rows, k + 1, F.col("__new") + h * F.col("__c"), "__d")
+            rows = rows.withColumn("__new", F.col("__new") + h / 6 * (F.col("__a") + 2 * F.col("__b") + 2 * F.col("__c") + F.col("__d"))).drop("__a", "__b", "__c", "__d")
+        return rows
 
 
 def flow_feature_types(kinds: Sequence[str], n_target: int) -> list[str]:

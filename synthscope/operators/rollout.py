@@ -1,55 +1,29 @@
-"""Drawing synthetic rows and trajectories from fitted generators, in blocks of subjects."""
+"""Drawing synthetic rows and trajectories from fitted generators."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_unit, round_clip
+from ..functions.scalars import hash_normal, hash_unit, round_clip
+from ..sources.io import scratch_folder
 
 START = -1.0
 
 
-def _noise(seed: int, ids, steps: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normal and uniform draws by (subject, step, dimension), from a generator seeded by seed and subject."""
-    rngs = [np.random.default_rng([seed, int(i)]) for i in ids]
-    return np.array([r.standard_normal((steps, dims)) for r in rngs]).reshape(len(rngs), steps, dims), np.array([r.random((steps, dims)) for r in rngs]).reshape(len(rngs), steps, dims)
+def _with_noise(rows: DataFrame, dims: int, seed: int, step: int) -> DataFrame:
+    """Normal and uniform draws by row, step and dimension, from hashes."""
+    draws = lambda f: F.array(*[f(seed, F.col("id"), F.lit(step), F.lit(d)) for d in range(dims)])
+    return rows.withColumn("z", draws(hash_normal)).withColumn("u", draws(hash_unit))
 
 
 def sample(model, conditions: DataFrame, seed: int = 0) -> DataFrame:
     """(id, x): a drawn row for each row (id, x_cond)."""
-
-    def draw(frames):
-        for f in frames:
-            cond = np.array(f["x_cond"].tolist(), float).reshape(len(f), -1)
-            normal, uniform = _noise(seed, f["id"], 1, model.dims)
-            yield pd.DataFrame({"id": f["id"], "x": model.draw(normal[:, 0], cond, uniform[:, 0]).tolist()})
-
-    return conditions.select(F.col("id").cast("long").alias("id"), "x_cond").mapInPandas(draw, "id long, x array<double>")
-
-
-def _roll(frames, model, steps: int, seed: int, stop: int | None, threshold: float, feedback: Sequence[int]):
-    for f in frames:
-        static = np.array(f["x_static"].tolist(), float).reshape(len(f), -1)
-        lag = np.array([s if s is not None else [START] * len(feedback) for s in f["start"]], float).reshape(len(f), len(feedback))
-        normal, uniform = _noise(seed, f["id"], steps, model.dims)
-        live, out = np.ones(len(f), bool), []
-        for t in range(steps):
-            if not live.any():
-                break
-            cond = np.hstack([static, lag])
-            x = model.draw(normal[:, t], cond, uniform[:, t])
-            out += [(i, t, row.tolist(), c.tolist()) for i, row, c, on in zip(f["id"], x, cond, live, strict=True) if on]
-            if stop is not None:
-                live &= ~(x[:, stop] > threshold)
-            lag = x[:, list(feedback)]
-        yield pd.DataFrame(out, columns=["id", "step", "x", "x_cond"])
+    rows = conditions.select(F.col("id").cast("long").alias("id"), F.col("x_cond").alias("cond"))
+    return model.draw(_with_noise(rows, model.dims, seed, 0)).select("id", "x")
 
 
 def rollout(model, subjects: DataFrame, steps: int = 48, seed: int = 0, stop: int | None = None, threshold: float = 0.5, feedback: Sequence[int] | None = None) -> DataFrame:
@@ -57,14 +31,25 @@ def rollout(model, subjects: DataFrame, steps: int = 48, seed: int = 0, stop: in
 
     The condition of a step is the static part and the fed-back dimensions of the step before
     (-1, or ``start`` where given, at step 0). With ``stop``, a trajectory ends after the
-    step where that dimension passes the threshold. All steps of a block of subjects run in
-    one task, so the plan does not grow with the number of steps.
+    step where that dimension passes the threshold. A step is a stored table that the next one
+    starts from, so the plan does not grow with the number of steps and a lost executor costs one step.
     """
-    if "start" not in subjects.columns:
-        subjects = subjects.withColumn("start", F.lit(None).cast("array<double>"))
-    rows = subjects.select(F.col("id").cast("long").alias("id"), "x_static", "start")
-    run = partial(_roll, model=model, steps=steps, seed=seed, stop=stop, threshold=threshold, feedback=list(range(model.dims)) if feedback is None else list(feedback))
-    return rows.mapInPandas(run, "id long, step int, x array<double>, x_cond array<double>")
+    spark = subjects.sparkSession
+    back = list(range(model.dims)) if feedback is None else list(feedback)
+    begin = F.array(*[F.lit(START)] * len(back))
+    lag = F.coalesce("start", begin) if "start" in subjects.columns else begin
+    state = subjects.select(F.col("id").cast("long").alias("id"), "x_static", lag.alias("lag"))
+    folder, paths = scratch_folder(spark), []
+    for t in range(steps):
+        if stop is not None and state.isEmpty():
+            break
+        rows = _with_noise(state.select("id", "x_static", F.concat("x_static", "lag").alias("cond")), model.dims, seed, t)
+        paths.append(f"{folder}/step-{t}")
+        model.draw(rows).select("id", F.lit(t).alias("step"), "x", F.col("cond").alias("x_cond"), "x_static").write.parquet(paths[-1])
+        now = spark.read.parquet(paths[-1])
+        live = now if stop is None else now.where(~(F.get("x", stop) > threshold))
+        state = live.select("id", "x_static", F.array(*[F.get("x", d) for d in back]).alias("lag"))
+    return spark.read.schema("id long, step int, x array<double>, x_cond array<double>").parquet(*paths)
 
 
 def unconditional_to_trajectories(rows: DataFrame, n_subjects: int, names: Sequence[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +15,8 @@ from .queries import _hashed, query
 
 
 def _folder(df: DataFrame) -> str:
-    """A new folder for tables that a query writes and reads back: the shared one of the cluster, else the warehouse."""
-    conf = df.sparkSession.conf
-    return f"{(conf.get('spark.checkpoint.dir', None) or conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder for tables that a query writes and reads back."""
+    return io.scratch_folder(df.sparkSession)
 
 
 # --- scalar functions -----------------------------------------------------------------------

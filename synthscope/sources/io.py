@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,11 @@ def eav_with_ids(rows: DataFrame, id_parameter: str) -> DataFrame:
     return rows.where(F.col("Parameter") != id_parameter).join(ids, "file").select("entity_id", F.col("Time").alias("time"), F.col("Parameter").alias("parameter"), value.alias("value"))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, else in the warehouse."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def count_rows(df: DataFrame) -> int:
     return df.count()
 
