@@ -111,8 +111,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, n: int, t: float) -> DataFrame
     counted = hits.distinct().join(signed, "h").groupBy("doc_id", "tid", "item_id", "item_tid").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     found = stored(counted.where("n >= need").select(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid"), "item_id", "item_tid"))
     wanted.unpersist()
-    pairs = found.join(items.withColumnRenamed("text", "item_text"), ["item_id", "item_tid"])
-    both = texts.join(pairs, (F.col("tid") == F.col("of_tid")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "tid", "text", "item_id", "item_text")
+    # the stored list of candidates first: where it is small no document is shuffled
+    held = texts.join(found, (F.col("tid") == F.col("of_tid")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    both = held.join(items.withColumnRenamed("text", "item_text"), ["item_id", "item_tid"]).select("doc_id", "tid", "text", "item_id", "item_text")
     return both.mapInArrow(partial(_verify_batches, n=n, t=t), "doc_id long, tid long, item_id long, n_shared long, n_item long")
 
 
