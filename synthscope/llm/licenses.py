@@ -1,9 +1,9 @@
-"""Licence scans: lines of text against licence templates by Dice over word bigrams.
+"""Licence scans: runs of lines of a text against licence templates by Dice over word bigrams.
 
 Native expressions only. Templates are few and short, so they are literals of the plan. A
-line is compared with a template only if its number of bigrams lies within the bounds that
+run of lines is compared with a template only if its number of bigrams lies within the bounds that
 the Dice threshold allows, and if it holds one of the few bigrams of the template that no
-match can do without; one regular expression over those drops the other lines first.
+match can do without; one regular expression over those drops the other texts and lines first.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
+#: Lines that a notice may be wrapped over.
+MOST_LINES = 3
 
 
 def normal_words(text: str) -> list[str]:
@@ -49,13 +51,25 @@ def size_bounds(q: int, t: float) -> tuple[int, int]:
     return ceil(q * t / (2 - t) - 1e-9), floor(q * (2 - t) / t + 1e-9)
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no, license, dice) of every line of every whole text that matches a template.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    A line that reaches the threshold with several templates counts for the best, ties for
-    the first in the order of names. Line numbers start at 1. Null and blank texts and lines
-    without words match nothing; repeated rows are reported each; other columns are ignored;
-    an empty table gives no rows.
+
+def _word_pairs(w: Column) -> Column:
+    """The distinct bigrams of an array of words, as in ``bigrams``."""
+    n = F.greatest(F.size(w) - 1, F.lit(1))
+    return F.when(F.size(w) > 1, F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y)))).otherwise(w)
+
+
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, most_lines: int = MOST_LINES) -> DataFrame:
+    """(doc_id, line_no, n_lines, license, dice) of every run of up to ``most_lines`` lines of every whole text that matches a template.
+
+    A run begins and ends with a line that has words, and is reported unless a part of it is as
+    good or a longer run that holds it is better; so a notice counts once, whether it stands on one line or is wrapped. A run that
+    reaches the threshold with several templates counts for the best, ties for the first in the order of
+    names. Line numbers start at 1. Null and blank texts match nothing; texts of any length
+    are scanned whole; repeated rows are reported each; other columns are ignored; an empty table gives no rows.
     """
     known = {name: bigrams(normal_words(text)) for name, text in sorted(templates.items())}
     known = {name: grams for name, grams in known.items() if grams}
@@ -65,18 +79,37 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     grams_needed = sorted({gram for g in needed.values() for gram in g})
     initials = "".join(sorted({gram[0] for gram in grams_needed}))
     pivot = "|".join(gram.replace(" ", "[^a-z0-9]+") for gram in grams_needed)  # the words next to each other, whatever stands between
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "line"))
-    lines = lines.where(F.col("line").rlike(rf"(?i)(?=[{initials}])(?<![a-z0-9])(?:{pivot})(?![a-z0-9])"))
+    wanted = rf"(?i)(?=[{initials}])(?<![a-z0-9])(?:{pivot})(?![a-z0-9])"
+    text = F.col("text").cast("string")
     # each step's value is generated as a row of its own, or the planner would repeat its expression wherever the next step names it
-    words = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.explode(F.array(line_words(F.col("line")))).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.array_distinct(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.col("w"))
-    low, high = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    grams = words.where(F.size("w") > 0).where(F.size("w") >= low).select("doc_id", "line_no", F.explode(F.array(pairs)).alias("g")).where(F.size("g").between(low, high))
-    scores = []
-    for name, own in known.items():
-        own_grams = F.array(*[F.lit(g) for g in own])
-        dice = 2 * F.size(F.array_intersect("g", own_grams)) / (F.size("g") + len(own))
-        fits = F.size("g").between(*bounds[name]) & F.arrays_overlap("g", F.array(*[F.lit(g) for g in needed[name]]))
-        scores.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
-    best = F.aggregate(F.array(*scores), scores[0] if len(scores) == 1 else F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
-    return grams.select("doc_id", "line_no", F.explode(F.array(best)).alias("b")).where(F.col("b.dice") >= threshold - 1e-12).select("doc_id", "line_no", "b.license", "b.dice")
+    lines = docs.where(text.rlike(wanted)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(F.split(text, "\n"))).alias("lines"))
+    before = lambda i: F.least(i - 1, F.lit(most_lines - 1))  # noqa: E731  lines ahead of a run's first that are looked at too
+    around = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.struct(i.alias("line_no"), before(i).alias("before"), F.slice("lines", i - before(i), before(i) + most_lines).alias("run")))
+    runs = lines.select("doc_id", F.explode(around).alias("r")).select("doc_id", F.col("r.line_no").cast("long").alias("line_no"), "r.before", "r.run")
+    runs = runs.where(F.concat_ws("\n", F.slice("run", F.col("before") + 1, most_lines)).rlike(wanted))
+
+    def best(grams: Column) -> Column:
+        scores = []
+        for name, own in known.items():
+            dice = 2 * F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in own]))) / (F.size(grams) + len(own))
+            fits = F.size(grams).between(*bounds[name]) & F.arrays_overlap(grams, F.array(*[F.lit(g) for g in needed[name]]))
+            scores.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
+        return F.aggregate(F.array(*scores), F.lit(None).cast("struct<dice:double,license:string>"), lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a))
+
+    def judged(part: Column) -> Column:
+        ends = F.get(part, 0).rlike("[A-Za-z0-9]") & F.element_at(part, -1).rlike("[A-Za-z0-9]")
+        return F.when(ends, _let(_word_pairs(line_words(F.concat_ws("\n", part))), best))
+
+    parts = [(o, k) for k in range(1, most_lines + 1) for o in range(1 - most_lines, most_lines) if o + k <= most_lines]
+    first = lambda o: F.col("before") + o + 1
+    cells = [F.when((first(o) >= 1) & (first(o) + k - 1 <= F.size("run")), judged(F.slice("run", F.greatest(first(o), F.lit(1)), k))).alias(f"{o}_{k}") for o, k in parts]
+    rows = runs.select("doc_id", "line_no", F.explode(F.array(F.struct(*cells))).alias("c"))
+    dice = lambda o, k: F.coalesce(F.col(f"c.`{o}_{k}`")["dice"], F.lit(0.0))
+    found = []
+    for k in range(1, most_lines + 1):
+        own = F.col(f"c.`0_{k}`")
+        inner = [dice(o, j) for o, j in parts if j < k and o >= 0 and o + j <= k]
+        outer = [dice(o, j) for o, j in parts if j > k and o <= 0 and o + j >= k]
+        beats = (own["dice"] >= threshold - 1e-12) & (own["dice"] > F.greatest(*inner, F.lit(0.0), F.lit(0.0))) & (own["dice"] >= F.greatest(*outer, F.lit(0.0), F.lit(0.0)))
+        found.append(F.when(beats, F.struct(F.lit(k).cast("long").alias("n_lines"), own["license"].alias("license"), own["dice"].alias("dice"))))
+    return rows.select("doc_id", "line_no", F.explode(F.array_compact(F.array(*found))).alias("m")).select("doc_id", "line_no", "m.n_lines", "m.license", "m.dice")

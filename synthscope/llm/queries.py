@@ -118,16 +118,20 @@ FROM parts p LEFT JOIN r_allow_{urls.ROUNDS} a ON p.host = a.host LEFT JOIN r_bl
 
 
 def _licenses_sql() -> str:
-    """Every line against every template, by plain Dice."""
+    """Every run of lines against every template, by plain Dice; runs with a part that is as good, and parts of a better run, are left out."""
     values = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in licenses.bigrams(licenses.normal_words(text)))) for name, text in sorted(licenses.TEMPLATES.items()))
     return f"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents),
-worded AS (SELECT doc_id, line_no, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM lines),
-grams AS (SELECT doc_id, line_no, CASE WHEN len(w) > 1 THEN list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) ELSE w END AS g FROM worded WHERE len(w) > 0),
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+runs AS (SELECT doc_id, i, k, l[i:i + k - 1] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split), (SELECT unnest(range(1, {licenses.MOST_LINES + 1})) AS k) WHERE i + k - 1 <= len(l)),
+worded AS (SELECT doc_id, i, k, regexp_extract_all(translate(array_to_string(run, chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM runs WHERE regexp_matches(run[1], '[A-Za-z0-9]') AND regexp_matches(run[k], '[A-Za-z0-9]')),
+grams AS (SELECT doc_id, i, k, CASE WHEN len(w) > 1 THEN list_distinct([w[j] || ' ' || w[j + 1] for j in range(1, len(w))]) ELSE w END AS g FROM worded WHERE len(w) > 0),
 templates(license, t) AS (VALUES {values}),
-scored AS (SELECT doc_id, line_no, license, 2 * len(list_intersect(g, t)) / (len(g) + len(t))::DOUBLE AS dice FROM grams, templates),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {licenses.THRESHOLD} - 1e-12)
-SELECT doc_id, line_no, license, dice FROM best WHERE r = 1
+scored AS (SELECT doc_id, i, k, license, 2 * len(list_intersect(g, t)) / (len(g) + len(t))::DOUBLE AS dice FROM grams, templates),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i, k ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {licenses.THRESHOLD} - 1e-12),
+runs_found AS (SELECT * FROM best WHERE r = 1)
+SELECT doc_id, i::BIGINT AS line_no, k::BIGINT AS n_lines, license, dice FROM runs_found m
+WHERE NOT EXISTS (SELECT 1 FROM runs_found p WHERE p.doc_id = m.doc_id AND p.k < m.k AND p.i >= m.i AND p.i + p.k <= m.i + m.k AND p.dice >= m.dice)
+AND NOT EXISTS (SELECT 1 FROM runs_found p WHERE p.doc_id = m.doc_id AND p.k > m.k AND p.i <= m.i AND p.i + p.k >= m.i + m.k AND p.dice > m.dice)
 """
 
 

@@ -8,27 +8,41 @@ LINES = ["Licensed under the Apache License, Version 2.0.", "  ** licensed UNDER
          "This work is licensed under the GNU General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under CC BY-NC 4.0. " * 3, "Licensed under CC BY-NC 4.0."]
 
 
+WRAPPED = "# Redistribution and use in source and binary forms,\n# with or without modification, are permitted provided\n# that the following conditions are met:\n\n/* Licensed under the Apache\n * License, Version 2.0. */"
+
+
 def slow(rows):
     out = set()
     grams = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])} if len(w) > 1 else set(w)
+    words = lambda x: re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in x))
     for d, text in rows:
-        for no, line in enumerate((text or "").split("\n"), 1):
-            g = grams(re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in line)))
-            found = []
-            for name, t in sorted(licenses.TEMPLATES.items()):
-                own = grams(re.findall("[a-z0-9]+", t.lower()))
-                if g and (dice := 2 * len(g & own) / (len(g) + len(own))) >= 0.8:
-                    found.append((-dice, name))
-            if found:
-                out.add((d, no, min(found)[1], round(-min(found)[0], 9)))
+        lines, best = (text or "").split("\n"), {}
+        for i in range(len(lines)):
+            for k in range(1, min(licenses.MOST_LINES, len(lines) - i) + 1):
+                run = lines[i : i + k]
+                g = grams(words("\n".join(run)))
+                if not words(run[0]) or not words(run[-1]):
+                    continue
+                found = [(-2 * len(g & own) / (len(g) + len(own)), name) for name, t in sorted(licenses.TEMPLATES.items()) for own in [grams(words(t))]]
+                if -min(found)[0] >= 0.8:
+                    best[i, k] = min(found)
+        for (i, k), (dice, name) in best.items():
+            within = any(j >= i and j + n <= i + k and n < k and other <= dice for (j, n), (other, _) in best.items())
+            if not within and not any(j <= i and j + n >= i + k and n > k and other < dice for (j, n), (other, _) in best.items()):
+                out.add((d, i + 1, k, name, round(-dice, 9)))
     return out
 
 
 def test_matches_brute_force(spark):
-    rows = [(i, x) for i, x in enumerate(LINES)] + [(50, "\n".join(LINES)), (51, None), (None, LINES[0]), (52, "é\n" * 5000 + LINES[2]), (53, "\r\n".join(LINES)), (53, "\r\n".join(LINES))]
+    rows = [(i, x) for i, x in enumerate(LINES)] + [(50, "\n".join(LINES)), (51, None), (None, LINES[0]), (52, "é\n" * 5000 + LINES[2]), (54, WRAPPED), (55, "\n".join([WRAPPED, "", "Thanks.", *LINES])), (53, "\r\n".join(LINES)), (53, "\r\n".join(LINES))]
     frame = spark.createDataFrame([(*r, "MIT", 0) for r in rows], "doc_id long, text string, license string, line_no int")
-    got = [(r["doc_id"], r["line_no"], r["license"], round(r["dice"], 9)) for r in licenses.scan_licenses(frame).collect()]
+    got = [(r["doc_id"], r["line_no"], r["n_lines"], r["license"], round(r["dice"], 9)) for r in licenses.scan_licenses(frame).collect()]
     assert set(got) == slow(rows) and len(got) == len(slow(rows)) + len(slow([rows[-1]]))
     few = {"MIT": licenses.TEMPLATES["MIT"]}
     assert {r["license"] for r in licenses.scan_licenses(frame, few).collect()} == {"MIT"}
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_wrapped_notices_are_found_once(spark):
+    got = licenses.scan_licenses(spark.createDataFrame([(1, "Thanks.\n" + WRAPPED + "\nDone.")], "doc_id long, text string")).collect()
+    assert sorted((r["line_no"], r["n_lines"], r["license"]) for r in got) == [(2, 3, "BSD"), (6, 2, "Apache-2.0")]
