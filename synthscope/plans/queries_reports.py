@@ -33,7 +33,7 @@ _CI = "[12.706205, 4.302653, 3.182446, 2.776445][n - 1] * s / sqrt(n)"
 @query(
     f"SELECT c.nt, c.n_noise, {_pick('mean', 'F')} AS auc, {_pick('s', 'F')} AS auc_std, {_pick(_CI, 'F')} AS auc_ci95, {_pick('mean', 'O')} AS f1, {_pick('mean', 'P')} AS ks, any_value(k.seeds)::INT AS trajectory_seed_count, "
     f"coalesce(max(CASE WHEN metric = 'F' THEN mean END) <= 0.55 AND max(CASE WHEN metric = 'O' THEN mean END) <= 0.15, false) AS degenerate_flag FROM {_CELL} c JOIN (SELECT nt, n_noise, count(DISTINCT seed) AS seeds FROM {_LONG} GROUP BY nt, n_noise) k ON c.nt = k.nt AND c.n_noise = k.n_noise GROUP BY c.nt, c.n_noise",
-    "auc auc_std auc_ci95 f1 ks", "nt n_noise trajectory_seed_count degenerate_flag", 3,
+    "auc auc_std auc_ci95 f1 ks", "nt n_noise trajectory_seed_count degenerate_flag", 4,
 )
 def result_rows(t):
     o = t("orders")
@@ -121,7 +121,7 @@ def _inner(name: str, value: str) -> str:
 
 @query(
     f"SELECT {_inner('autocorr_distance', 'autocorr_distance')} AS autocorr_distance, {_inner('stay_length_ks', 'stay_length_ks')} AS stay_length_ks, {_inner('step_ratio', 'transition_mse_ratio')} AS transition_mse_ratio, {_inner('pair_corr_drift', 'temporal_corr_drift')} AS temporal_corr_drift",
-    "autocorr_distance stay_length_ks transition_mse_ratio temporal_corr_drift", digits=6,
+    "autocorr_distance stay_length_ks transition_mse_ratio temporal_corr_drift", digits=7,
 )
 def trajectory_bundle(t):
     """The four at once, over vital signs found by their names."""
