@@ -106,7 +106,7 @@ def _anchor_batches(batches):
 def _keyed_batches(batches, wanted):
     """Anchors whose slot is in the filter, with hashes of the anchor string and of its context."""
     for ids, no, pos, h, texts, tids in _anchored(batches):
-        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        slot = (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)  # the lower bits: anchors are least hashes, so their upper ones are mostly 0
         keep = (wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
         no, pos, h = no[keep], pos[keep], h[keep]
         contexts = np.zeros(len(no), np.int64)
@@ -329,7 +329,7 @@ def _shared_hashes(texts: DataFrame):
     """The filter of anchor hashes that occur in two documents, as a broadcast. They are counted with a
     combine in each task, so a hash that most documents have costs a row a task."""
     found = texts.where("doc_id is not null").mapInArrow(_anchor_batches, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return texts.sparkSession.sparkContext.broadcast(slot_filter(found.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("slot")), FILTER_BITS))
+    return texts.sparkSession.sparkContext.broadcast(slot_filter(found.select(F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("slot")), FILTER_BITS))
 
 
 def _judged_anchors(texts: DataFrame, wanted) -> DataFrame:
