@@ -71,7 +71,7 @@ def _hit_batches(batches, widths: list[int], wanted):
             words = word_hashes(text)
             for width in widths:
                 h = run_hashes(words, width)
-                slot = h >> np.uint64(64 - FILTER_BITS)
+                slot = h & np.uint64((1 << FILTER_BITS) - 1)  # the lower bits, as signatures are least hashes
                 h = np.unique(h[(held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0])
                 if len(h):
                     rows.append(np.full(len(h), i))
@@ -105,7 +105,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, n: int, t: float) -> DataFrame
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(item_text).alias("item_tid"), item_text.alias("text")).where("item_id is not null and text is not null").distinct())
     signed = stored(items.mapInArrow(partial(_sign_batches, n=n, t=t), "item_id long, item_tid long, width long, need long, h long"))
     widths = sorted(r["width"] for r in signed.select("width").distinct().collect())  # n and those of shorter items: n values at most
-    wanted = spark.sparkContext.broadcast(slot_filter(signed.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("slot")), FILTER_BITS))
+    wanted = spark.sparkContext.broadcast(slot_filter(signed.select(F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("slot")), FILTER_BITS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     hits = texts.where("text is not null").mapInArrow(partial(_hit_batches, widths=widths, wanted=wanted), "doc_id long, tid long, h long")
     counted = hits.distinct().join(signed, "h").groupBy("doc_id", "tid", "item_id", "item_tid").agg(F.count("*").alias("n"), F.max("need").alias("need"))
