@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, editembed, licenses, mixing, pii, quality, simhash, suffix, urls
+from . import chat, decontam, editembed, licenses, mixing, pii, quality, repair, runs, simhash, suffix, topk, urls
+from .common import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,33 @@ def op10_decontam(spark, sf_dir):
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_pii, op4_urls, op5_licenses, op6_chat, op7_quality, op8_suffix, op9_editembed, op10_decontam)}
+def op11_topk(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20, scale=64.0)
+
+
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32 of the id ends in 0, the words from a on repeat the first p of them. Rows without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (h % 10 == 0).alias("repeats"), F.floor(h / 10).alias("g"))
+    words = cut.withColumn("words", F.when(F.col("repeats"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).withColumn("n", F.size("words"))
+    placed = words.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int"))).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    new = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(F.array_repeat(period, times))), F.lit(1), F.col("n"))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark, sf_dir):
+    return runs.run_digests(runs.periodic_runs(_with_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_repair(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(repair.damage(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_pii, op4_urls, op5_licenses, op6_chat, op7_quality, op8_suffix, op9_editembed, op10_decontam, op11_topk, op12_runs, op13_repair)}
 
 
 # --- SQL --------------------------------------------------------------------------------
@@ -174,4 +201,55 @@ def _nested(column: str, pairs: list[tuple[str, str]], quote) -> str:
     return column
 
 
-ORACLES = {"op2_mixing": _mixing_sql(), "op4_urls": _urls_sql(), "op5_licenses": _licenses_sql(), "op6_chat": _chat_sql(), "op10_decontam": _decontam_sql()}
+def _topk_sql() -> str:
+    """Every query with every other row."""
+    return """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= 20
+"""
+
+
+def _repair_sql() -> str:
+    """Damage, faults, and the edits row by row for all conversations at once: the least (cost, audit) of each state of the pattern."""
+    crc_step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = f"xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT), lambda t, x: list_reduce(range(8), lambda c, i: {crc_step}, xor(t, x)), 4294967295), 4294967295)"
+    blank, cut = r"text NOT SIMILAR TO '(?s).*[^\x20\x09-\x0D].*'", r"regexp_extract(text, '(?s)^.*([^\x20\x09-\x0D])', 1) NOT IN ('.', '!', '?')"
+    edge = lambda state, cost, letter: f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END"
+    least = lambda *xs: f"list_min(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))"
+    keep = lambda state, initial: f"CASE WHEN may AND initial = '{initial}' THEN {edge(state, 'extra', 'K')} END"
+    rename = lambda state: f"CASE WHEN may THEN {edge(state, '1 + extra', 'R')} END"
+    drop = lambda state: edge(state, 2, "D")
+    return rf"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, {crc} % 20 AS kind FROM base),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+placed AS (SELECT *, {blank} AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, {cut} AS cut FROM numbered),
+faults AS MATERIALIZED (SELECT conv_id, turn, role, text, i, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated, left(role, 1) AS initial,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+edits AS (SELECT coalesce(conv_id, -9223372036854775808) AS conv, i, initial, NOT blank AND NOT duplicate AS may, CASE WHEN truncated THEN 5 ELSE 0 END AS extra FROM faults),
+none AS (SELECT NULL::STRUCT(c BIGINT, a VARCHAR) AS x),
+steps AS (
+  SELECT DISTINCT conv, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS n, (SELECT x FROM none) AS s, {{'c': 5::BIGINT, 'a': 'I'}} AS u, {{'c': 10::BIGINT, 'a': 'II'}} AS a FROM edits
+  UNION ALL
+  SELECT conv, i, n, s, {least('u1', edge('n', 5, 'I'), edge('s', 5, 'I'), edge('a1', 5, 'I'))} AS u, {least('a1', edge(least('u1', edge('n', 5, 'I'), edge('s', 5, 'I')), 5, 'I'))} AS a FROM (
+    SELECT e.conv, e.i, {drop('n')} AS n, {least(drop('s'), keep('n', 's'))} AS s,
+      {least(drop('u'), *[x for state in 'nsa' for x in (keep(state, 'u'), rename(state))])} AS u1, {least(drop('a'), keep('u', 'a'), rename('u'))} AS a1
+    FROM steps t JOIN edits e ON e.conv = t.conv AND e.i = t.i + 1)),
+ends AS (SELECT conv, {least('n', 'a')} AS e FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1)),
+letters AS (SELECT conv, unnest(range(1, length(e.a) + 1)) AS p, e.a AS audit FROM ends),
+read AS (SELECT conv, p, substr(audit, p, 1) AS x, p - (length(substr(audit, 1, p)) - length(replace(substr(audit, 1, p), 'I', ''))) AS i, length(replace(substr(audit, 1, p), 'D', '')) AS place FROM letters),
+spoken AS (SELECT r.conv, r.x, r.place, coalesce(f.role, '') AS role, CASE WHEN r.x = 'I' THEN '' ELSE f.text END AS text, first_value(r.x = 'K' AND f.initial = 's') OVER (PARTITION BY r.conv ORDER BY r.place) AS opened
+  FROM read r LEFT JOIN faults f ON r.x <> 'I' AND coalesce(f.conv_id, -9223372036854775808) = r.conv AND f.i = r.i WHERE r.x <> 'D'),
+said AS (SELECT conv, string_agg(CASE WHEN x = 'K' THEN role WHEN (place - opened::BIGINT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS text FROM spoken GROUP BY conv),
+sums AS (SELECT coalesce(conv_id, -9223372036854775808) AS conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::BIGINT) AS blank, sum(duplicate::BIGINT) AS duplicate, sum(truncated::BIGINT) AS truncated,
+  sum((before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT) AS illegal FROM faults GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(e.e.c, 0)::BIGINT AS cost, coalesce(e.e.a, '') AS audit, sha256(coalesce(d.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums m ON m.conv = coalesce(o.conv_id, -9223372036854775808) LEFT JOIN ends e ON e.conv = m.conv LEFT JOIN said d ON d.conv = m.conv
+"""
+
+
+ORACLES = {"op2_mixing": _mixing_sql(), "op4_urls": _urls_sql(), "op5_licenses": _licenses_sql(), "op6_chat": _chat_sql(), "op10_decontam": _decontam_sql(), "op11_topk": _topk_sql(), "op13_repair": _repair_sql()}
