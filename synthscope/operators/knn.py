@@ -1,33 +1,166 @@
 """Nearest neighbours in mixed-type tables: squared differences of numbers, 2 for each category that differs.
 
-Categories are compared by a 64-bit hash of their text.
+The reference is cut into cells of like rows. A cell has a box - ends of each number, and each
+category's value if all its rows share it - and no row in it is nearer to a query than its box. A query
+first meets its nearest cell, and then only the cells whose boxes are no farther than its k-th
+neighbour there. Categories are compared by a 64-bit hash of their text.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Reference and query rows that meet in one task, about, and pairs whose distances a task holds at once.
-BLOCK_ROWS, CHUNK_ROWS, BLOCK_PAIRS = 20_000, 2_048, 2_000_000
+from ..sources.io import scratch_folder
+
+#: Reference rows of a cell, about, and cells at most; rows of the sample that says where cells are cut; queries that meet a cell in one task, about; pairs whose distances a task holds at once.
+CELL_ROWS, CELLS, SAMPLE, CHUNK_ROWS, BLOCK_PAIRS = 512, 4_096, 20_000, 2_048, 2_000_000
+#: Bounds are lowered by this share before they are compared with distances, which may be rounded otherwise.
+SLACK = 1e-9
 FOUND = "id long, d2 array<double>, near array<long>"
 
 
-def _arrays(table: pa.Table, n_num: int, n_cat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, numbers and category hashes, in the order of ids."""
-    cols = [table.column(name).to_numpy() for name in ("id", *(f"n{j}" for j in range(n_num)), *(f"c{j}" for j in range(n_cat)))]
-    order = np.argsort(cols[0], kind="stable")
-    return cols[0][order], np.array(cols[1 : 1 + n_num], float).reshape(n_num, len(order))[:, order], np.array(cols[1 + n_num :], np.int64).reshape(n_cat, len(order))[:, order]
+def _arrays(table: pa.Table | pa.RecordBatch, n_num: int, n_cat: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and category hashes, a row a column of the table."""
+    col = lambda c: table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy()
+    n = table.num_rows
+    return np.array([col(f"n{j}") for j in range(n_num)], float).reshape(n_num, n), np.array([col(f"c{j}") for j in range(n_cat)], np.int64).reshape(n_cat, n)
+
+
+@dataclass
+class Cells:
+    """Where cells are cut, and their boxes. A node is (column, value, left, right) or a cell's number: numbers up to the
+    value and rows of the category go left. Columns from ``n_num`` on are categories."""
+
+    n_num: int
+    n_cat: int
+    nodes: list = field(default_factory=list)
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    same: np.ndarray | None = None
+    only: np.ndarray | None = None
+    rows: np.ndarray | None = None
+
+    @classmethod
+    def cut(cls, num: np.ndarray, cat: np.ndarray, cells: int) -> Cells:
+        """From a sample, largest cell first, along the column in which its rows differ most."""
+        out = cls(len(num), len(cat), [None])
+        n = num.shape[1] if len(num) else cat.shape[1] if len(cat) else 0
+        open_, leaves = [(-n, 0, np.arange(n))], 0
+        while open_:
+            size, at, own = heapq.heappop(open_)
+            best = out._widest(num, cat, own) if leaves + len(open_) + 1 < cells and -size > 1 else None
+            if best is None:
+                out.nodes[at], leaves = leaves, leaves + 1
+                continue
+            column, value = best
+            left = num[column, own] <= value if column < out.n_num else cat[column - out.n_num, own] == value
+            out.nodes[at] = (column, value, len(out.nodes), len(out.nodes) + 1)
+            for side in (own[left], own[~left]):
+                heapq.heappush(open_, (-len(side), len(out.nodes), side))
+                out.nodes.append(None)
+        return out
+
+    def _widest(self, num: np.ndarray, cat: np.ndarray, own: np.ndarray) -> tuple | None:
+        """The column with the greatest mean squared difference of two rows, and where to cut it; none if all rows are equal."""
+        best = (0.0, None)
+        for j in range(self.n_num):
+            x = num[j, own]
+            spread = 2 * x.var()
+            if spread > best[0] and x.min() < x.max():
+                middle = np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2]
+                best = (spread, (j, float(middle if middle < x.max() else x[x < x.max()].max())))
+        for j in range(self.n_cat):
+            values, counts = np.unique(cat[j, own], return_counts=True)
+            share = counts / len(own)
+            spread = 2 * (1 - (share * share).sum())
+            if len(values) > 1 and spread > best[0]:
+                best = (spread, (self.n_num + j, int(values[counts.argmax()])))
+        return best[1]
+
+    @property
+    def count(self) -> int:
+        return sum(not isinstance(n, tuple) for n in self.nodes)
+
+    def cell_of(self, num: np.ndarray, cat: np.ndarray, n: int) -> np.ndarray:
+        """The cell of each of n rows."""
+        out, open_ = np.zeros(n, np.int64), [(0, np.arange(n))]
+        while open_:
+            at, own = open_.pop()
+            node = self.nodes[at]
+            if not isinstance(node, tuple):
+                out[own] = node
+                continue
+            column, value, left, right = node
+            goes = num[column, own] <= value if column < self.n_num else cat[column - self.n_num, own] == value
+            open_ += [(to, part) for to, part in ((left, own[goes]), (right, own[~goes])) if len(part)]
+        return out
+
+    def boxed(self, rows: list) -> Cells:
+        """With the boxes of all rows: a row a cell of (cell, rows, ends of each column)."""
+        n = self.count
+        self.low, self.high = np.full((self.n_num, n), np.inf), np.full((self.n_num, n), -np.inf)
+        self.same, self.only, self.rows = np.zeros((self.n_cat, n), bool), np.zeros((self.n_cat, n), np.int64), np.zeros(n, np.int64)
+        for r in rows:
+            c = r["cell"]
+            self.rows[c] = r["rows"]
+            for j in range(self.n_num):
+                self.low[j, c], self.high[j, c] = r[f"low_n{j}"], r[f"high_n{j}"]
+            for j in range(self.n_cat):
+                self.same[j, c], self.only[j, c] = r[f"low_c{j}"] == r[f"high_c{j}"], r[f"low_c{j}"]
+        return self
+
+    def bounds(self, num: np.ndarray, cat: np.ndarray, n: int) -> np.ndarray:
+        """Least squared distance of each of n rows to each cell's box; infinite for an empty cell."""
+        out = np.zeros((n, self.count))
+        for j in range(self.n_num):
+            x = num[j][:, None]
+            gap = np.maximum(np.maximum(self.low[j] - x, x - self.high[j]), 0.0)
+            out += np.where(self.rows > 0, gap, 0.0) ** 2
+        for j in range(self.n_cat):
+            out += 2.0 * (self.same[j] & (cat[j][:, None] != self.only[j]))
+        return np.where(self.rows > 0, out * (1 - SLACK), np.inf)
+
+
+def _with_cell(batches, cells: Cells):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.cell_of(*_arrays(b, cells.n_num, cells.n_cat), b.num_rows), pa.int32())], [*b.schema.names, "cell"])
+
+
+def _first_cells(order: np.ndarray, bound: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Of the cells in order of their bounds, those to meet first: until they hold k rows."""
+    held = np.cumsum(rows[order], axis=1)
+    return (held - rows[order] < k) & np.isfinite(np.take_along_axis(bound, order, 1))
+
+
+def _visits(batches, cells: Cells, k: int, parts: np.ndarray | None, again: bool):
+    """Each query once for every cell that it has to meet: its nearest, or (``again``) the others within ``tau``."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, step := max(1, BLOCK_PAIRS // max(cells.count, 1))):
+            b = whole.slice(at, step)
+            bound = cells.bounds(*_arrays(b, cells.n_num, cells.n_cat), b.num_rows)
+            order = np.argsort(bound, axis=1, kind="stable")
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, order, _first_cells(order, bound, cells.rows, k), axis=1)
+            meets = first if not again else ~first & (bound <= b.column("tau").to_numpy(zero_copy_only=False)[:, None]) & np.isfinite(bound)
+            r, c = np.nonzero(meets)
+            rows = b.take(pa.array(r))
+            part = b.column("id").to_numpy()[r] % (parts[c] if parts is not None else 1)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c, pa.int32()), pa.array(part, pa.int32())], [*rows.schema.names, "cell", "part"])
 
 
 def _nearest(query: pa.Table, ref: pa.Table, k: int, n_num: int, n_cat: int) -> pa.Table:
-    """The k nearest reference rows of a block for each query row of a chunk, ties by id."""
-    (ids, qn, qc), (rid, rn, rc) = _arrays(query, n_num, n_cat), _arrays(ref, n_num, n_cat)
+    """The k nearest reference rows of a cell for each query row, ties by id."""
+    ref = ref.sort_by("id")
+    ids, rid, (qn, qc), (rn, rc) = query.column("id").to_numpy(), ref.column("id").to_numpy(), _arrays(query, n_num, n_cat), _arrays(ref, n_num, n_cat)
     dist, near = np.zeros((len(ids), min(k, len(rid)))), np.zeros((len(ids), min(k, len(rid))), np.int64)
     step = max(1, BLOCK_PAIRS // max(len(rid), 1))
     for at in range(0, len(ids), step):
@@ -44,28 +177,82 @@ def _nearest(query: pa.Table, ref: pa.Table, k: int, n_num: int, n_cat: int) ->
     return pa.table({"id": pa.array(ids), "d2": pa.array(dist.tolist(), pa.list_(pa.float64())), "near": pa.array(near.tolist(), pa.list_(pa.int64()))})
 
 
-def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, query_id: str = "id", ref_id: str = "id", block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(id, d: array of the k least distances, near: ids of those rows) for each query row.
+@dataclass
+class Search:
+    """A reference cut into cells and stored, with what it takes to look for rows in it."""
+
+    cells: Cells
+    ref: DataFrame
+    names: list[str]
+    k: int
+    chunk_rows: int
+
+    @classmethod
+    def over(cls, ref: DataFrame, n_num: int, n_cat: int, k: int, cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> Search:
+        """``ref``: (id, n0.., c0..). Of equal rows only the k least ids can be found, and only they are kept."""
+        spark, names = ref.sparkSession, [*(f"n{j}" for j in range(n_num)), *(f"c{j}" for j in range(n_cat))]
+        if names:
+            rank = F.row_number().over(W.partitionBy(*names).orderBy("id"))
+            ref = ref.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+        folder = scratch_folder(spark)
+        ref.write.parquet(f"{folder}/rows")
+        ref = spark.read.parquet(f"{folder}/rows")
+        n = ref.count()
+        if not n:
+            raise ValueError("no reference rows")
+        sample = ref.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # bounded
+        cells = Cells.cut(*_arrays(sample, n_num, n_cat), min(CELLS, -(-n // cell_rows)) if names else 1)
+        placed = ref.mapInArrow(partial(_with_cell, cells=cells), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ref.schema) + ", cell int")
+        placed.write.parquet(f"{folder}/cells")
+        placed = spark.read.parquet(f"{folder}/cells")
+        ends = [f(c).alias(f"{e}_{c}") for c in names for f, e in ((F.min, "low"), (F.max, "high"))]
+        return cls(cells.boxed(placed.groupBy("cell").agg(F.count("*").alias("rows"), *ends).collect()), placed, names, k, chunk_rows)  # a row a cell
+
+    def visits(self, query: DataFrame, again: bool) -> DataFrame:
+        """``query`` by (cell, part): cells that very many queries meet are met in parts, so that no task has them all."""
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema) + ", cell int, part int"
+        plan = lambda parts: query.mapInArrow(partial(_visits, cells=self.cells, k=self.k, parts=parts, again=again), schema)
+        parts = np.ones(self.cells.count, np.int64)
+        for r in plan(None).groupBy("cell").count().collect():  # a row a cell
+            parts[r["cell"]] = -(-r["count"] // self.chunk_rows)
+        self.parts = parts
+        return plan(parts)
+
+    def found(self, query: DataFrame, again: bool) -> DataFrame:
+        """(id, d2, near) of every query and cell that meet."""
+        met = self.visits(query, again)
+        parts = F.lit(self.parts.tolist())
+        ref = self.ref.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")).cast("int") - 1)))
+        n_num = sum(c.startswith("n") for c in self.names)
+        return met.groupBy("cell", "part").cogroup(ref.groupBy("cell", "part")).applyInArrow(partial(_nearest, k=self.k, n_num=n_num, n_cat=len(self.names) - n_num), FOUND)
 
-    Both tables are dealt by hash, the reference into blocks and the queries into chunks; each chunk
-    meets each block in one task, and the blocks' k best are merged by id. Nothing passes
-    through the driver, and a task holds one block and one chunk. The work is that of all
-    pairs: cap the rows (``split.capped``) where that is too much. Null numbers and categories are the
-    caller's to fill. An empty reference is an error; an empty query gives no rows.
+
+def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, query_id: str = "id", ref_id: str = "id", cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(id, d: array of the k least distances, near: ids of those rows) for each query row; ties to the smaller id.
+
+    The reference is shuffled three times, whatever the number of queries: by equal rows, of which the k
+    least ids stay, and by cell for the first and the second look. What comes to the driver is a sample and a row
+    a cell, both bounded. Where boxes tell nothing (very many columns), every query meets every cell
+    and the work is that of all pairs. Null numbers and categories are the caller's to fill. An empty
+    reference is an error; an empty query gives no rows; queries of one id are taken for the same row.
     """
     cols = lambda df, i: df.select(F.col(i).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(numeric)], *[F.xxhash64(F.col(f"`{c}`").cast("string")).alias(f"c{j}") for j, c in enumerate(categorical)])
-    q, r = cols(query, query_id), cols(ref, ref_id)
-    n_query, n_ref = q.count(), r.count()
-    if not n_ref:
-        raise ValueError("no reference rows")
-    chunks, blocks = max(1, -(-n_query // chunk_rows)), -(-n_ref // block_rows)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("chunk", own(chunks)).withColumn("block", every(blocks))
-    r = r.withColumn("block", own(blocks)).withColumn("chunk", every(chunks))
-    found = q.groupBy("chunk", "block").cogroup(r.groupBy("chunk", "block")).applyInArrow(partial(_nearest, k=k, n_num=len(numeric), n_cat=len(categorical)), FOUND)
-    if blocks > 1:
-        pairs = found.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("d2").alias("d"), F.col("near").alias("n")))).alias("p"))  # k pairs a block
-        best = F.slice(F.array_sort("p"), 1, k)
-        found = pairs.select("id", F.transform(best, lambda x: x["d"]).alias("d2"), F.transform(best, lambda x: x["n"]).alias("near"))
-    return found.select("id", F.transform("d2", F.sqrt).alias("d"), "near")
+    search = Search.over(cols(ref, ref_id), len(numeric), len(categorical), k, cell_rows, chunk_rows)
+    spark, folder = query.sparkSession, scratch_folder(query.sparkSession)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    q = kept(cols(query, query_id), "queries")
+    first = kept(search.found(q, False).groupBy("id").agg(*_best(k)), "first")
+    tau = first.select("id", F.coalesce(F.get("d2", k - 1), F.lit(float("inf"))).alias("tau"))
+    second = search.found(q.join(tau, "id"), True)
+    return first.unionByName(second).groupBy("id").agg(*_best(k)).select("id", F.transform("d2", F.sqrt).alias("d"), "near")
+
+
+def _best(k: int) -> list:
+    """Aggregates that merge the lists (d2, near) of a query: its k best of all cells that it met."""
+    pairs = F.flatten(F.collect_list(F.arrays_zip(F.col("d2").alias("d"), F.col("near").alias("n"))))
+    best = F.slice(F.array_sort(pairs), 1, k)
+    return [F.transform(best, lambda x: x["d"]).alias("d2"), F.transform(best, lambda x: x["n"]).alias("near")]

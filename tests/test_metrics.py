@@ -60,17 +60,42 @@ def test_trajectories(spark):
     assert trajectory.autocorr_distance(flat, flat, "subject_id", "hours_in", ["HR"]).first()[0] is None
 
 
-def test_neighbours_in_blocks(spark):
+def _mixed(spark, x, ids=None):
+    return spark.createDataFrame([(int(i), *map(float, v), "ab"[i % 2]) for i, v in zip(range(len(x)) if ids is None else ids, x)], "id long, a double, b double, c double, k string").repartition(3)
+
+
+def test_neighbours_in_cells(spark):
     rng = np.random.default_rng(7)
     q, r = rng.normal(size=(40, 3)), rng.normal(size=(90, 3))
-    frame = lambda x: spark.createDataFrame([(i, *map(float, v), "ab"[i % 2]) for i, v in enumerate(x)], "id long, a double, b double, c double, k string")
     d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(axis=2) + 2.0 * (np.arange(40)[:, None] % 2 != np.arange(90)[None] % 2))
-    for block in (1000, 13):
-        got = {x["id"]: x["d"] for x in knn.nearest(frame(q), frame(r), ["a", "b", "c"], ["k"], 3, block_rows=block).collect()}
-        assert all(got[i] == pytest.approx(np.sort(d[i])[:3].tolist()) for i in range(40))
-    assert knn.nearest(frame(q).limit(0), frame(r), ["a"]).collect() == []
+    for cell, chunk in ((1000, 1000), (13, 7), (1, 1000)):
+        got = {x["id"]: (x["d"], x["near"]) for x in knn.nearest(_mixed(spark, q), _mixed(spark, r), ["a", "b", "c"], ["k"], 3, cell_rows=cell, chunk_rows=chunk).collect()}
+        assert len(got) == 40 and all(got[i][0] == pytest.approx(np.sort(d[i])[:3].tolist()) and got[i][1] == np.argsort(d[i])[:3].tolist() for i in range(40))
+    assert knn.nearest(_mixed(spark, q).limit(0), _mixed(spark, r), ["a"]).collect() == []
     with pytest.raises(ValueError):
-        knn.nearest(frame(q), frame(r).limit(0), ["a"])
+        knn.nearest(_mixed(spark, q), _mixed(spark, r).limit(0), ["a"])
+
+
+def test_neighbours_of_equal_rows(spark):
+    """A third of the reference are copies of one row, and many queries too; ties go to the least ids, however few rows there are."""
+    r = np.array([[0.0, 0.0, 0.0]] * 300 + [[i % 7, i % 5, i % 3] for i in range(600)], float)
+    q = np.array([[0.0, 0.0, 0.0]] * 80 + [[i % 7, 1.0, 2.0] for i in range(40)])
+    got = {x["id"]: (x["d"], x["near"]) for x in knn.nearest(_mixed(spark, q), _mixed(spark, r), ["a", "b", "c"], k=4, cell_rows=20, chunk_rows=16).collect()}
+    d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(axis=2))
+    assert all(got[i] == (pytest.approx(np.sort(d[i])[:4].tolist()), np.argsort(d[i], kind="stable")[:4].tolist()) for i in range(len(q)))
+    assert [len(x["d"]) for x in knn.nearest(_mixed(spark, q[:3]), _mixed(spark, r[:2]), ["a"], k=5).collect()] == [2] * 3
+    assert knn.nearest(_mixed(spark, q[:1]), _mixed(spark, r[:5]), [], [], k=2).first()["near"] == [0, 1]
+
+
+def test_neighbours_meet_few_cells(spark):
+    rng = np.random.default_rng(8)
+    cols = lambda df: df.select("id", F.col("a").alias("n0"), F.col("b").alias("n1"), F.col("c").alias("n2"), F.xxhash64("k").alias("c0"))
+    q, r = cols(_mixed(spark, rng.uniform(size=(300, 3)))), cols(_mixed(spark, rng.uniform(size=(6_000, 3))))
+    search = knn.Search.over(r, 3, 1, 2, cell_rows=64)
+    first = search.found(q, False).groupBy("id").agg(*knn._best(2))
+    tau = q.join(first.select("id", F.get("d2", 1).alias("tau")), "id")
+    pairs = sum(search.cells.rows[x["cell"]] for met in (search.visits(q, False), search.visits(tau, True)) for x in met.select("cell").collect())
+    assert 300 * 2 <= pairs < 0.1 * 300 * 6_000
 
 
 def test_privacy(spark):
