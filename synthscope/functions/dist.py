@@ -8,30 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import kept
 from .columns import valid_common_numeric_columns
 
-#: Ranges with about as many values each that a column is cut into for running sums.
-BINS = 128
-
-
 def running_sums(counts: DataFrame, key: str, value: str, sums: Sequence[str]) -> DataFrame:
     """``counts`` (one row a key and value) with ``cum_<s>`` of each sum up to and with the value, in the order of values
-    within the key, and ``next``, the value that follows.
+    within the key, ``all_<s>`` of the whole key, and ``next``, the value that follows.
 
-    A key with very many values is not one task's work: values are cut into ranges at
-    approximate quantiles, so skewed values too, summed within each range, and the few range
-    totals are summed in turn.
+    A key with very many values is not one task's work: rows are range-partitioned by key and value and stored,
+    once; each range is summed by itself, and the few totals (a row a key and range) say what lies before it.
     """
-    ends = counts.groupBy(key).agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 10 * BINS).alias("__ends"))
-    bin_ = F.size(F.filter("__ends", lambda x: x < F.col(value)))
-    cut = counts.join(ends, key).withColumn("__bin", bin_).drop("__ends")
-    by_key = W.partitionBy(key).orderBy("__bin")
+    placed = kept(counts.repartitionByRange(F.col(key), F.col(value)).withColumn("__range", F.spark_partition_id()))
+    by_key = W.partitionBy(key).orderBy("__range")
     before = by_key.rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(key, "__bin").agg(F.min(value).alias("__first"), *[F.sum(s).alias(f"__{s}") for s in sums])
-    offsets = totals.select(key, "__bin", F.lead("__first").over(by_key).alias("__after"), *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums])
-    inside = W.partitionBy(key, "__bin").orderBy(value)
-    joined = cut.join(offsets, [key, "__bin"])
-    return joined.select(*counts.columns, F.coalesce(F.lead(value).over(inside), F.col("__after")).alias("next"), *[(F.sum(s).over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"__before_{s}")).alias(f"cum_{s}") for s in sums])
+    totals = placed.groupBy(key, "__range").agg(F.min(value).alias("__first"), *[F.sum(s).alias(f"__{s}") for s in sums])
+    sides = [x for s in sums for x in (F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__before_{s}"), F.sum(f"__{s}").over(W.partitionBy(key)).alias(f"all_{s}"))]
+    offsets = totals.select(key, "__range", F.lead("__first").over(by_key).alias("__after"), *sides)
+    inside = W.partitionBy(key, "__range").orderBy(value)
+    joined = placed.join(offsets, [key, "__range"])
+    cum = [(F.sum(s).over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"__before_{s}")).alias(f"cum_{s}") for s in sums]
+    return joined.select(*counts.columns, F.coalesce(F.lead(value).over(inside), F.col("__after")).alias("next"), *cum, *[f"all_{s}" for s in sums])
 
 
 def _long(df: DataFrame, names: Sequence[str], side: int) -> DataFrame:
@@ -46,10 +42,8 @@ def paired_counts(real: DataFrame, synth: DataFrame, names: Sequence[str]) -> Da
 
 
 def _distributions(real: DataFrame, synth: DataFrame, names: Sequence[str]) -> DataFrame:
-    counts = paired_counts(real, synth, names)
-    cum = running_sums(counts, "column", "value", ["r", "s"])
-    totals = counts.groupBy("column").agg(F.sum("r").alias("n_r"), F.sum("s").alias("n_s")).where("n_r > 0 and n_s > 0")
-    return cum.join(totals, "column").withColumn("gap", F.abs(F.col("cum_r") / F.col("n_r") - F.col("cum_s") / F.col("n_s")))
+    cum = running_sums(paired_counts(real, synth, names), "column", "value", ["r", "s"]).where("all_r > 0 and all_s > 0")
+    return cum.withColumn("gap", F.abs(F.col("cum_r") / F.col("all_r") - F.col("cum_s") / F.col("all_s")))
 
 
 def ks_statistics(real: DataFrame, synth: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -93,10 +87,10 @@ def order_statistics(counts: DataFrame, key: str, value: str, n: str, fractions:
     Ranks come from running sums over ranges of values, so no task holds a column's values.
     """
     cum = running_sums(counts.select(key, F.col(value).cast("double").alias("__v"), F.col(n).alias("__n")), key, "__v", ["__n"])
-    totals = counts.groupBy(key).agg(F.sum(n).alias("__total"))
+    cum = cum.withColumnRenamed("all___n", "__total")
     place = [F.lit(float(f)) * (F.col("__total") - 1) for f in fractions]
     at = lambda k: F.min(F.when(F.col("cum___n") > k, F.col("__v")))
-    ends = cum.join(totals, key).groupBy(key, "__total").agg(*[x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"__a{i}"), at(F.ceil(p)).alias(f"__b{i}"))])
+    ends = cum.groupBy(key, "__total").agg(*[x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"__a{i}"), at(F.ceil(p)).alias(f"__b{i}"))])
     between = lambda i, p: (F.col(f"__a{i}") + (p - F.floor(p)) * F.when(F.col(f"__b{i}") != F.col(f"__a{i}"), F.col(f"__b{i}") - F.col(f"__a{i}")).otherwise(0.0)).alias(f"q{i}")
     return ends.select(key, F.col("__total").alias("n"), *[between(i, p) for i, p in enumerate(place)])
 

@@ -19,13 +19,12 @@ def rank_metrics(rows: DataFrame, y: str, score: str, by: str | None = None) ->
     """
     key = F.lit("all") if by is None else F.col(by).cast("string")
     counts = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(key.alias("by"), F.col(score).cast("double").alias("score")).agg(F.sum(F.when(F.col(y) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) > 0, 0).otherwise(1)).alias("neg"))
-    cum = running_sums(counts, "by", "score", ["pos", "neg"])
-    totals = counts.groupBy("by").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    cum = running_sums(counts, "by", "score", ["pos", "neg"]).withColumnsRenamed({"all_pos": "n_pos", "all_neg": "n_neg"})
     p, n = F.col("n_pos"), F.col("n_neg")
     above_pos, above_neg = p - F.col("cum_pos") + F.col("pos"), n - F.col("cum_neg") + F.col("neg")  # at this score or higher
     wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
     steps = F.when(F.col("pos") > 0, F.col("pos") * above_pos / (above_pos + above_neg)).otherwise(F.lit(0.0))
-    sums = cum.join(totals, "by").groupBy("by", "n_pos", "n_neg").agg(F.sum(wins).alias("wins"), F.sum(steps).alias("steps"))
+    sums = cum.groupBy("by", "n_pos", "n_neg").agg(F.sum(wins).alias("wins"), F.sum(steps).alias("steps"))
     both = (p > 0) & (n > 0)
     return sums.select("by", "n_pos", "n_neg", F.when(both, F.col("wins") / (p * n)).alias("roc_auc"), F.when(both, F.col("steps") / p).alias("average_precision"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.io import scratch_folder
+from ..sources.io import kept
 
 #: Reference rows of a cell, about, and cells at most; rows of the sample that says where cells are cut; queries that meet a cell in one task, about; pairs whose distances a task holds at once.
 CELL_ROWS, CELLS, SAMPLE, CHUNK_ROWS, BLOCK_PAIRS = 512, 4_096, 20_000, 2_048, 2_000_000
@@ -190,21 +190,17 @@ class Search:
     @classmethod
     def over(cls, ref: DataFrame, n_num: int, n_cat: int, k: int, cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> Search:
         """``ref``: (id, n0.., c0..). Of equal rows only the k least ids can be found, and only they are kept."""
-        spark, names = ref.sparkSession, [*(f"n{j}" for j in range(n_num)), *(f"c{j}" for j in range(n_cat))]
+        names = [*(f"n{j}" for j in range(n_num)), *(f"c{j}" for j in range(n_cat))]
         if names:
             rank = F.row_number().over(W.partitionBy(*names).orderBy("id"))
             ref = ref.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-        folder = scratch_folder(spark)
-        ref.write.parquet(f"{folder}/rows")
-        ref = spark.read.parquet(f"{folder}/rows")
+        ref = kept(ref)
         n = ref.count()
         if not n:
             raise ValueError("no reference rows")
         sample = ref.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # bounded
         cells = Cells.cut(*_arrays(sample, n_num, n_cat), min(CELLS, -(-n // cell_rows)) if names else 1)
-        placed = ref.mapInArrow(partial(_with_cell, cells=cells), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ref.schema) + ", cell int")
-        placed.write.parquet(f"{folder}/cells")
-        placed = spark.read.parquet(f"{folder}/cells")
+        placed = kept(ref.mapInArrow(partial(_with_cell, cells=cells), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ref.schema) + ", cell int"))
         ends = [f(c).alias(f"{e}_{c}") for c in names for f, e in ((F.min, "low"), (F.max, "high"))]
         return cls(cells.boxed(placed.groupBy("cell").agg(F.count("*").alias("rows"), *ends).collect()), placed, names, k, chunk_rows)  # a row a cell
 
@@ -238,14 +234,8 @@ def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorica
     """
     cols = lambda df, i: df.select(F.col(i).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(numeric)], *[F.xxhash64(F.col(f"`{c}`").cast("string")).alias(f"c{j}") for j, c in enumerate(categorical)])
     search = Search.over(cols(ref, ref_id), len(numeric), len(categorical), k, cell_rows, chunk_rows)
-    spark, folder = query.sparkSession, scratch_folder(query.sparkSession)
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    q = kept(cols(query, query_id), "queries")
-    first = kept(search.found(q, False).groupBy("id").agg(*_best(k)), "first")
+    q = kept(cols(query, query_id))
+    first = kept(search.found(q, False).groupBy("id").agg(*_best(k)))
     tau = first.select("id", F.coalesce(F.get("d2", k - 1), F.lit(float("inf"))).alias("tau"))
     second = search.found(q.join(tau, "id"), True)
     return first.unionByName(second).groupBy("id").agg(*_best(k)).select("id", F.transform("d2", F.sqrt).alias("d"), "near")
