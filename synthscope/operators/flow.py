@@ -173,8 +173,10 @@ def flow_feature_types(kinds: Sequence[str], n_target: int) -> list[str]:
 
 
 def draw_labels(rows: DataFrame, counts: DataFrame, label: str, id_col: str, seed: int = 0) -> DataFrame:
-    """``rows`` with a label each, drawn by a hash of the id in proportion to ``counts`` (label, count): one row a label."""
+    """``rows`` with a label each, drawn by a hash of the id in proportion to ``counts`` (label, count): one row a label. Without counts labels are null."""
     known = sorted((r[0], r[1]) for r in counts.select(label, "count").collect())
+    if not known:
+        return rows.withColumn(label, F.lit(None).cast(counts.schema[label].dataType))
     total, pick = sum(n for _, n in known), F.lit(known[-1][0])
     u = hash_unit(seed, F.col(id_col), F.lit("label"))
     for value, n in reversed(known[:-1]):

@@ -27,31 +27,50 @@ def sample(model, conditions: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def rollout(model, subjects: DataFrame, steps: int = 48, seed: int = 0, stop: int | None = None, threshold: float = 0.5, feedback: Sequence[int] | None = None) -> DataFrame:
-    """(id, step, x, x_cond) of trajectories for subjects (id, x_static[, start]).
+    """(id, step, x, x_cond) of trajectories for subjects (id, x_static[, start][, first]).
 
     The condition of a step is the static part and the fed-back dimensions of the step before
-    (-1, or ``start`` where given, at step 0). With ``stop``, a trajectory ends after the
-    step where that dimension passes the threshold. A step is a stored table that the next one
-    starts from, so the plan does not grow with the number of steps and a lost executor costs one step.
+    (-1, or ``start`` where given, at step 0). Where ``first`` is given, it is the state of step 0 itself,
+    which is drawn otherwise. With ``stop``, a trajectory ends after the step where that dimension passes the
+    threshold, so each step works on the subjects that are still there. A step is a stored table that
+    the next one starts from, so the plan does not grow with the number of steps and a lost executor costs one step.
     """
     spark = subjects.sparkSession
     back = list(range(model.dims)) if feedback is None else list(feedback)
     begin = F.array(*[F.lit(START)] * len(back))
     lag = F.coalesce("start", begin) if "start" in subjects.columns else begin
-    state = subjects.select(F.col("id").cast("long").alias("id"), "x_static", lag.alias("lag"))
+    first = F.col("first") if "first" in subjects.columns else F.lit(None)
+    state = subjects.select(F.col("id").cast("long").alias("id"), "x_static", lag.alias("lag"), first.cast("array<double>").alias("first"))
     folder, paths = scratch_folder(spark), []
     for t in range(steps):
         if stop is not None and state.isEmpty():
             break
-        rows = _with_noise(state.select("id", "x_static", F.concat("x_static", "lag").alias("cond")), model.dims, seed, t)
+        given = ["first"] if t == 0 else []
+        rows = _with_noise(state.select("id", "x_static", F.concat("x_static", "lag").alias("cond"), *given), model.dims, seed, t)
         paths.append(f"{folder}/step-{t}")
-        model.draw(rows).select("id", F.lit(t).alias("step"), "x", F.col("cond").alias("x_cond"), "x_static").write.parquet(paths[-1])
+        drawn = model.draw(rows)
+        x = F.coalesce("first", "x") if given else F.col("x")
+        drawn.select("id", F.lit(t).alias("step"), x.alias("x"), F.col("cond").alias("x_cond"), "x_static").write.parquet(paths[-1])
         now = spark.read.parquet(paths[-1])
         live = now if stop is None else now.where(~(F.get("x", stop) > threshold))
         state = live.select("id", "x_static", F.array(*[F.get("x", d) for d in back]).alias("lag"))
     return spark.read.schema("id long, step int, x array<double>, x_cond array<double>").parquet(*paths)
 
 
+def sample_trajectories(model, subjects: DataFrame, steps: int = 48, start: str = "random", seed: int = 0, stop: int | None = None, threshold: float = 0.5) -> DataFrame:
+    """(id, step, x, last) of trajectories of varying lengths for subjects (id, x_static[, first]).
+
+    The state of step 0 is drawn (``random``), all zeros (``zero``), or the subject's own ``first``
+    (``given``; drawn where that is null). ``last`` marks a trajectory's end: ``stop`` passed the threshold, or all steps were taken.
+    """
+    if start not in ("random", "zero", "given"):
+        raise ValueError(f"unknown start {start!r}")
+    first = F.col("first") if start == "given" else F.array(*[F.lit(0.0)] * model.dims) if start == "zero" else F.lit(None)
+    rows = rollout(model, subjects.select("id", "x_static", first.alias("first")), steps, seed, stop, threshold)
+    ended = F.lit(False) if stop is None else F.coalesce(F.get("x", stop) > threshold, F.lit(False))
+    return rows.select("id", "step", "x", (ended | (F.col("step") == steps - 1)).alias("last"))
+
+
 def unconditional_to_trajectories(rows: DataFrame, n_subjects: int, names: Sequence[str]) -> DataFrame:
     """Rows (id 0..n-1, names) as trajectories: subject = id mod n, hour = id div n, lags from the hour before (-1 at first)."""
     w = W.partitionBy("subject_id").orderBy("hours_in")

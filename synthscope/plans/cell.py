@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import PySparkException
@@ -13,6 +14,8 @@ from ..functions.columns import drop_id_columns, numeric_columns
 from . import privacy, quality, trajectory, utility
 from .results import degenerate_flag, seed_statistics
 
+LOG = logging.getLogger(__name__)
+
 # Metrics of the bundle that come from the privacy report, and their names there.
 PRIVACY = {
     "dcr_median": "dcr_median", "dcr_p05": "dcr_p05", "dcr_exact_match_rate": "exact_match_rate", "dcr_baseline_protection": "dcr_baseline_protection", "dcr_overfitting_protection": "dcr_overfitting_protection",
@@ -23,13 +26,14 @@ QUALITY = ("avg_ks_stat", "corr_frobenius", "range_violation_pct")
 SCORES = ("accuracy", "balanced_accuracy", "f1", "macro_f1", "roc_auc")
 
 
-def evaluate_cell(synth: DataFrame, real: DataFrame, tasks: Sequence[tuple[str, Callable, Sequence[int], Sequence[str]]], id_col: str, time_col: str, row_id: str, holdout: DataFrame | None = None, vitals=trajectory.VITALS, ranges=quality.CLINICAL_RANGES, cap: int | None = 2000, seed: int = 42) -> DataFrame:
+def evaluate_cell(synth: DataFrame, real: DataFrame, tasks: Sequence[tuple[str, Callable, Sequence[int], Sequence[str]]], id_col: str, time_col: str, row_id: str, holdout: DataFrame | None = None, vitals=trajectory.VITALS, ranges=quality.CLINICAL_RANGES, cap: int | None = None, subject_cap: int | None = None, seed: int = 42) -> DataFrame:
     """One row with every metric of a synthetic table: utility of each task on both sides (columns
     ``<task>_<side>_<score>``), trajectories, quality, privacy and the flag of degenerate results.
 
     A task is (name, function of rows that gives (id, label), classes, columns not to be seen).
     ``row_id`` is a column of both tables that tells rows apart. A part that fails leaves its metrics
-    null. What comes to the driver are the single rows of the parts.
+    null, and its error is logged. ``cap`` and ``subject_cap`` bound the rows of the privacy metrics and the subjects of the
+    tasks, by hash; without them all take part. What comes to the driver are the single rows of the parts.
     """
     found: dict[str, float | None] = {}
 
@@ -38,11 +42,11 @@ def evaluate_cell(synth: DataFrame, real: DataFrame, tasks: Sequence[tuple[str,
         try:
             found.update({k: v for k, v in run().items() if k in found})
         except (PySparkException, ValueError, ArithmeticError):
-            pass  # the metrics stay null
+            LOG.warning("no values for %s", ", ".join(names), exc_info=True)
 
     for name, label, classes, exclude in tasks:
         def utilities(name=name, label=label, classes=classes, exclude=exclude) -> dict:
-            rows = utility.evaluate_sequence_task(name, synth.drop(row_id), real.drop(row_id), label, id_col, time_col, exclude, classes, cap=2500, seed=seed).collect()
+            rows = utility.evaluate_sequence_task(name, synth.drop(row_id), real.drop(row_id), label, id_col, time_col, exclude, classes, cap=subject_cap, seed=seed).collect()
             return {f"{name}_{r['side']}_{s}": r[s] for r in rows for s in SCORES}
 
         part([f"{name}_{side}_{s}" for side in ("synth", "real") for s in SCORES], utilities)

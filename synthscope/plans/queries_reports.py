@@ -146,5 +146,5 @@ def cell_metrics(t):
     real, synth = (_named(d).withColumn("row", F.xxhash64("subject_id", "hours_in")) for d in real_synth(t))
     label = lambda d: d.groupBy("subject_id").agg((F.max("MAP") > 50000).cast("int").alias("label"))
     days = lambda d: utility.los_label(d.withColumn("hour", F.floor(F.col("hours_in") / 10**12) * 12), "subject_id", "hour", None)
-    out = cell.evaluate_cell(synth, real, [("mortality", label, (0, 1), ["MAP"]), ("los", days, (0, 1, 2), ["hours_in"])], "subject_id", "hours_in", "row", cap=300)
+    out = cell.evaluate_cell(synth, real, [("mortality", label, (0, 1), ["MAP"]), ("los", days, (0, 1, 2), ["hours_in"])], "subject_id", "hours_in", "row")
     return out.unpivot([], [c for c in out.columns if c != "degenerate_flag"], "metric", "value")

@@ -102,14 +102,39 @@ def vectorise(seqs: DataFrame, max_len: int, width: int) -> DataFrame:
     return seqs.select("id", "label", F.concat(flat, presence(F.col("steps"), max_len), F.array(share)).alias("x"))
 
 
-def fit_classifier(rows: DataFrame, c: float = 1.0, l1: bool = False, max_iter: int = 500):
+def balanced(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (x, label) with the weight ``w`` that makes all classes weigh the same in all, and their number. The rows are counted once."""
+    counts = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}  # a row a class
+    n = sum(counts.values())
+    weights = F.create_map(*[F.lit(v) for label, m in sorted(counts.items()) for v in (label, n / (len(counts) * m))]) if counts else None
+    return rows.where("label is not null").select("x", "label", (weights[F.col("label")] if counts else F.lit(1.0)).alias("w")), n
+
+
+def fit_classifier(rows: DataFrame, c: float = 1.0, l1: bool = False, max_iter: int = 500, tol: float = 1e-6):
     """Balanced logistic regression on (x, label): each class weighs the same in all."""
-    counts = rows.groupBy("label").count()
-    k = counts.count()
-    weight = F.sum("count").over(W.partitionBy()) / (k * F.col("count"))
-    data = rows.join(F.broadcast(counts.select("label", weight.alias("w"))), "label").select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), "w")  # a row a class
-    n = rows.count()
-    return LogisticRegression(weightCol="w", regParam=1.0 / (c * max(n, 1)), elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=max_iter).fit(data)
+    data, n = balanced(rows)
+    data = data.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), "w")
+    return LogisticRegression(weightCol="w", regParam=1.0 / (c * max(n, 1)), elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=max_iter, tol=tol).fit(data)
+
+
+def optimality(model, rows: DataFrame, c: float = 1.0, l1: bool = False, tol: float = 1e-3) -> DataFrame:
+    """(feature, weight, gradient, excess, optimal) of a fitted two-class model on the rows (x, label) it was fitted on; feature -1 is the intercept.
+
+    ``gradient`` is the weighted loss's, per unit of weight; with the penalty it has to vanish. ``excess`` is how far it is
+    from that: with L1, a weight of 0 allows any gradient up to the penalty, another weight needs a gradient
+    of the penalty's size against its sign; with L2, the gradient is minus the weight times the penalty.
+    """
+    data, n = balanced(rows)
+    weights, penalty = [float(w) for w in model.coefficients.toArray()], 1.0 / (c * max(n, 1))
+    z = F.lit(float(model.intercept)) + F.aggregate(F.zip_with("x", F.lit(weights), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    miss = F.col("w") * (1 / (1 + F.exp(-z)) - F.col("label"))
+    cells = data.select(miss.alias("miss"), F.posexplode(F.concat("x", F.array(F.lit(1.0))))).groupBy("pos").agg((F.sum(F.col("miss") * F.col("col")) / n).alias("gradient"))
+    feature = F.when(F.col("pos") == len(weights), -1).otherwise(F.col("pos")).cast("int")
+    weight = F.get(F.lit([*weights, float(model.intercept)]), F.col("pos"))
+    g, sign = F.col("gradient"), F.signum("weight")
+    pull = F.when(F.col("weight") != 0, F.abs(g + sign * penalty)).otherwise(F.greatest(F.abs(g) - penalty, F.lit(0.0))) if l1 else F.abs(g + F.col("weight") * penalty)
+    out = cells.select(feature.alias("feature"), weight.alias("weight"), "gradient").withColumn("excess", F.when(F.col("feature") == -1, F.abs(g)).otherwise(pull))
+    return out.withColumn("optimal", F.col("excess") <= tol)
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
@@ -212,14 +237,20 @@ def evaluate_sequence_task(name: str, synth: DataFrame, real: DataFrame, label:
     return out
 
 
-def rank_topk_features(rows: DataFrame, label: Column, id_col: str, time_col: str, k: int, exclude: Sequence[str] = ()) -> list[str]:
-    """Features with the greatest absolute weights of an L1 model on each subject's first values."""
+def first_row_features(rows: DataFrame, label: Column, id_col: str, time_col: str, exclude: Sequence[str] = ()) -> tuple[list[str], DataFrame]:
+    """Names of the numeric features, and (x, label) of each subject's first values."""
     first = first_rows(rows, id_col, time_col).withColumn("__label", label).where("__label is not null")
     plan = FeaturePlan.fit(first.drop("__label"), (), [id_col, time_col, *exclude])
     plan.categorical = {}
-    weights = fit_classifier(plan.features(first, F.col("__label").alias("label")), c=0.5, l1=True).coefficients.toArray()
-    order = sorted(range(len(weights)), key=lambda i: (-abs(weights[i]), plan.numeric[i]))
-    return [plan.numeric[i] for i in order[:k]]
+    return plan.numeric, plan.features(first, F.col("__label").alias("label"))
+
+
+def rank_topk_features(rows: DataFrame, label: Column, id_col: str, time_col: str, k: int, exclude: Sequence[str] = ()) -> list[str]:
+    """Features with the greatest absolute weights of an L1 model on each subject's first values."""
+    names, data = first_row_features(rows, label, id_col, time_col, exclude)
+    weights = fit_classifier(data, c=0.5, l1=True).coefficients.toArray()
+    order = sorted(range(len(weights)), key=lambda i: (-abs(weights[i]), names[i]))
+    return [names[i] for i in order[:k]]
 
 
 def feature_ablation(synth: DataFrame, real: DataFrame, task: Task, ranked: Sequence[str], ks: Sequence[int], id_cols: Sequence[str], seeds: Sequence[int] = (0,)) -> DataFrame:

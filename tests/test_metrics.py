@@ -170,6 +170,48 @@ def test_generators(spark, small_flow_rows, kind):
     assert rollout.rollout(model, subjects, 5, 1, stop=0, threshold=-100.0).count() == 7
 
 
+def test_sequential_flow_in_closed_form(spark):
+    """One level of one-split trees: the velocity is the mean of x - z on either side, and a class that is alone is a constant."""
+    rows = spark.createDataFrame([(i, [-1.0 if i % 2 else 1.0, 7.0], []) for i in range(400)], "id long, x_target array<double>, x_cond array<double>")
+    model = flow.SequentialFlow(categorical=(1,), nt=1, n_noise=2, settings={"maxIter": 1, "maxDepth": 1, "stepSize": 1.0, "seed": 0}).fit(rows)
+    pairs = flow.expand_pairs(rows, 2, 1, 2).groupBy((F.get("x_t", 0) > 0).alias("up")).agg(F.avg(F.get("y", 0)).alias("v"))
+    v = {r["up"]: r["v"] for r in pairs.collect()}
+    noise = rollout._with_noise(rows.select("id", F.col("x_cond").alias("cond")), 2, 5, 0)
+    got = rollout.sample(model, rows, 5).join(noise, "id").select("x", "z").collect()
+    assert len(got) == 400 and {r["x"][1] for r in got} == {7.0}
+    far = [r for r in got if abs(r["z"][0]) > 0.1]  # elsewhere it depends on where the tree cuts between -1 and 1
+    assert len(far) > 300 and all(r["x"][0] == pytest.approx(r["z"][0] + v[r["z"][0] > 0]) for r in far)
+
+
+def test_trajectories_of_varying_length(spark, small_flow_rows):
+    rows = small_flow_rows.select("id", "x_target", F.slice("x_target", 1, 2).alias("x_cond"))
+    model = flow.JointFlow(nt=1, n_noise=1, settings={"maxIter": 2, "maxDepth": 2, "seed": 0}).fit(rows)
+    subjects = spark.createDataFrame([(i, [], [float(i), 0.0] if i < 4 else None) for i in range(9)], "id long, x_static array<double>, first array<double>")
+    for start in ("random", "zero", "given"):
+        by = {}
+        for r in rollout.sample_trajectories(model, subjects, 6, start, 1, 1, 0.5).orderBy("id", "step").collect():
+            by.setdefault(r["id"], []).append(r)
+        assert set(by) == set(range(9)) and len({len(x) for x in by.values()}) > 1
+        for i, steps in by.items():
+            assert [r["step"] for r in steps] == list(range(len(steps))) and [r["last"] for r in steps] == [False] * (len(steps) - 1) + [True]
+            assert all(r["x"][1] <= 0.5 for r in steps[:-1]) and (steps[-1]["x"][1] > 0.5 or len(steps) == 6)
+            assert start == "random" or steps[0]["x"] == ([0.0, 0.0] if start == "zero" else [float(i), 0.0]) or (start == "given" and i >= 4)
+    with pytest.raises(ValueError):
+        rollout.sample_trajectories(model, subjects, start="other")
+
+
+def test_optimality_of_fits(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 4))
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=400) > 0.5).astype(int)
+    rows = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, label int")
+    for l1, c in ((False, 1.0), (True, 0.05)):
+        fine = utility.optimality(utility.fit_classifier(rows, c, l1, tol=1e-10), rows, c, l1, 1e-5).collect()
+        assert len(fine) == 5 and all(r["optimal"] for r in fine) and (not l1 or any(r["weight"] == 0 for r in fine))
+        poor = utility.optimality(utility.fit_classifier(rows, c, l1, max_iter=1), rows, c, l1, 1e-5).collect()
+        assert not all(r["optimal"] for r in poor)
+
+
 def test_label_conditional(small_flow_rows):
     fitted = flow.fit_label_conditional(small_flow_rows.withColumn("label", F.get("x_cond", 0)), "label", lambda: flow.JointFlow(nt=1, n_noise=1, settings={"maxIter": 1, "maxDepth": 1}))
     assert set(fitted) == {0.0, 1.0} and sum(share for _, share in fitted.values()) == pytest.approx(1.0)
@@ -181,6 +223,7 @@ def test_kinds_and_label_draws(spark):
         flow.flow_feature_types(["q"], 2)
     drawn = flow.draw_labels(spark.range(4000), spark.createDataFrame([("a", 1), ("b", 3)], "label string, count long"), "label", "id")
     assert 900 < drawn.where("label = 'a'").count() < 1100
+    assert flow.draw_labels(spark.range(3), spark.createDataFrame([], "label string, count long"), "label", "id").where("label is null").count() == 3
 
 
 def test_flat_table(spark):

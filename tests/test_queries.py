@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from synthscope.plans import queries, queries_columns, queries_reports  # noqa: F401  they register theirs too
+from synthscope.plans import queries, queries_columns, queries_fits, queries_reports  # noqa: F401  they register theirs too
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
