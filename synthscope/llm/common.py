@@ -6,11 +6,14 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII whitespace; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +86,19 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def _named_again(batches, fn, names: list[str]):
+    """``fn`` over batches that have their own names; its results by position."""
+    for b in fn(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+        yield pa.RecordBatch.from_arrays(b.columns, [f"c{i}" for i in range(b.num_columns)])
+
+
+def mapped(df: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` whatever the columns' names: a dot in a name would be read as a field's."""
+    by_place = lambda names: [f"c{i}" for i in range(len(names))]
+    out = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(by_place(schema.names), schema.fields, strict=True)])
+    return df.toDF(*by_place(df.columns)).mapInArrow(partial(_named_again, fn=fn, names=df.columns), out).toDF(*schema.names)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

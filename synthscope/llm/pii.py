@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most.
 LONGEST = 5
@@ -412,4 +414,4 @@ def redact_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     too; texts of any length cost linear time; an empty table gives no rows.
     """
     field = train(training_texts(docs, sample))
-    return docs.mapInArrow(partial(_redact_batches, field=field, names=docs.columns), docs.schema)
+    return mapped(docs, partial(_redact_batches, field=field, names=docs.columns), docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mapped, stored
 
 FEATURES = ("words", "mean_word", "upper", "digit", "bang", "pipe", "symbol", "other_punct", "distinct", "lines", "short_lines", "packed")
 #: Share of the pooled covariance, and of its mean variance, in each class covariance.
@@ -139,4 +139,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The statistics are gathered once to fit and once more to filter, so no text is shuffled.
     """
     model = fit(training_rows(document_statistics(docs), labels))
-    return docs.mapInArrow(partial(_keep_batches, model=model, at=docs.columns.index("text")), docs.schema)
+    return mapped(docs, partial(_keep_batches, model=model, at=docs.columns.index("text")), docs.schema)

@@ -51,7 +51,7 @@ def test_awkward_rows(spark, docs, no_docs, tmp_path):
     bench = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string")
     for name, frame in (("labels", labels), ("benchmark", bench)):
         frame.write.parquet(f"{tmp_path}/{name}.parquet")
-    clashing = docs.selectExpr("*", "1 AS node_", "2 AS leak", "3 AS rate", "4 AS root", "5 AS key", "6 AS score", "7 AS tid", "8 AS copy")
+    clashing = docs.selectExpr("*", "1 AS node_", "2 AS leak", "3 AS rate", "4 AS root", "5 AS key", "6 AS score", "7 AS tid", "8 AS copy", "9 AS `a.b`")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, clashing, str(tmp_path))
         out.write.parquet(f"{tmp_path}/out-{name}")
