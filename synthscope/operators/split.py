@@ -98,11 +98,22 @@ def bootstrap(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0, draw: s
 
 
 def random_rows(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequence[str], seed: int = 0) -> DataFrame:
-    """``n`` rows of independent uniform draws: numbers within each column's range, texts among its values."""
+    """``n`` rows of independent uniform draws: numbers within each column's range, texts among its values.
+
+    A category is drawn by its rank among the column's values. Ranks are counted over ranges of values and joined, so
+    a column may have any number of them; a column without values stays null.
+    """
+    from ..functions.dist import running_sums
     from ..functions.scalars import hash_unit
 
-    stats = df.agg(*[x for c in numeric for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))], *[F.array_sort(F.collect_set(c)).alias(f"set_{c}") for c in categorical])
     u = lambda c: hash_unit(seed, F.col("id"), F.lit(c))
-    drawn = [(F.col(f"lo_{c}") + u(c) * (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(c) for c in numeric]
-    drawn += [F.get(F.col(f"set_{c}"), F.floor(u(c) * F.size(f"set_{c}")).cast("int")).alias(c) for c in categorical]
-    return df.sparkSession.range(n).crossJoin(F.broadcast(stats)).select("id", *drawn)  # one row of statistics
+    out = df.sparkSession.range(n)
+    if numeric:
+        ends = df.agg(*[x for c in numeric for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
+        out = out.select("id", *[(F.lit(ends[f"lo_{c}"]) + u(c) * (F.lit(ends[f"hi_{c}"]) - F.lit(ends[f"lo_{c}"]))).alias(c) for c in numeric])
+    for c in categorical:
+        values = df.select(F.lit(0).alias("column"), F.col(c).alias("value")).where("value is not null").distinct().withColumn("one", F.lit(1))
+        ranked = running_sums(values, "column", "value", ["one"]).select((F.col("cum_one") - 1).alias("__rank"), F.col("value").alias(c))
+        rank = F.floor(u(c) * F.lit(ranked.count()))
+        out = out.withColumn("__rank", rank).join(ranked, "__rank", "left").drop("__rank")
+    return out.select("id", *numeric, *categorical)

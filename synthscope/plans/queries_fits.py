@@ -97,3 +97,22 @@ def sparse_ranking(t):
     names, data = utility.first_row_features(real_synth(t)[0].drop("flag", "status"), _label(), "id", "t", ["qty"])
     model = utility.fit_classifier(data, c=0.5, l1=True, tol=1e-10)
     return utility.optimality(model, data, 0.5, True, 1e-4).select(F.get(F.lit(["intercept", *names]), F.col("feature") + 1).alias("feature"), "optimal")
+
+
+@query("SELECT features, seed, true AS scored FROM (SELECT unnest(['all', 'top1', 'top2']) AS features), (SELECT unnest([0, 1])::INT AS seed)")
+def ablation_table(t):
+    """A task scored with all features and with the first one and two, two seeds each: every score is there and within its range."""
+    real, synth = (d.drop("qty") for d in (d.withColumn("y", _label()) for d in real_synth(t)))
+    task = utility.ColumnTask("y", F.col("y"), ["y"])
+    out = utility.feature_ablation(synth, real, task, ["price", "disc"], [1, 2], ["id", "t"], [0, 1])
+    within = lambda c: F.col(c).between(0, 1)
+    return out.select("features", "seed", F.coalesce(within("accuracy") & within("f1") & within("roc_auc"), F.lit(False)).alias("scored"))
+
+
+@query("SELECT unnest(['y', 'y', 'z', 'z']) AS task, unnest(['real', 'synth', 'real', 'synth']) AS side, true AS scored")
+def several_tasks(t):
+    """Two tasks on one pair of tables, each trained on either side."""
+    real, synth = (d.withColumn("y", _label()).withColumn("z", (F.col("price") > 40_000).cast("int")) for d in real_synth(t))
+    tasks = [utility.ColumnTask("y", F.col("y"), ["y", "qty"]), utility.ColumnTask("z", F.col("z"), ["z", "price"])]
+    out = utility.evaluate_multi_task(synth, real, tasks, ["id", "t"])
+    return out.select("task", "side", F.coalesce(F.col("roc_auc").between(0, 1) & F.col("accuracy").between(0, 1), F.lit(False)).alias("scored"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rank
-from . import cell, results, trajectory, utility
-from .queries import _SEEDS, ORACLES, REAL, _seeds, query, real_synth
+from ..functions import scalars as S
+from . import cell, privacy, results, trajectory, utility
+from .queries import _HOLD, _KNOWN, _PR, _PS, _SEEDS, _TRAIN, ORACLES, REAL, _parts, _seeds, query, real_synth
 
 # --- result tables ----------------------------------------------------------------------------
 
@@ -131,6 +132,27 @@ def trajectory_bundle(t):
     return trajectory.trajectory_metrics(real, synth)
 
 
+def _with_train(name: str) -> str:
+    """A query's SQL with the training half in place of all real rows."""
+    return f"({ORACLES[name].replace(_PS, '@synth').replace(_PR, '@real').replace('@synth', _PS).replace('@real', _TRAIN)})"
+
+
+_PRIVACY_PARTS = [_with_train("closest_record"), _with_train("baseline_protection"), f"({ORACLES['overfitting_protection']})", f"({ORACLES['membership_attack'].replace(_KNOWN, _PS)})"]
+_PRIVACY_PARTS.append(f"(SELECT (SELECT count(*) FROM {_TRAIN}) AS n_train, (SELECT count(*) FROM {_HOLD}) AS n_holdout, (SELECT count(*) FROM {_PS}) AS n_synth)")
+
+
+@query(
+    f"SELECT * FROM {', '.join(_PRIVACY_PARTS)}",
+    "dcr_mean dcr_median dcr_p05 dcr_p95 exact_match_rate nndr_median synth_median random_median dcr_baseline_protection dcr_overfitting_protection dcr_closer_to_training median_train median_holdout "
+    "mia_roc_auc mia_average_precision mia_attacker_advantage member_mean nonmember_mean", "n_train n_holdout n_synth", 5,
+)
+def privacy_report(t):
+    """All privacy metrics at once, with half of the real parts as the training rows and half held out."""
+    real, synth = _parts(t)
+    half = S.hash_rank(9, F.col("id")) % 2
+    return privacy.privacy_metrics(real.where(half == 0), synth, "id", real.where(half == 1))
+
+
 @query(None)
 def hour0_diagnostics(t):
     """First lines of orders against those of two models, two seeds each."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -18,6 +19,7 @@ from ..functions.scalars import bin_by_edges, clean, one_hot, padded, presence,
 from ..operators.grid import any_label, first_rows
 from ..operators.impute import column_medians, column_modes
 from ..operators.split import smallest_hashes, train_test_split
+from ..sources.io import kept
 
 # Columns that give an outcome away, and marks of aggregate columns in unflattened names.
 LEAKY = """subject_id hadm_id icustay_id trajectory_id timestep hours_in charttime admittime intime dischtime outtime deathtime hospital_expire_flag
@@ -210,13 +212,25 @@ class ColumnTask(Task):
         return self.exclude
 
 
-def evaluate_multi_task(synth: DataFrame, real: DataFrame, tasks: Sequence[Task], id_cols: Sequence[str], test_size: float = 0.3) -> DataFrame:
-    out = tasks[0].evaluate(synth, real, id_cols, test_size)
-    for t in tasks[1:]:
-        out = out.unionByName(t.evaluate(synth, real, id_cols, test_size))
+def _together(jobs: list[Callable], threads: int = 4) -> list:
+    """Independent jobs, a few at a time."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
+def evaluate_multi_task(synth: DataFrame, real: DataFrame, tasks: Sequence[Task], id_cols: Sequence[str], test_size: float = 0.3) -> DataFrame:
+    """(task, side, metrics) of several tasks. Both tables are read once and kept, and the tasks run side by side."""
+    synth, real = kept(synth), kept(real)
+    return _stacked(_together([lambda t=t: t.evaluate(synth, real, id_cols, test_size) for t in tasks]))
+
+
 def evaluate_sequence_task(name: str, synth: DataFrame, real: DataFrame, label: Callable[[DataFrame], DataFrame], id_col: str, time_col: str, exclude: Sequence[str] = (), classes: Sequence[int] = (0, 1), test_size: float = 0.3, max_len: int | None = None, cap: int | None = None, seed: int = 0) -> DataFrame:
     """As ``Task.evaluate``, a subject at a time: its steps padded to one length are the features."""
     plan = FeaturePlan.fit(synth, [real], [id_col, time_col, *exclude])
@@ -232,8 +246,8 @@ def evaluate_sequence_task(name: str, synth: DataFrame, real: DataFrame, label:
         got = evaluate_scores(scored(fit_classifier(train), test), classes) if ok else empty_metrics(real.sparkSession)
         got = got.select(F.lit(name).alias("task"), F.lit(side).alias("side"), "*")
         out = got if out is None else out.unionByName(got)
-    for kept in (parts, *seqs.values()):
-        kept.unpersist()
+    for frame in (parts, *seqs.values()):
+        frame.unpersist()
     return out
 
 
@@ -253,13 +267,29 @@ def rank_topk_features(rows: DataFrame, label: Column, id_col: str, time_col: st
     return [names[i] for i in order[:k]]
 
 
-def feature_ablation(synth: DataFrame, real: DataFrame, task: Task, ranked: Sequence[str], ks: Sequence[int], id_cols: Sequence[str], seeds: Sequence[int] = (0,)) -> DataFrame:
-    """(features, seed, metrics) of the task with all features and with the first k ranked ones."""
-    out = None
-    others = [c for c in drop_leaky_columns(synth, [*task.get_exclude_cols(), *id_cols]).columns if c not in ranked]
-    for name, gone in [("all", []), *[(f"top{k}", [*ranked[k:], *others]) for k in ks]]:
-        for seed in seeds:
-            task.seed = seed
-            got = task.evaluate(synth.drop(*gone), real.drop(*gone), id_cols).where("side = 'synth'").select(F.lit(name).alias("features"), F.lit(seed).alias("seed"), "accuracy", "f1", "roc_auc")
-            out = got if out is None else out.unionByName(got)
-    return out
+def feature_ablation(synth: DataFrame, real: DataFrame, task: Task, ranked: Sequence[str], ks: Sequence[int], id_cols: Sequence[str], seeds: Sequence[int] = (0,), test_size: float = 0.3) -> DataFrame:
+    """(features, seed, metrics) of the task with all features and with the first k ranked ones.
+
+    Each table is read once: its features are computed and kept, and every fit takes its share of the array. Features
+    are filled and scaled column by column, so a share is what a fit on these columns alone would see. There is one split a seed; fits run side by side.
+    """
+    label, drop = task.prepare_target(), [*task.get_exclude_cols(), *id_cols]
+    synth, real = (d.withColumn("__label", label).where("__label is not null") for d in (synth, real))
+    plan = FeaturePlan.fit(synth.drop("__label"), [real.drop("__label")], drop)
+    places: dict[str, list[int]] = {c: [i] for i, c in enumerate(plan.numeric)}
+    at = len(places)
+    for c, levels in plan.categorical.items():
+        places[c] = list(range(at, at + len(levels) - 1))
+        at += len(levels) - 1
+    train = kept(plan.features(synth, F.col("__label").alias("label")))
+    tests = {seed: kept(train_test_split(plan.features(real, *id_cols, F.col("__label").alias("label")), test_size, id_cols, "label", seed).where("is_test")) for seed in seeds}
+    sets = [("all", list(range(at))), *[(f"top{k}", [i for c in ranked[:k] for i in places.get(c, [])]) for k in ks]]
+
+    def fitted(name: str, own: list[int], seed: int) -> DataFrame:
+        share = lambda d: d.select("label", F.array(*[F.get("x", i) for i in own]).cast("array<double>").alias("x"))
+        fit, test = share(train), share(tests[seed])
+        ok = own and all(d.select("label").distinct().count() >= 2 for d in (fit, test))
+        got = evaluate_scores(scored(task.get_model(fit), test), task.classes) if ok else empty_metrics(real.sparkSession)
+        return got.select(F.lit(name).alias("features"), F.lit(seed).alias("seed"), "accuracy", "f1", "roc_auc")
+
+    return _stacked(_together([lambda n=name, o=own, s=seed: fitted(n, o, s) for name, own in sets for seed in seeds]))
