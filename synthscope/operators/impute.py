@@ -42,9 +42,12 @@ def column_medians(df: DataFrame, names: Sequence[str]) -> dict:
 
 
 def column_modes(df: DataFrame, names: Sequence[str], unknown: str = "Unknown") -> dict:
-    """Most frequent value of each column, the least on ties, ``unknown`` where all are null."""
-    row = df.agg(*[F.mode(F.col(f"`{c}`"), True).alias(str(i)) for i, c in enumerate(names)]).first() if names else []
-    return {c: unknown if v is None else v for c, v in zip(names, row, strict=True)}
+    """Most frequent value of each column, the least on ties, ``unknown`` where all are null. Values are counted first, so no task holds a column's."""
+    found = {}
+    for c in names:
+        top = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n")).where("v is not null").agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"]).first()
+        found[c] = unknown if top[0] is None else top[0]
+    return found
 
 
 def fill_values(df: DataFrame, values: dict) -> DataFrame:

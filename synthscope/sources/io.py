@@ -79,12 +79,41 @@ def append_results(df: DataFrame, path: str, schema: T.StructType, keys: Sequenc
     rows.write.mode("append").parquet(path)
 
 
+def folder_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, changed) of the files in a folder and the folders below it, as Spark lists them; nothing is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.unix_millis("_metadata.file_modification_time").alias("changed"))
+
+
 def file_signature(spark: SparkSession, path: str) -> dict[str, object]:
-    """Path, size and time of the last change of a file or of a folder's files, for ``cached_by_signature``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    status = fs.listStatus(p)
-    return {"path": path, "size": sum(s.getLen() for s in status), "mtime": max((s.getModificationTime() for s in status), default=0)}
+    """Path, size, number and time of the last change of a file or of all files below a folder, for ``cached_by_signature``."""
+    row = folder_files(spark, path).agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.max("changed"), F.lit(0))).first()
+    return {"path": path, "size": row[0], "files": row[1], "mtime": row[2]}
+
+
+def refreshed(spark: SparkSession, source: str, target: str, build: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """The table at ``target``, brought up to date with the files below ``source``.
+
+    The table has a partition a file, and a manifest of the files' sizes and times is stored beside it. Files that are new or
+    have changed are built again, by ``build`` of their paths (rows with the path in ``file``); the partitions of files
+    that are gone are deleted; the others stay as they are. What comes to the driver are the files' names.
+    """
+    table, manifest = f"{target}/rows", f"{target}/manifest"
+    now = folder_files(spark, source)
+    was = spark.read.schema(now.schema).parquet(manifest) if _exists(spark, f"{manifest}/_SUCCESS") else now.limit(0)
+    rows, before = [tuple(r) for r in now.collect()], {tuple(r) for r in was.collect()}
+    part = lambda file: spark.range(1).select(F.md5(F.lit(file))).first()[0]
+    gone = {r[0] for r in before} - {r[0] for r in rows}
+    for file in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/part={part(file)}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    changed = sorted(r[0] for r in rows if r not in before)
+    if changed:
+        built = build(changed).withColumn("part", F.md5("file"))
+        built.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)
+    if changed or gone:
+        spark.createDataFrame(rows, now.schema).coalesce(1).write.mode("overwrite").parquet(manifest)
+    return spark.read.parquet(table).drop("part")
 
 
 def migrate_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
