@@ -145,20 +145,27 @@ FROM parts p LEFT JOIN r_allow_{urls.ROUNDS} a ON p.host = a.host LEFT JOIN r_bl
 
 
 def _licenses_sql() -> str:
-    """Every run of lines against every template, by plain Dice; runs with a part that is as good, and parts of a better run, are left out."""
-    values = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in licenses.bigrams(licenses.normal_words(text)))) for name, text in sorted(licenses.TEMPLATES.items()))
+    """Every template laid over the words wherever a required bigram stands, by plain Dice; of finds that overlap, the best."""
+    known = licenses.prepared(licenses.TEMPLATES, licenses.THRESHOLD)
+    quoted = lambda items: "[{}]".format(", ".join(f"'{g}'" for g in items))
+    templates = ", ".join(f"({k}, '{t.license}', {t.words}, {quoted(t.grams)})" for k, t in enumerate(known))
+    anchors = ", ".join(f"('{g}', {k}, {o})" for k, t in enumerate(known) for g, o in t.anchors)
+    by = "PARTITION BY d ORDER BY start_word, n_words DESC ROWS BETWEEN UNBOUNDED PRECEDING AND"
     return f"""
-WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-runs AS (SELECT doc_id, i, k, l[i:i + k - 1] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split), (SELECT unnest(range(1, {licenses.MOST_LINES + 1})) AS k) WHERE i + k - 1 <= len(l)),
-worded AS (SELECT doc_id, i, k, regexp_extract_all(translate(array_to_string(run, chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM runs WHERE regexp_matches(run[1], '[A-Za-z0-9]') AND regexp_matches(run[k], '[A-Za-z0-9]')),
-grams AS (SELECT doc_id, i, k, CASE WHEN len(w) > 1 THEN list_distinct([w[j] || ' ' || w[j + 1] for j in range(1, len(w))]) ELSE w END AS g FROM worded WHERE len(w) > 0),
-templates(license, t) AS (VALUES {values}),
-scored AS (SELECT doc_id, i, k, license, 2 * len(list_intersect(g, t)) / (len(g) + len(t))::DOUBLE AS dice FROM grams, templates),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i, k ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {licenses.THRESHOLD} - 1e-12),
-runs_found AS (SELECT * FROM best WHERE r = 1)
-SELECT doc_id, i::BIGINT AS line_no, k::BIGINT AS n_lines, license, dice FROM runs_found m
-WHERE NOT EXISTS (SELECT 1 FROM runs_found p WHERE p.doc_id = m.doc_id AND p.k < m.k AND p.i >= m.i AND p.i + p.k <= m.i + m.k AND p.dice >= m.dice)
-AND NOT EXISTS (SELECT 1 FROM runs_found p WHERE p.doc_id = m.doc_id AND p.k > m.k AND p.i <= m.i AND p.i + p.k >= m.i + m.k AND p.dice > m.dice)
+WITH templates(k, license, m, t) AS (VALUES {templates}),
+anchors(gram, k, o) AS (VALUES {anchors}),
+worded AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+words AS (SELECT d, unnest(w) AS x, unnest(range(len(w))) AS i FROM worded),
+pairs AS (SELECT d, i, x || ' ' || lead(x) OVER (PARTITION BY d ORDER BY i) AS gram FROM words),
+laid AS (SELECT DISTINCT d, k, i - o AS s FROM pairs JOIN anchors USING (gram)),
+stretches AS (SELECT d, doc_id, license, t, greatest(s, 0) AS start_word, list_slice(w, greatest(s, 0) + 1, least(s + m, len(w))) AS v FROM laid JOIN worded USING (d) JOIN templates USING (k)),
+grams AS (SELECT *, len(v) AS n_words, list_distinct([v[j] || ' ' || v[j + 1] for j in range(1, len(v))]) AS g FROM stretches),
+scored AS (SELECT d, doc_id, license, start_word, n_words, len(list_intersect(g, t)) AS shared, 2 * len(list_intersect(g, t)) / (len(g) + len(t))::DOUBLE AS dice FROM grams),
+found AS (SELECT * FROM scored WHERE dice >= {licenses.THRESHOLD} - 1e-12),
+begun AS (SELECT *, coalesce(start_word >= max(start_word + (n_words + 1) // 2) OVER ({by} 1 PRECEDING) AND start_word + n_words > max(start_word + n_words) OVER ({by} 1 PRECEDING), true) AS apart FROM found),
+numbered AS (SELECT *, sum(apart::INT) OVER ({by} CURRENT ROW) AS find FROM begun),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY d, find ORDER BY shared DESC, dice DESC, start_word, license, n_words) AS place FROM numbered)
+SELECT doc_id, start_word::BIGINT AS start_word, n_words::BIGINT AS n_words, license, dice FROM ranked WHERE place = 1
 """
 
 
