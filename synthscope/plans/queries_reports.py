@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rank
 from ..functions import scalars as S
 from . import cell, privacy, results, trajectory, utility
-from .queries import _HOLD, _KNOWN, _PR, _PS, _SEEDS, _TRAIN, ORACLES, REAL, _parts, _seeds, query, real_synth
+from .queries import _HOLD, _KNOWN, _PR, _PS, _RANGES, _SEEDS, _TRAIN, ORACLES, REAL, SYNTH, _parts, _seeds, query, real_synth
+from .queries import _pairs as _long_pairs
 
 # --- result tables ----------------------------------------------------------------------------
 
@@ -153,13 +154,51 @@ def privacy_report(t):
     return privacy.privacy_metrics(real.where(half == 0), synth, "id", real.where(half == 1))
 
 
-@query(None)
+_FIRSTS = ", ".join(f"arg_min({c}, t) AS {c}" for c in ("qty", "price", "disc", "flag"))
+_FIRST_NUMBERS = ["qty", "price", "disc"]
+
+
+def _first_quality(own: str) -> dict[str, str]:
+    """SQL of each measure of the first lines ``own`` against those of ``real``."""
+    key = '"column"'
+    share = lambda side: f"sum(sum({side})) OVER w / sum(sum({side})) OVER (PARTITION BY {key})::DOUBLE"
+    both = f"(SELECT {key}, v, {share('1 - s')} AS fr, {share('s')} AS fs, lead(v) OVER w AS nx FROM ({_long_pairs('real', own, _FIRST_NUMBERS)}) GROUP BY {key}, v WINDOW w AS (PARTITION BY {key} ORDER BY v))"
+    area = f"(SELECT {key}, sum(abs(fr - fs) * (nx - v)) AS area FROM {both} GROUP BY {key})"
+    spread = f"(SELECT unnest({_FIRST_NUMBERS}) AS {key}, unnest([{', '.join(f'stddev_pop({c})' for c in _FIRST_NUMBERS)}]) AS spread FROM real)"
+    pairs = [(a, b) for i, a in enumerate(_FIRST_NUMBERS) for b in _FIRST_NUMBERS[i + 1 :]]
+    gaps = " UNION ALL ".join(f"SELECT (SELECT corr({a}, {b}) FROM {own}) - (SELECT corr({a}, {b}) FROM real) AS d" for a, b in pairs)
+    side = lambda table, name: f"(SELECT flag, count(*) / sum(count(*)) OVER ()::DOUBLE AS {name} FROM {table} GROUP BY flag)"
+    shares = f"(SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM {side('real', 'p')} FULL JOIN {side(own, 'q')} USING (flag))"
+    term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
+    beyond = " + ".join(f"count(*) FILTER ({c} < {low} OR {c} > {high})" for c, (low, high) in _RANGES.items())
+    return {
+        "avg_ks_stat": f"SELECT avg(ks) FROM (SELECT max(abs(fr - fs)) AS ks FROM {both} GROUP BY {key})",
+        "corr_frobenius": f"SELECT sqrt(2 * sum(d * d)) FROM ({gaps})",
+        "range_violation_pct": f"SELECT 100.0 * ({beyond}) / ({' + '.join(f'count({c})' for c in _RANGES)}) FROM {own}",
+        "wasserstein_mean": f"SELECT avg(area) FROM {area}",
+        "wasserstein_scaled_mean": f"SELECT avg(area / spread) FROM {area} JOIN {spread} USING ({key})",
+        "tv_mean": f"SELECT 0.5 * sum(abs(p - q)) FROM {shares}",
+        "js_mean": f"SELECT sqrt(greatest(0, 0.5 * sum({term('p')}) + 0.5 * sum({term('q')}))) FROM {shares}",
+    }
+
+
+def _diagnostics_sql() -> str:
+    groups = [(model, seed, f"(SELECT * FROM samples WHERE model = '{model}' AND seed = {seed})") for model in "ab" for seed in (0, 1)]
+    values = " UNION ALL ".join(f"SELECT '{model}' AS model, {seed} AS seed, '{metric}' AS metric, ({sql})::DOUBLE AS value" for model, seed, own in groups for metric, sql in _first_quality(own).items())
+    return f"""
+WITH real AS (SELECT {_FIRSTS} FROM {REAL} GROUP BY id),
+samples AS (SELECT CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS model, id % 2 AS seed, {_FIRSTS} FROM {SYNTH} GROUP BY id)
+SELECT model, metric, count(value) AS n, avg(value) AS mean, CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END AS std, CASE WHEN count(value) > 1 THEN 1.96 * stddev_samp(value) / sqrt(count(value)) END AS ci95 FROM ({values}) GROUP BY model, metric
+"""
+
+
+@query(_diagnostics_sql(), "mean std ci95", "model metric n", 4)
 def hour0_diagnostics(t):
     """First lines of orders against those of two models, two seeds each."""
     first = lambda d: d.groupBy("id").agg(*[F.min_by(c, "t").alias(c) for c in ("qty", "price", "disc", "flag")])
     real, synth = real_synth(t)
     samples = first(synth).withColumn("model", F.when(F.col("id") % 3 == 0, "a").otherwise("b")).withColumn("seed", (F.col("id") % 2).cast("int"))
-    return cell.hour0_diagnostics(first(real).drop("id"), samples.drop("id"), "model", "seed", ["flag"])
+    return cell.hour0_diagnostics(first(real).drop("id"), samples.drop("id"), "model", "seed", ["flag"], _RANGES)
 
 
 @query(None)
