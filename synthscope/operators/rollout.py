@@ -41,6 +41,7 @@ def rollout(model, subjects: DataFrame, steps: int = 48, seed: int = 0, stop: in
     lag = F.coalesce("start", begin) if "start" in subjects.columns else begin
     first = F.col("first") if "first" in subjects.columns else F.lit(None)
     state = subjects.select(F.col("id").cast("long").alias("id"), "x_static", lag.alias("lag"), first.cast("array<double>").alias("first"))
+    state = state.repartition(spark.sparkContext.defaultParallelism, "id")  # a small table is one task's read, but its steps are work for all
     folder, paths = scratch_folder(spark), []
     for t in range(steps):
         if stop is not None and state.isEmpty():

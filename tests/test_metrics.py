@@ -282,3 +282,18 @@ def test_class_auc_falls_back(spark):
     assert one(rows, ["p0", "p1", "p2"]) == 1.0 and one(rows, ["p2", "p0"]) == 0.0 and one(rows.where("y = 0"), ["p0", "p1"]) is None and one(rows, []) is None
     three = rows.unionByName(rows.where("y = 2").withColumn("y", F.lit(3)))
     assert one(three, ["p0", "p1", "p2"]) is not None and one(three, ["p0", "p1"]) is None
+
+
+def test_cells_count_rows_by_bins(spark):
+    """Fits see a bounded number of cells with the rows' numbers and mean labels; a column of few values keeps them as they are."""
+    rows = spark.range(20_000).select((F.col("id") % 10).cast("double").alias("few"), F.rand(1).alias("many"), (F.col("id") % 7).cast("double").alias("y"))
+    got = flow.cells(rows, [F.col("few"), F.col("many")], [F.col("y"), -F.col("y")], [[0, 1], [0]])
+    wide, narrow = ([r for r in got.collect() if r["design"] == k] for k in (0, 1))
+    assert len(wide) <= 10 * flow.BINS and sorted(r["x"][0] for r in narrow) == list(map(float, range(10)))
+    for part in (wide, narrow):
+        assert sum(r["w"] for r in part) == 20_000
+        assert abs(sum(r["w"] * r["y"][0] for r in part) - sum(i % 7 for i in range(20_000))) < 1e-6
+    means = {r["x"][0]: r["w"] for r in narrow}
+    assert set(means.values()) == {2000.0}
+    at = sorted({r["x"][1] for r in wide})
+    assert len(at) == flow.BINS and all(abs(x - (i + 0.5) / flow.BINS) < 0.02 for i, x in enumerate(at))
