@@ -11,7 +11,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -152,9 +153,11 @@ def _visits(batches, cells: Cells, k: int, parts: np.ndarray | None, again: bool
             np.put_along_axis(first, order, _first_cells(order, bound, cells.rows, k), axis=1)
             meets = first if not again else ~first & (bound <= b.column("tau").to_numpy(zero_copy_only=False)[:, None]) & np.isfinite(bound)
             r, c = np.nonzero(meets)
-            rows = b.take(pa.array(r))
             part = b.column("id").to_numpy()[r] % (parts[c] if parts is not None else 1)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c, pa.int32()), pa.array(part, pa.int32())], [*rows.schema.names, "cell", "part"])
+            most = max(1, BLOCK_PAIRS // b.num_columns)  # rows of many columns that meet many cells go out a piece at a time
+            for lot in (slice(i, i + most) for i in range(0, len(r), most)):
+                rows = b.take(pa.array(r[lot]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c[lot], pa.int32()), pa.array(part[lot], pa.int32())], [*rows.schema.names, "cell", "part"])
 
 
 def _nearest(query: pa.Table, ref: pa.Table, k: int, n_num: int, n_cat: int) -> pa.Table:
@@ -231,14 +234,21 @@ def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorica
     a cell, both bounded. Where boxes tell nothing (very many columns), every query meets every cell
     and the work is that of all pairs. Null numbers and categories are the caller's to fill. An empty
     reference is an error; an empty query gives no rows; queries of one id are taken for the same row.
+    Equal queries are searched once, under the least of their ids.
     """
     cols = lambda df, i: df.select(F.col(i).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(numeric)], *[F.xxhash64(F.col(f"`{c}`").cast("string")).alias(f"c{j}") for j, c in enumerate(categorical)])
     search = Search.over(cols(ref, ref_id), len(numeric), len(categorical), k, cell_rows, chunk_rows)
-    q = kept(cols(query, query_id))
+    whole = kept(cols(query, query_id))
+    q = kept(whole.groupBy(*search.names).agg(F.min("id").alias("id"))) if search.names else whole
     first = kept(search.found(q, False).groupBy("id").agg(*_best(k)))
     tau = first.select("id", F.coalesce(F.get("d2", k - 1), F.lit(float("inf"))).alias("tau"))
     second = search.found(q.join(tau, "id"), True)
-    return first.unionByName(second).groupBy("id").agg(*_best(k)).select("id", F.transform("d2", F.sqrt).alias("d"), "near")
+    found = first.unionByName(second).groupBy("id").agg(*_best(k))
+    if search.names:
+        same = reduce(and_, [F.col(f"w.{c}").eqNullSafe(F.col(f"q.{c}")) for c in search.names])
+        asked = whole.alias("w").join(q.alias("q"), same).select("w.id", F.col("q.id").alias("least")).distinct()
+        found = asked.join(found.withColumnRenamed("id", "least"), "least").groupBy("id").agg(*_best(k))
+    return found.select("id", F.transform("d2", F.sqrt).alias("d"), "near")
 
 
 def _best(k: int) -> list:

@@ -1,6 +1,7 @@
 """Distributions, trajectories, privacy, utility, flows and result tables: properties on small tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,25 @@ def test_cells_count_rows_by_bins(spark):
     assert set(means.values()) == {2000.0}
     at = sorted({r["x"][1] for r in wide})
     assert len(at) == flow.BINS and all(abs(x - (i + 0.5) / flow.BINS) < 0.02 for i, x in enumerate(at))
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """3 000 queries of 30 kinds: each gets its row, but only 30 are looked for."""
+    ref = spark.range(50).select("id", (F.col("id") * 1.5).alias("v"), F.lit("a").alias("c"))
+    query = spark.range(3000).select("id", (F.col("id") % 30).cast("double").alias("v"), F.lit("a").alias("c"))
+    asked, found = [], knn.Search.found
+    monkeypatch.setattr(knn.Search, "found", lambda self, q, again: asked.append(q.count()) or found(self, q, again))
+    got = {r["id"]: r["d"][0] for r in knn.nearest(query, ref, ["v"], ["c"]).collect()}
+    assert asked == [30, 30] and len(got) == 3000
+    assert all(abs(d - min(abs(i % 30 - 1.5 * j) for j in range(50))) < 1e-12 for i, d in got.items())
+
+
+def test_visits_go_out_in_bounded_batches(monkeypatch):
+    """A row of many columns that meets many cells does not make one large batch."""
+    monkeypatch.setattr(knn, "BLOCK_PAIRS", 400)
+    x = np.arange(64.0)
+    cells = knn.Cells.cut(np.tile(x, (8, 1)), np.zeros((0, 64), np.int64), 16).boxed([])
+    cells.low, cells.high, cells.rows = np.zeros((8, cells.count)), np.full((8, cells.count), 63.0), np.full(cells.count, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(64)), *[pa.array(x)] * 8, pa.array(np.full(64, 1e9))], ["id", *[f"n{j}" for j in range(8)], "tau"])
+    out = list(knn._visits([batch], cells, 1, None, True))
+    assert sum(b.num_rows for b in out) == 64 * (cells.count - 1) and max(b.num_rows for b in out) <= 40
