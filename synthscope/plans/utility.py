@@ -105,11 +105,15 @@ def vectorise(seqs: DataFrame, max_len: int, width: int) -> DataFrame:
 
 
 def balanced(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (x, label) with the weight ``w`` that makes all classes weigh the same in all, and their number. The rows are counted once."""
-    counts = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}  # a row a class
+    """Distinct rows (x, label) with the weight ``w`` that makes all classes weigh the same in all, and the number of rows.
+
+    Equal rows are one, with their weights' sum: a loss tells no more of them, and an iteration's work grows with what differs. The rows are read once.
+    """
+    counted = kept(rows.where("label is not null").groupBy("x", "label").agg(F.count("*").alias("n")))
+    counts = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row a class
     n = sum(counts.values())
     weights = F.create_map(*[F.lit(v) for label, m in sorted(counts.items()) for v in (label, n / (len(counts) * m))]) if counts else None
-    return rows.where("label is not null").select("x", "label", (weights[F.col("label")] if counts else F.lit(1.0)).alias("w")), n
+    return counted.select("x", "label", ((weights[F.col("label")] if counts else F.lit(1.0)) * F.col("n")).alias("w")), n
 
 
 def fit_classifier(rows: DataFrame, c: float = 1.0, l1: bool = False, max_iter: int = 500, tol: float = 1e-6):
@@ -155,6 +159,7 @@ def empty_metrics(spark) -> DataFrame:
 
 def evaluate_scores(rows: DataFrame, classes: Sequence[int]) -> DataFrame:
     """One row: classification metrics and AUC (one class against the rest, averaged, beyond two), computed here and now."""
+    rows = kept(rows)
     have = [c for c in rows.columns if c.startswith("p") and c[1:].isdigit()]
     out = classification_metrics(rows, "label", "prediction").crossJoin(class_roc_auc(rows, "label", have))  # single rows
     return rows.sparkSession.createDataFrame(out.collect(), out.schema)
@@ -185,16 +190,15 @@ class Task(ABC):
         synth, real = (d.withColumn("__label", label).where("__label is not null") for d in (synth, real))
         plan = FeaturePlan.fit(synth.drop("__label"), [real.drop("__label")], drop)
         keep = F.col("__label").alias("label")
-        parts = train_test_split(real, test_size, id_cols, "__label", self.seed)
-        test = plan.features(parts.where("is_test"), keep).persist()
+        parts = kept(plan.features(train_test_split(real, test_size, id_cols, "__label", self.seed), keep, "is_test"))
+        sides = {"synth": kept(plan.features(synth, keep)), "real": parts.where("not is_test").drop("is_test")}
+        test = parts.where("is_test").drop("is_test")
         out = None
-        for side, rows in (("synth", synth), ("real", parts.where("not is_test"))):
-            train = plan.features(rows, keep)
+        for side, train in sides.items():
             ok = train.select("label").distinct().count() >= 2 and test.select("label").distinct().count() >= 2
             got = evaluate_scores(scored(self.get_model(train), test), self.classes) if ok else empty_metrics(real.sparkSession)
             got = got.select(F.lit(self.name).alias("task"), F.lit(side).alias("side"), "*")
             out = got if out is None else out.unionByName(got)
-        test.unpersist()
         return out
 
 

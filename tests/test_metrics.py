@@ -320,3 +320,13 @@ def test_visits_go_out_in_bounded_batches(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(64)), *[pa.array(x)] * 8, pa.array(np.full(64, 1e9))], ["id", *[f"n{j}" for j in range(8)], "tau"])
     out = list(knn._visits([batch], cells, 1, None, True))
     assert sum(b.num_rows for b in out) == 64 * (cells.count - 1) and max(b.num_rows for b in out) <= 40
+
+
+def test_equal_rows_are_fitted_once(spark):
+    """A fit sees distinct rows with the weights of all; the classes still weigh the same."""
+    rows = spark.range(1200).select(F.array((F.col("id") % 4).cast("double")).alias("x"), (F.col("id") % 12 == 0).cast("int").alias("label"))
+    data, n = utility.balanced(rows)
+    got = data.collect()
+    assert n == 1200 and len(got) == 5
+    assert all(abs(sum(r["w"] for r in got if r["label"] == k) - 600) < 1e-9 for k in (0, 1))
+    assert data.groupBy("x", "label").count().where("count > 1").isEmpty()
