@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.columns import drop_id_columns, numeric_columns
+from ..sources.io import kept
 from . import privacy, quality, trajectory, utility
 from .results import degenerate_flag, seed_statistics
 
@@ -72,8 +73,9 @@ def hour0_diagnostics(real: DataFrame, samples: DataFrame, model: str, seed: str
     ``samples`` holds the samples of all models and seeds, told apart by two columns. For each: mean KS statistic, correlation
     distance, range violations, mean Wasserstein distance (plain and scaled), mean total
     variation and mean Jensen-Shannon distance of the categorical columns. Pairs of model
-    and seed are few; each is a set of jobs over its own rows.
+    and seed are few; each is a set of jobs over its own rows. Both tables are computed and stored once, however costly they are to make.
     """
+    real, samples = kept(real), kept(samples)
     numbers = [c for c in numeric_columns(real) if c in samples.columns and c not in (model, seed, *categorical)]
     rows = None
     for pair in samples.select(model, seed).distinct().orderBy(model, seed).collect():  # a row a model and seed
