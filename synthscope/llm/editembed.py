@@ -311,13 +311,32 @@ def _alike_batches(batches, least: float):
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
 
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
+
+
+def pairs_apart(keyed: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one bucket (key, id) that ``groups`` (node, root) leaves apart; without its ``hub`` and
+    ``pick``, which have met all others. Large buckets are compared block by block, so no task has all pairs of one."""
+    members = keyed.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = members.join(hubs, "key").where("id <> hub and id <> pick").select("key", "id", "root")
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high").select("key", "blocks")
+    placed = stored(members.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")))
+    meets = lambda a, first, last: placed.select("key", F.col("id").alias(a), F.col("root").alias(f"{a}_root"), F.col("block").alias(f"{a}_block"), F.explode(F.sequence(first, last)).alias("other"))
+    left = meets("a", F.col("block"), F.col("blocks") - 1).withColumnsRenamed({"a_block": "i", "other": "j"})
+    right = meets("b", F.lit(0).cast("long"), F.col("block")).withColumnsRenamed({"b_block": "j", "other": "i"})
+    met = left.join(right, ["key", "i", "j"]).where((F.col("a_root") != F.col("b_root")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(prints: DataFrame, least: float = ALIKE) -> DataFrame:
     """(fingerprint, group) of distinct fingerprints, by bit-sampled banding and verification: ``group`` is one number for
     what is connected by pairs of likeness ``least`` or more.
 
-    Bands hold bits at times that all texts of about that length reach. Each member of a bucket is compared
-    with two others: the one whose own buckets are the fullest, and one picked by a hash; so a
-    bucket of any size costs pairs in proportion. Nulls are no fingerprints.
+    Bands hold bits at times that all texts of about that length reach. Each member of a bucket is first compared
+    with two others: the one whose own buckets are the fullest, and one picked by a hash. Where that leaves a bucket in
+    several groups, all pairs of its members from different groups follow, so no two that meet and are alike stay apart; that
+    costs pairs only where a bucket's members are not alike. Nulls are no fingerprints.
     """
     one = stored(prints.select("fingerprint").where("fingerprint is not null").distinct().select(F.xxhash64("fingerprint").alias("id"), "fingerprint"))
     kinds = "key long, id long"
@@ -327,11 +346,18 @@ def similar_groups(prints: DataFrame, least: float = ALIKE) -> DataFrame:
     keyed = stored(one.mapInArrow(partial(_band_batches, least=least, wanted=wanted), kinds).join(shared, "key"))
     wanted.unpersist()
     score = keyed.groupBy("id").agg(F.sum("n").alias("score"))
-    hubs = keyed.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("hub"), F.min_by("id", F.xxhash64("key", "id")).alias("pick"))
+    hubs = stored(keyed.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("hub"), F.min_by("id", F.xxhash64("key", "id")).alias("pick")))
     met = keyed.join(hubs, "key").select("id", F.explode(F.array("hub", "pick")).alias("other")).where("id <> other")
     pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    strings = pairs.join(one.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b").select("a", "b", "x", "y")
-    groups = connected_components(strings.mapInArrow(partial(_alike_batches, least=least), "a long, b long"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        strings = pairs.join(one.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b").select("a", "b", "x", "y")
+        return strings.mapInArrow(partial(_alike_batches, least=least), "a long, b long")
+
+    groups = stored(connected_components(alike(pairs)))
+    rest = stored(pairs_apart(keyed, hubs, groups))
+    if not rest.isEmpty():
+        groups = stored(connected_components(alike(rest).union(groups.where("node <> root").select("node", "root"))))
     return one.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", F.coalesce("root", "id").alias("group"))
 
 

@@ -166,3 +166,14 @@ def test_groups_in_a_crowd(spark):
     base = next(r["fingerprint"] for r in rows if r["doc_id"] == 0)
     alike = [r["group_id"] for r in rows if e.likeness(base, r["fingerprint"]) >= e.ALIKE]
     assert len(alike) > 500 and alike.count(0) >= 0.9 * len(alike)
+
+
+def test_members_of_a_bucket_that_stay_apart_all_meet(spark, monkeypatch):
+    """Members that hub and pick leave in different groups meet each other, whatever the bucket's size, and no others do."""
+    monkeypatch.setattr(e, "BLOCK", 16)
+    keyed = spark.createDataFrame([(7, i) for i in range(100)] + [(8, i) for i in (3, 4)], "key long, id long")
+    hubs = spark.createDataFrame([(7, 0, 1), (8, 3, 4)], "key long, hub long, pick long")
+    groups = spark.createDataFrame([(i, i % 2 + 10) for i in range(10, 30)], "node long, root long")
+    root = {i: i % 2 + 10 if 10 <= i < 30 else i for i in range(100)}
+    want = sorted((a, b) for a in range(2, 100) for b in range(a + 1, 100) if root[a] != root[b])
+    assert sorted(map(tuple, e.pairs_apart(keyed, hubs, groups).collect())) == want
