@@ -136,10 +136,17 @@ def _with_cell(batches, cells: Cells):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.cell_of(*_arrays(b, cells.n_num, cells.n_cat), b.num_rows), pa.int32())], [*b.schema.names, "cell"])
 
 
-def _first_cells(order: np.ndarray, bound: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Of the cells in order of their bounds, those to meet first: until they hold k rows."""
-    held = np.cumsum(rows[order], axis=1)
-    return (held - rows[order] < k) & np.isfinite(np.take_along_axis(bound, order, 1))
+def _first_cells(bound: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The cells that each query meets first: in order of their bounds, until they hold k rows. Only where the nearest does not, cells are sorted."""
+    nearest = bound.argmin(axis=1)
+    first = np.zeros(bound.shape, bool)
+    first[np.arange(len(bound)), nearest] = True
+    few = np.flatnonzero(rows[nearest] < k)
+    order = np.argsort(bound[few], axis=1, kind="stable")
+    meets = np.zeros(order.shape, bool)
+    np.put_along_axis(meets, order, np.cumsum(rows[order], axis=1) - rows[order] < k, axis=1)
+    first[few] = meets
+    return first & np.isfinite(bound)
 
 
 def _visits(batches, cells: Cells, k: int, parts: np.ndarray | None, again: bool):
@@ -148,9 +155,7 @@ def _visits(batches, cells: Cells, k: int, parts: np.ndarray | None, again: bool
         for at in range(0, whole.num_rows, step := max(1, BLOCK_PAIRS // max(cells.count, 1))):
             b = whole.slice(at, step)
             bound = cells.bounds(*_arrays(b, cells.n_num, cells.n_cat), b.num_rows)
-            order = np.argsort(bound, axis=1, kind="stable")
-            first = np.zeros(bound.shape, bool)
-            np.put_along_axis(first, order, _first_cells(order, bound, cells.rows, k), axis=1)
+            first = _first_cells(bound, cells.rows, k)
             meets = first if not again else ~first & (bound <= b.column("tau").to_numpy(zero_copy_only=False)[:, None]) & np.isfinite(bound)
             r, c = np.nonzero(meets)
             part = b.column("id").to_numpy()[r] % (parts[c] if parts is not None else 1)
@@ -209,24 +214,36 @@ class Search:
 
     def visits(self, query: DataFrame, again: bool) -> DataFrame:
         """``query`` by (cell, part): cells that very many queries meet are met in parts, so that no task has them all."""
+        return self._dealt(query, again)[0]
+
+    def _dealt(self, query: DataFrame, again: bool) -> tuple[DataFrame, np.ndarray]:
+        """The visits, and the number of parts of each cell."""
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema) + ", cell int, part int"
         plan = lambda parts: query.mapInArrow(partial(_visits, cells=self.cells, k=self.k, parts=parts, again=again), schema)
         parts = np.ones(self.cells.count, np.int64)
         for r in plan(None).groupBy("cell").count().collect():  # a row a cell
             parts[r["cell"]] = -(-r["count"] // self.chunk_rows)
-        self.parts = parts
-        return plan(parts)
+        return plan(parts), parts
 
     def found(self, query: DataFrame, again: bool) -> DataFrame:
         """(id, d2, near) of every query and cell that meet."""
-        met = self.visits(query, again)
-        parts = F.lit(self.parts.tolist())
+        met, parts = self._dealt(query, again)
+        parts = F.lit(parts.tolist())
         ref = self.ref.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")).cast("int") - 1)))
         n_num = sum(c.startswith("n") for c in self.names)
         return met.groupBy("cell", "part").cogroup(ref.groupBy("cell", "part")).applyInArrow(partial(_nearest, k=self.k, n_num=n_num, n_cat=len(self.names) - n_num), FOUND)
 
 
-def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, query_id: str = "id", ref_id: str = "id", cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def _columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(numeric)], *[F.xxhash64(F.col(f"`{c}`").cast("string")).alias(f"c{j}") for j, c in enumerate(categorical)])
+
+
+def reference(ref: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, ref_id: str = "id", cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> Search:
+    """``ref`` cut into cells, to be asked by ``nearest`` as often as wanted for up to k neighbours."""
+    return Search.over(_columns(ref, numeric, categorical, ref_id), len(numeric), len(categorical), k, cell_rows, chunk_rows)
+
+
+def nearest(query: DataFrame, ref: DataFrame | Search, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 1, query_id: str = "id", ref_id: str = "id", cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(id, d: array of the k least distances, near: ids of those rows) for each query row; ties to the smaller id.
 
     The reference is shuffled three times, whatever the number of queries: by equal rows, of which the k
@@ -234,11 +251,12 @@ def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorica
     a cell, both bounded. Where boxes tell nothing (very many columns), every query meets every cell
     and the work is that of all pairs. Null numbers and categories are the caller's to fill. An empty
     reference is an error; an empty query gives no rows; queries of one id are taken for the same row.
-    Equal queries are searched once, under the least of their ids.
+    Equal queries are searched once, under the least of their ids. ``ref`` may be a ``reference`` of the same columns, whose k then holds.
+    The result is stored: whatever is asked of it, rows are searched once.
     """
-    cols = lambda df, i: df.select(F.col(i).cast("long").alias("id"), *[F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(numeric)], *[F.xxhash64(F.col(f"`{c}`").cast("string")).alias(f"c{j}") for j, c in enumerate(categorical)])
-    search = Search.over(cols(ref, ref_id), len(numeric), len(categorical), k, cell_rows, chunk_rows)
-    whole = kept(cols(query, query_id))
+    search = ref if isinstance(ref, Search) else reference(ref, numeric, categorical, k, ref_id, cell_rows, chunk_rows)
+    k = search.k
+    whole = kept(_columns(query, numeric, categorical, query_id))
     q = kept(whole.groupBy(*search.names).agg(F.min("id").alias("id"))) if search.names else whole
     first = kept(search.found(q, False).groupBy("id").agg(*_best(k)))
     tau = first.select("id", F.coalesce(F.get("d2", k - 1), F.lit(float("inf"))).alias("tau"))
@@ -248,7 +266,7 @@ def nearest(query: DataFrame, ref: DataFrame, numeric: Sequence[str], categorica
         same = reduce(and_, [F.col(f"w.{c}").eqNullSafe(F.col(f"q.{c}")) for c in search.names])
         asked = whole.alias("w").join(q.alias("q"), same).select("w.id", F.col("q.id").alias("least")).distinct()
         found = asked.join(found.withColumnRenamed("id", "least"), "least").groupBy("id").agg(*_best(k))
-    return found.select("id", F.transform("d2", F.sqrt).alias("d"), "near")
+    return kept(found.select("id", F.transform("d2", F.sqrt).alias("d"), "near"))
 
 
 def _best(k: int) -> list:

@@ -33,13 +33,18 @@ def evaluate_cell(synth: DataFrame, real: DataFrame, tasks: Sequence[tuple[str,
 
     A task is (name, function of rows that gives (id, label), classes, columns not to be seen).
     ``row_id`` is a column of both tables that tells rows apart. A part that fails leaves its metrics
-    null, and its error is logged. ``cap`` and ``subject_cap`` bound the rows of the privacy metrics and the subjects of the
+    null, and its error is logged. Both tables are stored once, and the parts run side by side. ``cap`` and ``subject_cap`` bound the rows of the privacy metrics and the subjects of the
     tasks, by hash; without them all take part. What comes to the driver are the single rows of the parts.
     """
+    synth, real = kept(synth), kept(real)
     found: dict[str, float | None] = {}
+    parts: list[Callable[[], None]] = []
 
     def part(names: Sequence[str], run: Callable[[], dict]) -> None:
         found.update(dict.fromkeys(names))
+        parts.append(lambda: attempt(names, run))
+
+    def attempt(names: Sequence[str], run: Callable[[], dict]) -> None:
         try:
             found.update({k: v for k, v in run().items() if k in found})
         except (PySparkException, ValueError, ArithmeticError):
@@ -61,6 +66,7 @@ def evaluate_cell(synth: DataFrame, real: DataFrame, tasks: Sequence[tuple[str,
         return {k: row.get(n) for k, n in PRIVACY.items()}
 
     part(tuple(PRIVACY), leaks)
+    utility.together(parts)
     value = lambda k: F.lit(found[k]).cast("double").alias(k)
     names = [t[0] for t in tasks]
     auc, f1 = (F.lit(found.get(f"{n}_synth_{s}")).cast("double") for n, s in ((names[0] if names else "", "roc_auc"), (names[-1] if names else "", "macro_f1")))

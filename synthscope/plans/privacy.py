@@ -12,8 +12,9 @@ from ..functions.columns import numeric_columns
 from ..functions.dist import quantiles
 from ..functions.rank import rank_metrics
 from ..functions.scalars import clean, min_max
-from ..operators.knn import nearest
+from ..operators.knn import Search, nearest, reference
 from ..operators.split import capped, member_candidates, random_rows, train_test_split
+from ..sources.io import kept
 
 TINY = 1e-12
 MISSING = "__MISSING__"
@@ -40,20 +41,40 @@ class DistanceEncoder:
         numbers = [min_max(clean(F.col(f"`{c}`")), *map(F.lit, self.stats[c])).alias(c) for c in self.numeric]
         return df.select(*keep, *numbers, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING)).alias(c) for c in self.categorical])
 
-    def nearest(self, query: DataFrame, ref: DataFrame, k: int, id_col: str) -> DataFrame:
-        return nearest(self.encode(query, [id_col]), self.encode(ref, [id_col]), self.numeric, self.categorical, k, id_col, id_col)
+    def reference(self, ref: DataFrame, k: int, id_col: str) -> Search:
+        return reference(self.encode(ref, [id_col]), self.numeric, self.categorical, k, id_col)
+
+    def nearest(self, query: DataFrame, ref: DataFrame | Search, k: int, id_col: str) -> DataFrame:
+        return nearest(self.encode(query, [id_col]), ref if isinstance(ref, Search) else self.encode(ref, [id_col]), self.numeric, self.categorical, k, id_col, id_col)
+
+
+@dataclass
+class Closest:
+    """What several metrics ask of the training rows, made once: their encoder, the rows cut into cells, and each synthetic row's two nearest."""
+
+    enc: DistanceEncoder
+    train: Search
+    synth: DataFrame
+
+    @classmethod
+    def of(cls, train: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0) -> Closest:
+        enc = DistanceEncoder.fit(train, [synth], [id_col, *drop])
+        search = enc.reference(capped(train, cap, [id_col], seed), 2, id_col)
+        return cls(enc, search, enc.nearest(capped(synth, cap, [id_col], seed), search, 2, id_col))
+
+    def covers(self, holdout: DataFrame) -> bool:
+        """Whether a holdout has all columns, so that distances with regard to it are the same."""
+        return {*self.enc.numeric, *self.enc.categorical} <= set(holdout.columns)
 
 
 def _first(n: int = 0):
     return F.get(F.col("d"), n)
 
 
-def distance_to_closest_record(train: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0) -> DataFrame:
+def distance_to_closest_record(train: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0, closest: Closest | None = None) -> DataFrame:
     """One row: mean, median and percentiles of the distance to the nearest real record, share of
     exact matches, and the median ratio of the nearest to the second nearest (null with one real record)."""
-    enc = DistanceEncoder.fit(train, [synth], [id_col, *drop])
-    d = enc.nearest(capped(synth, cap, [id_col], seed), capped(train, cap, [id_col], seed), 2, id_col)
-    d = d.select(_first().alias("d1"), F.when(F.size("d") > 1, _first() / F.greatest(_first(1), F.lit(TINY))).alias("ratio"))
+    d = (closest or Closest.of(train, synth, id_col, drop, cap, seed)).synth.select(_first().alias("d1"), F.when(F.size("d") > 1, _first() / F.greatest(_first(1), F.lit(TINY))).alias("ratio"))
     means = d.agg(F.avg("d1").alias("dcr_mean"), F.avg(F.when(F.col("d1") <= TINY, 1.0).otherwise(0.0)).alias("exact_match_rate"))
     q = quantiles(d, ["d1", "ratio"], [0.5, 0.05, 0.95])
     pick = lambda c, k: F.max(F.when(F.col("column") == c, F.col(k)))
@@ -69,24 +90,25 @@ def exact_match_rate(train: DataFrame, synth: DataFrame, id_col: str, drop: Sequ
     return enc.encode(synth).join(real, names, "left").agg(F.avg(F.coalesce("__hit", F.lit(0))).alias("exact_match_rate"))
 
 
-def dcr_baseline_protection(train: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), random: DataFrame | None = None, cap: int | None = None, seed: int = 0) -> DataFrame:
+def dcr_baseline_protection(train: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), random: DataFrame | None = None, cap: int | None = None, seed: int = 0, closest: Closest | None = None) -> DataFrame:
     """One row: median distance of synthetic rows over that of random rows, at most 1; null if the latter is 0."""
-    enc = DistanceEncoder.fit(train, [synth], [id_col, *drop])
+    closest = closest or Closest.of(train, synth, id_col, drop, cap, seed)
+    enc = closest.enc
     if random is None:
         n = capped(synth, cap, [id_col], seed).count()
         random = random_rows(train, n, enc.numeric, enc.categorical, seed).withColumnRenamed("id", id_col)
-    ref = capped(train, cap, [id_col], seed)
     median = lambda df, name: quantiles(df.select(_first().alias("d")), ["d"], [0.5]).agg(F.max("q0").alias(name))
-    a = median(enc.nearest(capped(synth, cap, [id_col], seed), ref, 1, id_col), "synth_median")
-    b = median(enc.nearest(random, ref, 1, id_col), "random_median")
+    a = median(closest.synth, "synth_median")
+    b = median(enc.nearest(random, closest.train, 2, id_col), "random_median")
     return a.crossJoin(b).withColumn("dcr_baseline_protection", F.when(F.col("random_median") > 0, F.least(F.lit(1.0), F.col("synth_median") / F.col("random_median"))))  # single rows
 
 
-def dcr_overfitting_protection(train: DataFrame, holdout: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0) -> DataFrame:
+def dcr_overfitting_protection(train: DataFrame, holdout: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0, closest: Closest | None = None) -> DataFrame:
     """One row: how far synthetic rows are from leaning towards training rather than holdout rows."""
-    enc = DistanceEncoder.fit(train, [holdout, synth], [id_col, *drop])
+    closest = closest if closest and closest.covers(holdout) else None
+    enc = closest.enc if closest else DistanceEncoder.fit(train, [holdout, synth], [id_col, *drop])
     s = capped(synth, cap, [id_col], seed)
-    t = enc.nearest(s, capped(train, cap, [id_col], seed), 1, id_col).select("id", _first().alias("t"))
+    t = (closest.synth if closest else enc.nearest(s, capped(train, cap, [id_col], seed), 1, id_col)).select("id", _first().alias("t"))
     h = enc.nearest(s, capped(holdout, cap, [id_col], seed), 1, id_col).select("id", _first().alias("h"))
     both = t.join(h, "id")
     share = both.agg(F.avg(F.when(F.col("t") < F.col("h"), 1.0).otherwise(0.0)).alias("share"))
@@ -112,15 +134,15 @@ def attack_metrics(scores: DataFrame) -> DataFrame:
     return ranks.crossJoin(rest)  # single rows
 
 
-def membership_inference(train: DataFrame, holdout: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0) -> DataFrame:
+def membership_inference(train: DataFrame, holdout: DataFrame, synth: DataFrame, id_col: str, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0, closest: Closest | None = None) -> DataFrame:
     """One row of attack metrics; nulls when the holdout or either candidate side has fewer than four rows.
 
     Half of the holdout is the reference, the other half are the non-members.
     """
-    enc = DistanceEncoder.fit(train, [holdout, synth], [id_col, *drop])
-    halves = train_test_split(capped(holdout, cap, [id_col], seed), 0.5, [id_col], seed=seed)
+    enc = closest.enc if closest and closest.covers(holdout) else DistanceEncoder.fit(train, [holdout, synth], [id_col, *drop])
+    halves = kept(train_test_split(capped(holdout, cap, [id_col], seed), 0.5, [id_col], seed=seed))
     outside, reference = halves.where("is_test").drop("is_test"), halves.where("not is_test").drop("is_test")
-    both = member_candidates(capped(train, cap, [id_col], seed), outside, [id_col], seed)
+    both = kept(member_candidates(capped(train, cap, [id_col], seed), outside, [id_col], seed))
     n = both.groupBy().pivot("member", [0, 1]).count().first()
     if min(reference.count(), n["0"] or 0, n["1"] or 0) < 4:
         return train.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("mia_roc_auc", "mia_average_precision", "mia_attacker_advantage", "member_mean", "nonmember_mean")])
@@ -128,12 +150,17 @@ def membership_inference(train: DataFrame, holdout: DataFrame, synth: DataFrame,
 
 
 def privacy_metrics(real: DataFrame, synth: DataFrame, id_col: str, holdout: DataFrame | None = None, frac: float = 0.3, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0) -> DataFrame:
-    """One row with all of them; without a holdout, ``frac`` of the real rows are held out by hash."""
-    train = real
-    if holdout is None:
-        parts = train_test_split(real, frac, [id_col], seed=seed)
+    """One row with all of them; without a holdout, ``frac`` of the real rows are held out by hash.
+
+    Tables are computed and stored once, and each synthetic row is looked for among the training rows once for all metrics.
+    """
+    synth = kept(synth)
+    if holdout is not None:
+        train, holdout = kept(real), kept(holdout)
+    else:
+        parts = kept(train_test_split(real, frac, [id_col], seed=seed))
         train, holdout = parts.where("not is_test").drop("is_test"), parts.where("is_test").drop("is_test")
-    args = dict(drop=drop, cap=cap, seed=seed)
+    args = dict(drop=drop, cap=cap, seed=seed, closest=Closest.of(train, synth, id_col, drop, cap, seed))
     out = distance_to_closest_record(train, synth, id_col, **args).crossJoin(dcr_baseline_protection(train, synth, id_col, **args)).crossJoin(dcr_overfitting_protection(train, holdout, synth, id_col, **args))
     counts = train.agg(F.count("*").alias("n_train")).crossJoin(holdout.agg(F.count("*").alias("n_holdout"))).crossJoin(synth.agg(F.count("*").alias("n_synth")))
     return out.crossJoin(membership_inference(train, holdout, synth, id_col, **args)).crossJoin(counts)  # single rows

@@ -216,7 +216,7 @@ class ColumnTask(Task):
         return self.exclude
 
 
-def _together(jobs: list[Callable], threads: int = 4) -> list:
+def together(jobs: list[Callable], threads: int = 4) -> list:
     """Independent jobs, a few at a time."""
     with ThreadPoolExecutor(threads) as pool:
         return [f.result() for f in [pool.submit(j) for j in jobs]]
@@ -232,7 +232,7 @@ def _stacked(frames: list[DataFrame]) -> DataFrame:
 def evaluate_multi_task(synth: DataFrame, real: DataFrame, tasks: Sequence[Task], id_cols: Sequence[str], test_size: float = 0.3) -> DataFrame:
     """(task, side, metrics) of several tasks. Both tables are read once and kept, and the tasks run side by side."""
     synth, real = kept(synth), kept(real)
-    return _stacked(_together([lambda t=t: t.evaluate(synth, real, id_cols, test_size) for t in tasks]))
+    return _stacked(together([lambda t=t: t.evaluate(synth, real, id_cols, test_size) for t in tasks]))
 
 
 def evaluate_sequence_task(name: str, synth: DataFrame, real: DataFrame, label: Callable[[DataFrame], DataFrame], id_col: str, time_col: str, exclude: Sequence[str] = (), classes: Sequence[int] = (0, 1), test_size: float = 0.3, max_len: int | None = None, cap: int | None = None, seed: int = 0) -> DataFrame:
@@ -244,12 +244,13 @@ def evaluate_sequence_task(name: str, synth: DataFrame, real: DataFrame, label:
     vectors = {side: vectorise(s, length, width) for side, s in seqs.items()}
     parts = train_test_split(vectors["real"], test_size, ["id"], "label", seed).persist()
     test = parts.where("is_test")
-    out = None
-    for side, train in (("synth", vectors["synth"]), ("real", parts.where("not is_test"))):
+
+    def fitted(side: str, train: DataFrame) -> DataFrame:
         ok = train.select("label").distinct().count() >= 2 and test.select("label").distinct().count() >= 2
         got = evaluate_scores(scored(fit_classifier(train), test), classes) if ok else empty_metrics(real.sparkSession)
-        got = got.select(F.lit(name).alias("task"), F.lit(side).alias("side"), "*")
-        out = got if out is None else out.unionByName(got)
+        return got.select(F.lit(name).alias("task"), F.lit(side).alias("side"), "*")
+
+    out = _stacked(together([lambda: fitted("synth", vectors["synth"]), lambda: fitted("real", parts.where("not is_test"))]))
     for frame in (parts, *seqs.values()):
         frame.unpersist()
     return out
@@ -296,4 +297,4 @@ def feature_ablation(synth: DataFrame, real: DataFrame, task: Task, ranked: Sequ
         got = evaluate_scores(scored(task.get_model(fit), test), task.classes) if ok else empty_metrics(real.sparkSession)
         return got.select(F.lit(name).alias("features"), F.lit(seed).alias("seed"), "accuracy", "f1", "roc_auc")
 
-    return _stacked(_together([lambda n=name, o=own, s=seed: fitted(n, o, s) for name, own in sets for seed in seeds]))
+    return _stacked(together([lambda n=name, o=own, s=seed: fitted(n, o, s) for name, own in sets for seed in seeds]))

@@ -330,3 +330,16 @@ def test_equal_rows_are_fitted_once(spark):
     assert n == 1200 and len(got) == 5
     assert all(abs(sum(r["w"] for r in got if r["label"] == k) - 600) < 1e-9 for k in (0, 1))
     assert data.groupBy("x", "label").count().where("count > 1").isEmpty()
+
+
+def test_privacy_metrics_search_once(spark, monkeypatch):
+    """Synthetic rows are looked for among the training rows once for all metrics, which are the same as each by itself."""
+    rng = np.random.default_rng(12)
+    train, holdout, synth = (table(spark, rng, 90, shift, first) for shift, first in ((0.0, 0), (3.0, 1000), (1.0, 2000)))
+    alone = [f(train, synth, "id").first().asDict() for f in (privacy.distance_to_closest_record, privacy.dcr_baseline_protection)]
+    alone += [f(train, holdout, synth, "id").first().asDict() for f in (privacy.dcr_overfitting_protection, privacy.membership_inference)]
+    asked, search = [], privacy.nearest
+    monkeypatch.setattr(privacy, "nearest", lambda *a, **k: asked.append(1) or search(*a, **k))
+    row = privacy.privacy_metrics(train, synth, "id", holdout).first().asDict()
+    assert len(asked) == 5
+    assert all(row[k] == pytest.approx(v) for part in alone for k, v in part.items())
