@@ -336,10 +336,10 @@ def built_once(t):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, sum(o_totalprice) * any_value(CASE o_orderstatus WHEN 'P' THEN 2 ELSE 1 END) AS total, any_value(CASE o_orderstatus WHEN 'P' THEN 2 ELSE 1 END)::INT AS built FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus", "total", "status n built", 1)
 def refreshed_table(t):
-    """A table kept up to date with a folder tree: after one file changed and one went, only the changed one is built again."""
+    """A table kept up to date with a folder tree: after the files of one status changed and those of another went, only the changed ones are built again."""
     orders = t("orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     spark, folder = orders.sparkSession, _folder(orders)
-    write = lambda rows, status: rows.where(F.col("status") == status).coalesce(1).write.mode("overwrite").parquet(f"{folder}/source/{status}/x")
+    write = lambda rows, status: rows.where(F.col("status") == status).write.mode("overwrite").parquet(f"{folder}/source/{status}/x")
     for status in "FOP":
         write(orders, status)
     built = lambda n: io.refreshed(spark, f"{folder}/source", f"{folder}/target", lambda files: spark.read.parquet(*files).select("*", F.col("_metadata.file_path").alias("file"), F.lit(n).alias("built")))

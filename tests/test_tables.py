@@ -127,3 +127,18 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/report").first()[0] == '{"a":1,"b":"x","c":2.5}'
     assert spark.range(1).select(*io.parse_path_numbers(F.lit("/m/model_nt3_noise_8.pkl"), "nt", "noise")).first() == (3, 8)
     assert dict(io.cast_like(df, spark.createDataFrame([], "a string, c int")).dtypes) == {"a": "string", "b": "string", "c": "int"}
+
+
+def test_refreshed_table_is_not_sorted_in_memory(spark, tmp_path):
+    """Rows of a file are written as they come: no task holds them, with their partition's name, for a sort."""
+    spark.range(0, 300_000, 1, 2).select(F.rand(1).alias("v")).write.parquet(f"{tmp_path}/source/a")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    tracked = spark.sparkContext._jsc.sc().statusStore()
+    got = io.refreshed(spark, f"{tmp_path}/source", f"{tmp_path}/target", lambda files: spark.read.parquet(*files).select("v", F.col("_metadata.file_path").alias("file")))
+    assert got.count() == 300_000 and got.select("file").distinct().count() == 2
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    stages = {s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    written = [d for d in (tracked.lastStageAttempt(s) for s in sorted(stages)[-12:]) if d.outputRecords() == 300_000]
+    assert written and max(d.peakExecutionMemory() for d in written) < 1 << 20
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
