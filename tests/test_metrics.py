@@ -343,3 +343,15 @@ def test_privacy_metrics_search_once(spark, monkeypatch):
     row = privacy.privacy_metrics(train, synth, "id", holdout).first().asDict()
     assert len(asked) == 5
     assert all(row[k] == pytest.approx(v) for part in alone for k, v in part.items())
+
+
+def test_trajectory_metrics_read_each_table_once(spark, monkeypatch):
+    """One sort of each table gives what the metrics give by themselves, gaps and infinite values included."""
+    rng = np.random.default_rng(3)
+    cell = lambda i, x: None if i % 7 == 0 else float("inf") if i == 31 else float(x)
+    tables = [spark.createDataFrame([(i // 9, i, cell(i, x), cell(i + 3, x * k + y)) for i, (x, y) in enumerate(rng.normal(size=(180 + 9 * k, 2)))], "subject_id long, hours_in long, HR double, MAP double") for k in (1, 2)]
+    one = (*tables, "subject_id", "hours_in", ["HR", "MAP"])
+    alone = [trajectory.autocorr_distance(*one), trajectory.stay_length_ks(*tables, "subject_id"), trajectory.transition_mse_ratio(*one), trajectory.temporal_corr_drift(*tables, "subject_id", [("HR", "MAP")])]
+    want, sorts, before = [d.first()[0] for d in alone], [], trajectory._with_before
+    monkeypatch.setattr(trajectory, "_with_before", lambda *a: sorts.append(1) or before(*a))
+    assert list(trajectory.trajectory_metrics(*tables).first()) == pytest.approx(want, nan_ok=True) and len(sorts) == 2
