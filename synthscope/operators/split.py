@@ -106,14 +106,14 @@ def random_rows(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequ
     from ..functions.dist import running_sums
     from ..functions.scalars import hash_unit
 
-    u = lambda c: hash_unit(seed, F.col("id"), F.lit(c))
-    out = df.sparkSession.range(n)
+    u = lambda c: hash_unit(seed, F.col("__id"), F.lit(c))
+    out = df.sparkSession.range(n).withColumnRenamed("id", "__id")  # a column of the rows may be named so
     if numeric:
         ends = df.agg(*[x for c in numeric for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
-        out = out.select("id", *[(F.lit(ends[f"lo_{c}"]) + u(c) * (F.lit(ends[f"hi_{c}"]) - F.lit(ends[f"lo_{c}"]))).alias(c) for c in numeric])
+        out = out.select("__id", *[(F.lit(ends[f"lo_{c}"]) + u(c) * (F.lit(ends[f"hi_{c}"]) - F.lit(ends[f"lo_{c}"]))).alias(c) for c in numeric])
     for c in categorical:
         values = df.select(F.lit(0).alias("column"), F.col(c).alias("value")).where("value is not null").distinct().withColumn("one", F.lit(1))
         ranked = running_sums(values, "column", "value", ["one"]).select((F.col("cum_one") - 1).alias("__rank"), F.col("value").alias(c))
         rank = F.floor(u(c) * F.lit(ranked.count()))
         out = out.withColumn("__rank", rank).join(ranked, "__rank", "left").drop("__rank")
-    return out.select("id", *numeric, *categorical)
+    return out.select(F.col("__id").alias("id"), *numeric, *categorical)
