@@ -287,8 +287,9 @@ def eav_files(t):
     path = _folder(e := t("events"))
     rows = e.select("user_id", F.lit("00:00").alias("Time"), F.col("event_type").alias("Parameter"), F.col("value").cast("string").alias("Value"))
     ids = e.select("user_id").distinct().select("user_id", F.lit("00:00").alias("Time"), F.lit("RecordID").alias("Parameter"), F.col("user_id").cast("string").alias("Value"))
-    rows.unionByName(ids).repartition("user_id").write.partitionBy("user_id").option("header", True).csv(path)
-    return io.read_eav_files(e.sparkSession, f"{path}/*/*.csv")
+    tasks = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, else few bytes make one task, which writes all files
+    rows.unionByName(ids).repartition(tasks, "user_id").write.partitionBy("user_id").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", 2).csv(path)  # tasks move their own files into place
+    return io.read_eav_files(e.sparkSession, path)
 
 
 @query("SELECT count(*) AS n FROM lineitem")

@@ -34,11 +34,13 @@ def load_flat_table(spark: SparkSession, path: str, nrows: int | None = None, ex
 def read_eav_files(spark: SparkSession, glob: str, id_parameter: str = "RecordID") -> DataFrame:
     """(entity_id, time, parameter, value) from many small files ``Time,Parameter,Value``.
 
-    All files are one scan. The id of a file is the value of its ``id_parameter`` row, found
-    by one small aggregate per file and joined back on the file's path.
+    All files are one scan, whose rows are stored: a small file is opened once. The id of a file is the value of its
+    ``id_parameter`` row, found by one small aggregate per file and joined back on the file's path. ``glob`` may be a folder, whose
+    files, at any depth, are then listed by many tasks; a pattern is looked up by the driver alone.
     """
-    rows = spark.read.option("header", True).schema("Time string, Parameter string, Value string").csv(glob)
-    return eav_with_ids(rows.select(F.col("_metadata.file_path").alias("file"), "Time", "Parameter", "Value"), id_parameter)
+    reader = spark.read.option("header", True).schema("Time string, Parameter string, Value string")
+    rows = (reader if any(c in glob for c in "*?[{") else reader.option("recursiveFileLookup", True)).csv(glob)
+    return eav_with_ids(kept(rows.select(F.col("_metadata.file_path").alias("file"), "Time", "Parameter", "Value")), id_parameter)
 
 
 def eav_with_ids(rows: DataFrame, id_parameter: str) -> DataFrame:

@@ -142,3 +142,12 @@ def test_refreshed_table_is_not_sorted_in_memory(spark, tmp_path):
     written = [d for d in (tracked.lastStageAttempt(s) for s in sorted(stages)[-12:]) if d.outputRecords() == 300_000]
     assert written and max(d.peakExecutionMemory() for d in written) < 1 << 20
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_eav_files_of_a_folder(spark, tmp_path):
+    """A folder of folders, listed by Spark's tasks: the same rows as by a pattern."""
+    for k in range(40):
+        (tmp_path / f"u={k}").mkdir()
+        (tmp_path / f"u={k}" / "x.csv").write_text(f"Time,Parameter,Value\n00:00,RecordID,{k}\n00:07,HR,{k + 60}\n")
+    got = io.read_eav_files(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(k, "00:07", "HR", k + 60.0) for k in range(40)] == sorted(map(tuple, io.read_eav_files(spark, f"{tmp_path}/*/*.csv").collect()))
