@@ -1,6 +1,9 @@
 """Near duplicates among whole texts: Jaccard similarity of their sets of five-word shingles.
 
-Keys are bands of min-hashes. A bucket's members are compared with its hub - the member whose
+Sets are searched by SimHash first: the multi-index search of ``simhash`` finds the fingerprints that differ in a few
+bits, and pairs of sets that are similar enough are linked. 64 bits show no more than the nearest pairs, so
+sets meet by a second kind of keys too, bands of min-hashes; what is in one group by then is not compared again.
+A bucket's members are compared with its hub - the member whose
 own buckets are the fullest, so an original goes before its edited copies - and linked where
 the sets are similar enough. That costs a pair a key, however full a bucket is. Members that
 this leaves in different groups meet again by finer keys: their rarest shingles, so many that two
@@ -17,14 +20,17 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, id_slots, mapped, slot_filter, stored
 from .graph import connected_components
 from .shingles import mixed, shingles
+from .simhash import hamming_links, majority
 
+#: Sets meet by SimHash where their fingerprints differ in so many bits at most.
+MAX_BITS = 2
 #: Two texts of Jaccard similarity 0.8 share none of the 24 keys with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
 BANDS, ROWS = 24, 5
 #: Sizes of sets fall into classes by this ratio; classes of shingles that bound from above what two sets have in common.
@@ -39,6 +45,11 @@ def set_id(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 7) - (1 << 63)
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed long; 0 for the empty set."""
+    return int(majority(own.view(np.uint64)[:, None]).view(np.int64)[0]) if len(own) else 0
+
+
 def band_keys(own: np.ndarray) -> np.ndarray:
     """One long a band: a hash of the band's number and its min-hashes over the shingles."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -62,8 +73,8 @@ def _parts(batches):
 def _key_batches(batches, n: int):
     for part in _parts(batches):
         sets = [shingles(t, n) for t in part.column(1).cast(pa.binary()).to_pylist()]
-        cols = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), _lists([band_keys(s) if len(s) else s for s in sets])]
-        yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "node", "size", "keys"])
+        cols = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(set_fingerprint, sets), pa.int64()), _lists([band_keys(s) if len(s) else s for s in sets])]
+        yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "node", "size", "fp", "keys"])
 
 
 def _set_batches(batches, n: int, wanted):
@@ -149,6 +160,48 @@ def _finer_keys(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return keys.join(ends.where("low_root <> high_root and (high_role = 0 or low_role <> high_role)").select("key"), "key")
 
 
+def _reach(shared: Column, x: Column, y: Column, similarity: float) -> Column:
+    """Whether sets of sizes x and y that share so many shingles are similar enough."""
+    return shared >= (x + y - shared) * similarity - 1e-9
+
+
+def _fingerprint_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Stored pairs (a, b), a < b, of sets (node, size, fp) that SimHash brings together and whose sizes let them be similar.
+
+    The sets of one fingerprint meet its least set, and so do those of fingerprints that differ in up to MAX_BITS bits.
+    """
+    first = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("f")).select("fp", "f.node", "f.size"))
+    end = lambda of: first.select(F.col("fp").alias(of), F.col("node").alias(f"{of}_node"), F.col("size").alias(f"{of}_size"))
+    near = hamming_links(first, MAX_BITS).join(end("a"), "a").join(end("b"), "b").select("a_node", "a_size", "b_node", "b_size")
+    same = nodes.select("fp", F.col("node").alias("b_node"), F.col("size").alias("b_size")).join(end("a").withColumnRenamed("a", "fp"), "fp").where("a_node <> b_node")
+    both = near.unionByName(same.select(*near.columns)).where(_reach(F.least("a_size", "b_size"), F.col("a_size"), F.col("b_size"), similarity))
+    return stored(both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that lead each node to the one of its partners that has the most partners."""
+    both = pairs.union(pairs.select("b", "a"))
+    degree = both.groupBy("b").agg(F.count("*").alias("n"))
+    best = both.join(degree, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one group yet."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def _with_bounds(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (key, role, node, place, ...) with what bounds the number of shingles that two have in common: the keys
+    before this one, and the tally."""
+    earlier = rest.groupBy("node").agg(F.collect_list(F.struct("place", "key")).alias("all_keys"))
+    tallies = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_tally_batches, "node long, tally array<int>")
+    before = F.transform(F.filter("all_keys", lambda k: k["place"] < F.col("place")), lambda k: k["key"])
+    return rest.join(earlier, "node").join(tallies, "node").withColumn("before", before).drop("all_keys")
+
+
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -157,7 +210,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     """Stored rows (doc_id, node, ...) of the rows with a doc_id, where a node is a distinct set of
     shingles, and (node, root) of the nodes that are connected to others by similar pairs."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    prints = stored(texts.mapInArrow(partial(_key_batches, n=words), "doc_id long, node long, size int, keys array<long>"))
+    prints = stored(texts.mapInArrow(partial(_key_batches, n=words), "doc_id long, node long, size int, fp long, keys array<long>"))
     nodes = stored(prints.where("size > 0").dropDuplicates(["node"]))
     table = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -166,25 +219,30 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     hubs = keyed.join(score, "node").groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("score", "node")).alias("hub"))
     keyed = stored(keyed.join(hubs, "key").select("key", "node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")))
 
-    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(nodes.join(keyed.select("node"), "node", "left_semi").select(id_slots(F.col("doc_id")).alias("slot"))))
+    close = _fingerprint_pairs(nodes, similarity)
+    met = keyed.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(nodes.join(met, "node", "left_semi").select(id_slots(F.col("doc_id")).alias("slot"))))
     held = texts.select(id_slots(F.col("doc_id")).alias("slot"), "text").mapInArrow(partial(_set_batches, n=words, wanted=wanted), "node long, shingles array<long>")
-    sets = stored(held.join(keyed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    reach = lambda shared, x, y: shared >= (x + y - shared) * similarity - 1e-9
+    sets = stored(held.join(met, "node", "left_semi").dropDuplicates(["node"]))
+    reach = partial(_reach, similarity=similarity)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return stored(pairs.join(a, "a").join(b, "b").where(reach(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"))
 
     near_hub = keyed.where((F.col("node") != F.col("hub")) & reach(F.least("size", "hub_size"), F.col("size"), F.col("hub_size")))
-    roots = stored(connected_components(verified(near_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = lambda: roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = stored(connected_components(verified(_stars(close))))
+    more = verified(_still_apart(near_hub.select(*pair("node", "hub")).union(close).distinct(), roots))
+    if not more.isEmpty():
+        roots = stored(connected_components(more.union(links())))
 
     # buckets with several groups: their members but the hub meet again by finer keys
     members = _rooted(keyed, roots)
     mixed_up = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     apart = stored(members.where("node <> hub").join(mixed_up, "key").groupBy("node", "size", "root").agg(F.mode("hub").alias("hub")))
     finer = stored(_finer_keys(apart, sets, similarity))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    links = lambda: roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     first = finer.groupBy("key").agg(F.min(F.struct("root", "node", "size")).alias("f")).select("key", F.col("f.node").alias("hub"), F.col("f.root").alias("hub_root"), F.col("f.size").alias("hub_size"))
     near_first = finer.join(first, "key").where((F.col("root") != F.col("hub_root")) & reach(F.least("size", "hub_size"), F.col("size"), F.col("hub_size")))
     more = verified(near_first.select(*pair("node", "hub")).distinct())
@@ -193,11 +251,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     rest = _rooted(finer.drop("root"), roots)
     major = rest.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("groups")).where("groups > 1").select("key", "major")
     rest = rest.join(major, "key").withColumn("in_major", F.col("root") == F.col("major")).select("key", "role", "node", "size", "place", "root", "in_major")
-    rest = stored(rest)
-    earlier = rest.groupBy("node").agg(F.collect_list(F.struct("place", "key")).alias("all_keys"))
-    tallies = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_tally_batches, "node long, tally array<int>")
-    before = F.transform(F.filter("all_keys", lambda k: k["place"] < F.col("place")), lambda k: k["key"])
-    rest = stored(rest.join(earlier, "node").join(tallies, "node").withColumn("before", before).drop("all_keys"))
+    rest = stored(_with_bounds(stored(rest), sets))
     side = lambda df, a, role="role": df.select("key", F.expr(role).alias("role"), *[F.col(c).alias(f"{a}_{c}") for c in ("node", "size", "place", "root", "in_major", "tally", "before")])
     differ = F.col("a_root") != F.col("b_root")
     # two members are compared at the first key that they share: what stands before it is not shared, and class by class they share the lesser number at most

@@ -6,7 +6,7 @@ fetches what the table has there and checks the complete distance. If two finger
 differ in at most ``d`` bits, one of ``m`` segments differs in at most ``d // m``, so the
 balls miss nothing.
 
-Near duplicates by shingle similarity, which two bits of 64 cannot tell, are in ``neardup``.
+``neardup`` searches sets of shingles by it, for near duplicates by their similarity.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import connected_components
-from .neardup import drop_near_duplicates, near_duplicate_groups
-
-__all__ = ["drop_near_duplicates", "fingerprints", "hamming_links", "near_duplicate_groups", "simhash_components"]
 
 #: Segments of 32 bits.
 SEGMENT_BITS = 32

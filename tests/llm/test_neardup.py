@@ -184,6 +184,29 @@ def test_crowd_below_the_limit_costs_no_pair_each(spark, monkeypatch):
     assert (met or 0) < 20 * len(texts)
 
 
+def test_sets_are_searched_by_simhash(spark, monkeypatch):
+    """Sets meet the least set of their own fingerprint, and those of fingerprints that differ in up to two bits; only similar sets are linked."""
+    rng = random.Random(21)
+    texts = {100 * g: [f"w{rng.randrange(5000)}" for _ in range(400)] for g in range(8)}
+    texts |= {g + k: [*texts[g][:-k], *[f"end{g}"] * k] for g in list(texts) for k in (1, 2, 3)}
+    texts |= {9000 + k: [f"a{k}", *("b c d e f g h".split())] for k in range(6)}
+    found, links, search, hamming = [], [], neardup._fingerprint_pairs, neardup.hamming_links
+    monkeypatch.setattr(neardup, "_fingerprint_pairs", lambda *a: found.append(search(*a)) or found[-1])
+    monkeypatch.setattr(neardup, "hamming_links", lambda *a: links.append(hamming(*a)) or links[-1])
+    rows = [(k, " ".join(w)) for k, w in texts.items()]
+    got = {r["doc_id"]: r["group_id"] for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: neardup.shingles(t.encode()) for k, t in rows}
+    prints = {neardup.set_id(s): neardup.set_fingerprint(s) for s in sets.values()}
+    size = {neardup.set_id(s): len(s) for s in sets.values()}
+    able = lambda a, b: min(size[a], size[b]) >= 0.8 * max(size[a], size[b])
+    least = {f: min(n for n in prints if prints[n] == f) for f in prints.values()}
+    bits = lambda a, b: ((prints[a] ^ prints[b]) % (1 << 64)).bit_count()
+    close = {(a, b) for a, b in itertools.combinations(sorted(prints), 2) if able(a, b) and least[prints[a]] == a and (not bits(a, b) or bits(a, b) <= 2 and least[prints[b]] == b)}
+    assert close and {tuple(r) for r in found[0].collect()} == close and len(links) == 1
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 0.8 * len(set(sets[a].tolist()) | set(sets[b].tolist()))]
+    assert got == slow_components(list(sets), alike)
+
+
 def test_long_text(spark):
     text = " ".join(f"w{i % 99991}" for i in range(700_000))  # about 5 MB
     frame = spark.createDataFrame([(1, text), (2, text + " and more"), (3, "short")], "doc_id long, text string")
