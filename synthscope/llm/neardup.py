@@ -195,11 +195,11 @@ def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _with_bounds(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Members (key, role, node, place, ...) with what bounds the number of shingles that two have in common: the keys
-    before this one, and the tally."""
+    before this one, and the tally. Both are wide, so the tables are merged; no relation of them goes through the driver."""
     earlier = rest.groupBy("node").agg(F.collect_list(F.struct("place", "key")).alias("all_keys"))
     tallies = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_tally_batches, "node long, tally array<int>")
     before = F.transform(F.filter("all_keys", lambda k: k["place"] < F.col("place")), lambda k: k["key"])
-    return rest.join(earlier, "node").join(tallies, "node").withColumn("before", before).drop("all_keys")
+    return rest.join(earlier.hint("merge"), "node").join(tallies.hint("merge"), "node").withColumn("before", before).drop("all_keys")
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return stored(pairs.join(a, "a").join(b, "b").where(reach(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"))
+        return stored(pairs.join(a, "a").join(b.hint("merge"), "b").where(reach(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"))
 
     near_hub = keyed.where((F.col("node") != F.col("hub")) & reach(F.least("size", "hub_size"), F.col("size"), F.col("hub_size")))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -257,7 +257,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     # two members are compared at the first key that they share: what stands before it is not shared, and class by class they share the lesser number at most
     at_most = F.aggregate(F.zip_with("a_tally", "b_tally", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
     able = reach(F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")), F.col("a_size"), F.col("b_size")) & ~F.arrays_overlap("a_before", "b_before") & reach(at_most, F.col("a_size"), F.col("b_size"))
-    met = side(rest.where("not in_major"), "a").join(side(rest, "b", "case role when 1 then 2 when 2 then 1 else 0 end"), ["key", "role"]).where(differ & able)
+    met = side(rest.where("not in_major"), "a").join(side(rest, "b", "case role when 1 then 2 when 2 then 1 else 0 end").hint("merge"), ["key", "role"]).where(differ & able)
     more = verified(met.select(*pair("a_node", "b_node")).distinct())
     if not more.isEmpty():
         roots = stored(connected_components(more.union(links())))

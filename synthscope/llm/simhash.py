@@ -105,7 +105,7 @@ def candidates(prints: DataFrame, node: str, words: list[str], radius: int, dens
     around = [F.transform(ball, _differing(i, p)) for i, p in enumerate(parts)]
     probes = prints.select(F.col(node).alias("a"), F.explode(F.concat(*around)).alias("k")).select("a", "k.seg", "k.val")
     meets = F.col("b") > F.col("a") if keep is None else (F.col("b") > F.col("a")) & keep
-    p, e = probes.alias("p"), entries.alias("e")
+    p, e = probes.alias("p").hint("merge"), entries.alias("e")  # by the size of ``prints`` Spark would broadcast all balls
     hits = stored(p.join(e, (F.col("p.seg") == F.col("e.seg")) & (F.col("p.val") == F.col("e.val")) & (F.col("b").isNull() | meets)).select("p.seg", "p.val", "a", "b"))
     return hits.where("b is not null").select("a", "b").distinct(), hits.where("b is null").select("seg", "val", F.col("a").alias("node")), table
 

@@ -207,6 +207,34 @@ def test_sets_are_searched_by_simhash(spark, monkeypatch):
     assert got == slow_components(list(sets), alike)
 
 
+def broadcasts(spark, job):
+    """What ``job`` gives, and (rows, keys) of all relations that went through the driver meanwhile."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    items = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    since = max((run.executionId() for run in items(store.executionsList())), default=-1)
+    result = job()
+    for run in items(store.executionsList()):
+        if run.executionId() > since:
+            values = store.executionMetrics(run.executionId())
+            for node in items(store.planGraph(run.executionId()).allNodes()):
+                if node.name() == "BroadcastExchange":
+                    of = {m.name(): values.apply(m.accumulatorId()) for m in items(node.metrics()) if values.contains(m.accumulatorId())}
+                    out.append((int(of.get("number of output rows", "0").replace(",", "")), node.desc().count("input[")))
+    return result, out
+
+
+def test_no_wide_or_exploded_rows_go_through_the_driver(spark):
+    """Members of finer buckets with their keys and tallies, and the balls around fingerprints, are merged; both were broadcast before."""
+    rng = random.Random(14)
+    rows = []
+    for g in range(30):
+        parts = [[[f"w{rng.randrange(10**6)}" for _ in range(12)] for _ in range(4)] for _ in range(20)]
+        rows += [(100 * g + k, " ".join(w for p in parts for w in p[rng.randrange(1, 4) if rng.random() < 0.08 else 0])) for k in range(40)]
+    groups, sent = broadcasts(spark, lambda: neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(groups) == len(rows) and sent  # those with two keys: by segment and value, by key and role
+    assert max((n for n, keys in sent if keys == 2), default=0) < 4 * len(rows)
+
+
 def test_long_text(spark):
     text = " ".join(f"w{i % 99991}" for i in range(700_000))  # about 5 MB
     frame = spark.createDataFrame([(1, text), (2, text + " and more"), (3, "short")], "doc_id long, text string")
