@@ -3,7 +3,7 @@
 The reference is cut into cells of like rows. A cell has a box - ends of each number, and each
 category's value if all its rows share it - and no row in it is nearer to a query than its box. A query
 first meets its nearest cell, and then only the cells whose boxes are no farther than its k-th
-neighbour there. Categories are compared by a 64-bit hash of their text.
+neighbour there; both are found down the tree of cuts, whose nodes have boxes too, so few boxes are looked at. Categories are compared by a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from ..sources.io import kept
 
 #: Reference rows of a cell, about, and cells at most; rows of the sample that says where cells are cut; queries that meet a cell in one task, about; pairs whose distances a task holds at once.
 CELL_ROWS, CELLS, SAMPLE, CHUNK_ROWS, BLOCK_PAIRS = 512, 4_096, 20_000, 2_048, 2_000_000
+#: Pairs whose distances are computed at once: as many as stay in a core's cache.
+TILE_PAIRS = 1 << 16
 #: Bounds are lowered by this share before they are compared with distances, which may be rounded otherwise.
 SLACK = 1e-9
-FOUND = "id long, d2 array<double>, near array<long>"
 
 
 def _arrays(table: pa.Table | pa.RecordBatch, n_num: int, n_cat: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +94,18 @@ class Cells:
 
     def cell_of(self, num: np.ndarray, cat: np.ndarray, n: int) -> np.ndarray:
         """The cell of each of n rows."""
-        out, open_ = np.zeros(n, np.int64), [(0, np.arange(n))]
-        while open_:
-            at, own = open_.pop()
-            node = self.nodes[at]
-            if not isinstance(node, tuple):
-                out[own] = node
-                continue
-            column, value, left, right = node
-            goes = num[column, own] <= value if column < self.n_num else cat[column - self.n_num, own] == value
-            open_ += [(to, part) for to, part in ((left, own[goes]), (right, own[~goes])) if len(part)]
-        return out
+        split = [isinstance(x, tuple) for x in self.nodes]
+        column, left, right = (np.array([x[i] if ok else -1 for x, ok in zip(self.nodes, split, strict=True)]) for i in (0, 2, 3))
+        value = np.array([float(x[1]) if ok and x[0] < self.n_num else 0.0 for x, ok in zip(self.nodes, split, strict=True)])
+        category = np.array([x[1] if ok and x[0] >= self.n_num else 0 for x, ok in zip(self.nodes, split, strict=True)], np.int64)
+        every, at = np.arange(n), np.zeros(n, int)
+        while len(inner := every[column[at] >= 0]):
+            j, node = column[at[inner]], at[inner]
+            number, goes = j < self.n_num, np.zeros(len(inner), bool)
+            goes[number] = num[j[number], inner[number]] <= value[node[number]]
+            goes[~number] = cat[j[~number] - self.n_num, inner[~number]] == category[node[~number]]
+            at[inner] = np.where(goes, left[node], right[node])
+        return np.array([-1 if ok else x for x, ok in zip(self.nodes, split, strict=True)])[at]
 
     def boxed(self, rows: list) -> Cells:
         """With the boxes of all rows: a row a cell of (cell, rows, ends of each column)."""
@@ -121,14 +123,78 @@ class Cells:
 
     def bounds(self, num: np.ndarray, cat: np.ndarray, n: int) -> np.ndarray:
         """Least squared distance of each of n rows to each cell's box; infinite for an empty cell."""
-        out = np.zeros((n, self.count))
-        for j in range(self.n_num):
-            x = num[j][:, None]
-            gap = np.maximum(np.maximum(self.low[j] - x, x - self.high[j]), 0.0)
-            out += np.where(self.rows > 0, gap, 0.0) ** 2
-        for j in range(self.n_cat):
-            out += 2.0 * (self.same[j] & (cat[j][:, None] != self.only[j]))
-        return np.where(self.rows > 0, out * (1 - SLACK), np.inf)
+        tree = self.tree()
+        leaves = np.flatnonzero(tree.cell >= 0)
+        every = leaves[np.argsort(tree.cell[leaves])]
+        return tree.bounds(num, cat, np.repeat(np.arange(n), len(every)), np.tile(every, n)).reshape(n, len(every))
+
+    def tree(self) -> Tree:
+        """The nodes with their boxes, each of which spans those of its cells."""
+        cell = np.array([-1 if isinstance(x, tuple) else x for x in self.nodes])
+        left, right = (np.array([x[i] if isinstance(x, tuple) else -1 for x in self.nodes]) for i in (2, 3))
+        depth, n, leaf = np.zeros(len(cell), int), len(cell), cell >= 0
+        for at in np.flatnonzero(~leaf):  # parents come before their children
+            depth[left[at]] = depth[right[at]] = depth[at] + 1
+        low, high = np.full((self.n_num, n), np.inf), np.full((self.n_num, n), -np.inf)
+        same, only, filled = np.zeros((self.n_cat, n), bool), np.zeros((self.n_cat, n), np.int64), np.zeros(n, bool)
+        low[:, leaf], high[:, leaf], same[:, leaf], only[:, leaf], filled[leaf] = self.low[:, cell[leaf]], self.high[:, cell[leaf]], self.same[:, cell[leaf]], self.only[:, cell[leaf]], self.rows[cell[leaf]] > 0
+        for level in range(depth.max() - 1, -1, -1):
+            at = np.flatnonzero((depth == level) & ~leaf)
+            a, b = left[at], right[at]
+            low[:, at], high[:, at], filled[at] = np.minimum(low[:, a], low[:, b]), np.maximum(high[:, a], high[:, b]), filled[a] | filled[b]
+            same[:, at] = np.where(filled[a] & filled[b], same[:, a] & same[:, b] & (only[:, a] == only[:, b]), np.where(filled[a], same[:, a], same[:, b]))
+            only[:, at] = np.where(filled[a], only[:, a], only[:, b])
+        return Tree(cell, left, right, low, high, same, only, filled)
+
+
+@dataclass
+class Tree:
+    """Nodes of ``Cells`` as arrays: number of the cell (-1: none), children, box, and whether any row is in it."""
+
+    cell: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    same: np.ndarray
+    only: np.ndarray
+    filled: np.ndarray
+
+    def bounds(self, num: np.ndarray, cat: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Least squared distance of row q[i] to the box of node at[i]; infinite for an empty node. A child's is never below its parent's."""
+        out = np.zeros(len(q))
+        for x, low, high in zip(num, self.low, self.high, strict=True):
+            v = x[q]
+            gap = np.maximum(np.maximum(low[at] - v, v - high[at]), 0.0)
+            out += gap * gap
+        for x, same, only in zip(cat, self.same, self.only, strict=True):
+            out += 2.0 * (same[at] & (x[q] != only[at]))
+        return np.where(self.filled[at], out * (1 - SLACK), np.inf)
+
+    def nearby(self, num: np.ndarray, cat: np.ndarray, n: int) -> np.ndarray:
+        """For each of n rows the least squared distance to the box of a cell near it: down the tree, always to the nearer child."""
+        every, at = np.arange(n), np.zeros(n, int)
+        while len(inner := every[self.cell[at] < 0]):
+            a, b = self.left[at[inner]], self.right[at[inner]]
+            at[inner] = np.where(self.bounds(num, cat, inner, b) < self.bounds(num, cat, inner, a), b, a)
+        return self.bounds(num, cat, every, at)
+
+    def within(self, num: np.ndarray, cat: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row, cell) of all cells whose boxes are no farther than the row's limit, by row, the nearest first; None
+        if more than one row's pairs have to be held at once and are too many. Nodes beyond the limit are not opened."""
+        q, at, found = np.arange(len(limit)), np.zeros(len(limit), int), []
+        while len(q):
+            bound = self.bounds(num, cat, q, at)
+            near = (bound <= limit[q]) & np.isfinite(bound)
+            leaf = self.cell[at] >= 0
+            found.append((q[near & leaf], self.cell[at[near & leaf]], bound[near & leaf]))
+            q, at = q[near & ~leaf], at[near & ~leaf]
+            if len(limit) > 1 and 2 * len(q) + sum(len(f[0]) for f in found) > BLOCK_PAIRS:
+                return None
+            q, at = np.concatenate([q, q]), np.concatenate([self.left[at], self.right[at]])
+        r, c, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((c, bound, r))
+        return r[order], c[order]
 
 
 def _with_cell(batches, cells: Cells):
@@ -149,40 +215,89 @@ def _first_cells(bound: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return first & np.isfinite(bound)
 
 
-def _visits(batches, cells: Cells, k: int, parts: np.ndarray | None, again: bool):
-    """Each query once for every cell that it has to meet: its nearest, or (``again``) the others within ``tau``."""
+def _met(cells: Cells, tree: Tree, num: np.ndarray, cat: np.ndarray, n: int, k: int, tau: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, cell) of the cells that each of n rows meets first, or of the others within ``tau``; None if there are too many at once."""
+    found = tree.within(num, cat, tree.nearby(num, cat, n) if tau is None else tau)
+    if found is None:
+        return None
+    r, c = found
+    first = np.ones(len(r), bool)
+    first[1:] = r[1:] != r[:-1]  # the nearest cell, which is within any limit
+    few = r[first & (cells.rows[c] < k)]
+    more_r, more_c, step = [], [], max(1, BLOCK_PAIRS // max(cells.count, 1))
+    for own in (few[i : i + step] for i in range(0, len(few), step)):  # the nearest cell holds too few rows
+        at, more = np.nonzero(_first_cells(cells.bounds(num[:, own], cat[:, own], len(own)), cells.rows, k))
+        more_r, more_c = [*more_r, own[at]], [*more_c, more]
+    more_r, more_c = (np.concatenate([np.zeros(0, int), *x]) for x in (more_r, more_c))
+    if tau is None:
+        return np.concatenate([r[first & ~np.isin(r, few)], more_r]), np.concatenate([c[first & ~np.isin(r, few)], more_c])
+    rest = ~first & ~np.isin(r * cells.count + c, more_r * cells.count + more_c)
+    return r[rest], c[rest]
+
+
+def _meetings(batches, cells: Cells, k: int, again: bool):
+    """Pieces of the batches with (row, cell) of what they have to meet: their nearest cells, or (``again``) the others within ``tau``."""
+    tree, step = cells.tree(), BLOCK_PAIRS
     for whole in batches:
-        for at in range(0, whole.num_rows, step := max(1, BLOCK_PAIRS // max(cells.count, 1))):
+        at = 0
+        while at < whole.num_rows:
             b = whole.slice(at, step)
-            bound = cells.bounds(*_arrays(b, cells.n_num, cells.n_cat), b.num_rows)
-            first = _first_cells(bound, cells.rows, k)
-            meets = first if not again else ~first & (bound <= b.column("tau").to_numpy(zero_copy_only=False)[:, None]) & np.isfinite(bound)
-            r, c = np.nonzero(meets)
-            part = b.column("id").to_numpy()[r] % (parts[c] if parts is not None else 1)
-            most = max(1, BLOCK_PAIRS // b.num_columns)  # rows of many columns that meet many cells go out a piece at a time
-            for lot in (slice(i, i + most) for i in range(0, len(r), most)):
-                rows = b.take(pa.array(r[lot]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c[lot], pa.int32()), pa.array(part[lot], pa.int32())], [*rows.schema.names, "cell", "part"])
+            met = _met(cells, tree, *_arrays(b, cells.n_num, cells.n_cat), b.num_rows, k, b.column("tau").to_numpy(zero_copy_only=False) if again else None)
+            if met is None:
+                step = b.num_rows // 2
+                continue
+            at += b.num_rows
+            yield b, *met
+
+
+def _visits(batches, cells: Cells, k: int, parts: np.ndarray | None, again: bool):
+    """Each query once for every cell that it has to meet: its nearest, or (``again``) the others within ``tau``."""
+    for b, r, c in _meetings(batches, cells, k, again):
+        part = b.column("id").to_numpy()[r] % (parts[c] if parts is not None else 1)
+        most = max(1, BLOCK_PAIRS // b.num_columns)  # rows of many columns that meet many cells go out a piece at a time
+        for lot in (slice(i, i + most) for i in range(0, len(r), most)):
+            rows = b.take(pa.array(r[lot]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c[lot], pa.int32()), pa.array(part[lot], pa.int32())], [*rows.schema.names, "cell", "part"])
+
+
+def _met_counts(batches, cells: Cells, k: int, again: bool):
+    """(cell, n): how many queries of a task meet each cell."""
+    n = np.zeros(cells.count, np.int64)
+    for _, _, c in _meetings(batches, cells, k, again):
+        n += np.bincount(c, minlength=len(n))
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["cell", "n"])
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
 
 
 def _nearest(query: pa.Table, ref: pa.Table, k: int, n_num: int, n_cat: int) -> pa.Table:
-    """The k nearest reference rows of a cell for each query row, ties by id."""
+    """The query rows with the k nearest reference rows of a cell, ties by id; of those with ``tau`` only the ones that have a row so near."""
     ref = ref.sort_by("id")
-    ids, rid, (qn, qc), (rn, rc) = query.column("id").to_numpy(), ref.column("id").to_numpy(), _arrays(query, n_num, n_cat), _arrays(ref, n_num, n_cat)
-    dist, near = np.zeros((len(ids), min(k, len(rid)))), np.zeros((len(ids), min(k, len(rid))), np.int64)
-    step = max(1, BLOCK_PAIRS // max(len(rid), 1))
-    for at in range(0, len(ids), step):
-        total = np.zeros((min(step, len(ids) - at), len(rid)))
+    rid, n, (qn, qc), (rn, rc) = ref.column("id").to_numpy(), query.num_rows, _arrays(query, n_num, n_cat), _arrays(ref, n_num, n_cat)
+    dist, near = np.zeros((n, min(k, len(rid)))), np.zeros((n, min(k, len(rid))), np.int64)
+    step = max(1, TILE_PAIRS // max(len(rid), 1))
+    total, gap = np.zeros((min(step, n), len(rid))), np.zeros((min(step, n), len(rid)))
+    for at in range(0, n, step):
+        t, g = total[: n - at], gap[: n - at]
+        t.fill(0.0)
         for i in range(n_num):
-            total += (qn[i, at : at + step, None] - rn[i][None, :]) ** 2
+            np.subtract(qn[i, at : at + step, None], rn[i][None, :], out=g)
+            np.multiply(g, g, out=g)
+            np.add(t, g, out=t)
         for i in range(n_cat):
-            total += 2.0 * (qc[i, at : at + step, None] != rc[i][None, :])
-        rows = np.arange(len(total))
+            t += 2.0 * (qc[i, at : at + step, None] != rc[i][None, :])
+        rows = np.arange(len(t))
         for j in range(dist.shape[1]):
-            place = total.argmin(axis=1)
-            dist[at : at + step, j], near[at : at + step, j] = total[rows, place], rid[place]
-            total[rows, place] = np.inf
-    return pa.table({"id": pa.array(ids), "d2": pa.array(dist.tolist(), pa.list_(pa.float64())), "near": pa.array(near.tolist(), pa.list_(pa.int64()))})
+            place = t.argmin(axis=1)
+            dist[at : at + step, j], near[at : at + step, j] = t[rows, place], rid[place]
+            t[rows, place] = np.inf
+    out = query.drop_columns(["cell", "part"])
+    if "tau" in out.column_names:
+        won = np.flatnonzero(dist[:, 0] <= out.column("tau").to_numpy()) if dist.shape[1] else np.zeros(0, int)
+        out, dist, near = out.take(pa.array(won)), dist[won], near[won]
+    return out.append_column("d2", _lists(dist)).append_column("near", _lists(near))
 
 
 @dataclass
@@ -219,19 +334,20 @@ class Search:
     def _dealt(self, query: DataFrame, again: bool) -> tuple[DataFrame, np.ndarray]:
         """The visits, and the number of parts of each cell."""
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema) + ", cell int, part int"
-        plan = lambda parts: query.mapInArrow(partial(_visits, cells=self.cells, k=self.k, parts=parts, again=again), schema)
+        counts = query.mapInArrow(partial(_met_counts, cells=self.cells, k=self.k, again=again), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         parts = np.ones(self.cells.count, np.int64)
-        for r in plan(None).groupBy("cell").count().collect():  # a row a cell
-            parts[r["cell"]] = -(-r["count"] // self.chunk_rows)
-        return plan(parts), parts
+        for r in counts.collect():  # a row a cell
+            parts[r["cell"]] = -(-r["n"] // self.chunk_rows)
+        return query.mapInArrow(partial(_visits, cells=self.cells, k=self.k, parts=parts, again=again), schema), parts
 
     def found(self, query: DataFrame, again: bool) -> DataFrame:
-        """(id, d2, near) of every query and cell that meet."""
+        """``query`` with (d2, near) of every cell that it meets; ``again`` only where a row is within ``tau``."""
         met, parts = self._dealt(query, again)
         parts = F.lit(parts.tolist())
         ref = self.ref.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")).cast("int") - 1)))
         n_num = sum(c.startswith("n") for c in self.names)
-        return met.groupBy("cell", "part").cogroup(ref.groupBy("cell", "part")).applyInArrow(partial(_nearest, k=self.k, n_num=n_num, n_cat=len(self.names) - n_num), FOUND)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema) + ", d2 array<double>, near array<long>"
+        return met.groupBy("cell", "part").cogroup(ref.groupBy("cell", "part")).applyInArrow(partial(_nearest, k=self.k, n_num=n_num, n_cat=len(self.names) - n_num), schema)
 
 
 def _columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], id_col: str) -> DataFrame:
@@ -251,21 +367,35 @@ def nearest(query: DataFrame, ref: DataFrame | Search, numeric: Sequence[str], c
     a cell, both bounded. Where boxes tell nothing (very many columns), every query meets every cell
     and the work is that of all pairs. Null numbers and categories are the caller's to fill. An empty
     reference is an error; an empty query gives no rows; queries of one id are taken for the same row.
-    Equal queries are searched once, under the least of their ids. ``ref`` may be a ``reference`` of the same columns, whose k then holds.
+    Equal queries are searched once. ``ref`` may be a ``reference`` of the same columns, whose k then holds.
     The result is stored: whatever is asked of it, rows are searched once.
     """
     search = ref if isinstance(ref, Search) else reference(ref, numeric, categorical, k, ref_id, cell_rows, chunk_rows)
     k = search.k
     whole = kept(_columns(query, numeric, categorical, query_id))
-    q = kept(whole.groupBy(*search.names).agg(F.min("id").alias("id"))) if search.names else whole
-    first = kept(search.found(q, False).groupBy("id").agg(*_best(k)))
-    tau = first.select("id", F.coalesce(F.get("d2", k - 1), F.lit(float("inf"))).alias("tau"))
-    second = search.found(q.join(tau, "id"), True)
-    found = first.unionByName(second).groupBy("id").agg(*_best(k))
-    if search.names:
+    once = whole.groupBy("id").count().where("count > 1").isEmpty()
+    if not search.names:
+        q = whole.distinct()
+    elif once:
+        q = kept(whole.groupBy(*search.names).agg(F.min("id").alias("id")))
+    else:
+        q = kept(whole.select(*search.names).distinct().withColumn("id", F.monotonically_increasing_id()))
+    first = search.found(q, False)
+    if search.cells.rows[search.cells.rows > 0].min() < k:  # then a query may meet several cells first
+        first = first.groupBy("id", *search.names).agg(*_best(k))
+    first = kept(first)
+    tau = F.coalesce(F.get("d2", k - 1), F.lit(float("inf")))
+    second = search.found(first.select("id", *search.names, tau.alias("tau")), True).groupBy("id").agg(*_best(k))
+    pairs = lambda d, n: F.arrays_zip(F.col(d).alias("d"), F.col(n).alias("n"))
+    both = F.slice(F.array_sort(F.concat(pairs("d2", "near"), pairs("__d", "__n"))), 1, k)
+    pick = lambda c, x: F.when(F.col("__d").isNull(), F.col(c)).otherwise(F.transform(both, lambda p: p[x])).alias(c)
+    others = second.select("id", F.col("d2").alias("__d"), F.col("near").alias("__n"))  # of few queries: those with a row as near in another cell
+    found = first.select("id", "d2", "near").join(others, "id", "left").select("id", pick("d2", "d"), pick("near", "n"))
+    if search.names and not (once and q.count() == whole.count()):
         same = reduce(and_, [F.col(f"w.{c}").eqNullSafe(F.col(f"q.{c}")) for c in search.names])
-        asked = whole.alias("w").join(q.alias("q"), same).select("w.id", F.col("q.id").alias("least")).distinct()
-        found = asked.join(found.withColumnRenamed("id", "least"), "least").groupBy("id").agg(*_best(k))
+        asked = whole.alias("w").join(q.alias("q"), same).select("w.id", F.col("q.id").alias("as"))
+        found = asked.join(found.withColumnRenamed("id", "as"), "as")
+        found = found if once else found.groupBy("id").agg(*_best(k))
     return kept(found.select("id", F.transform("d2", F.sqrt).alias("d"), "near"))
 
 

@@ -75,9 +75,10 @@ def train_test_split(df: DataFrame, frac: float, keys: Sequence[str], y: str | N
 
 
 def member_candidates(train: DataFrame, holdout: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Rows with ``member``: from the lower half of train by hash, and as many from holdout."""
+    """Rows with ``member``: from the lower half of train by hash, and as many from holdout. They are as many as half a table, so they are ranked range by range."""
     n = min(max(1, train.count() // 2), holdout.count())
-    return smallest_hashes(train, n, keys, seed).withColumn("member", F.lit(1)).unionByName(smallest_hashes(holdout, n, keys, seed).withColumn("member", F.lit(0)))
+    lower = lambda d, member: hash_ranked(d, keys, seed).where(F.col("__r") <= n).drop("__r", "__n").withColumn("member", F.lit(member))
+    return lower(train, 1).unionByName(lower(holdout, 0))
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], replace: bool | None = None, seed: int = 0) -> DataFrame:

@@ -66,7 +66,7 @@ def evaluate_cell(synth: DataFrame, real: DataFrame, tasks: Sequence[tuple[str,
         return {k: row.get(n) for k, n in PRIVACY.items()}
 
     part(tuple(PRIVACY), leaks)
-    utility.together(parts)
+    utility.together(parts[-1:] + parts[:-1], len(parts))  # the longest first
     value = lambda k: F.lit(found[k]).cast("double").alias(k)
     names = [t[0] for t in tasks]
     auc, f1 = (F.lit(found.get(f"{n}_synth_{s}")).cast("double") for n, s in ((names[0] if names else "", "roc_auc"), (names[-1] if names else "", "macro_f1")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions.scalars import clean, min_max
 from ..operators.knn import Search, nearest, reference
 from ..operators.split import capped, member_candidates, random_rows, train_test_split
 from ..sources.io import kept
+from .utility import together
 
 TINY = 1e-12
 MISSING = "__MISSING__"
@@ -152,7 +154,8 @@ def membership_inference(train: DataFrame, holdout: DataFrame, synth: DataFrame,
 def privacy_metrics(real: DataFrame, synth: DataFrame, id_col: str, holdout: DataFrame | None = None, frac: float = 0.3, drop: Sequence[str] = (), cap: int | None = None, seed: int = 0) -> DataFrame:
     """One row with all of them; without a holdout, ``frac`` of the real rows are held out by hash.
 
-    Tables are computed and stored once, and each synthetic row is looked for among the training rows once for all metrics.
+    Tables are computed and stored once, and each synthetic row is looked for among the training rows once for all metrics. The
+    metrics' searches run side by side.
     """
     synth = kept(synth)
     if holdout is not None:
@@ -161,6 +164,9 @@ def privacy_metrics(real: DataFrame, synth: DataFrame, id_col: str, holdout: Dat
         parts = kept(train_test_split(real, frac, [id_col], seed=seed))
         train, holdout = parts.where("not is_test").drop("is_test"), parts.where("is_test").drop("is_test")
     args = dict(drop=drop, cap=cap, seed=seed, closest=Closest.of(train, synth, id_col, drop, cap, seed))
-    out = distance_to_closest_record(train, synth, id_col, **args).crossJoin(dcr_baseline_protection(train, synth, id_col, **args)).crossJoin(dcr_overfitting_protection(train, holdout, synth, id_col, **args))
+    jobs = [
+        lambda: distance_to_closest_record(train, synth, id_col, **args), lambda: dcr_baseline_protection(train, synth, id_col, **args),
+        lambda: dcr_overfitting_protection(train, holdout, synth, id_col, **args), lambda: membership_inference(train, holdout, synth, id_col, **args),
+    ]
     counts = train.agg(F.count("*").alias("n_train")).crossJoin(holdout.agg(F.count("*").alias("n_holdout"))).crossJoin(synth.agg(F.count("*").alias("n_synth")))
-    return out.crossJoin(membership_inference(train, holdout, synth, id_col, **args)).crossJoin(counts)  # single rows
+    return reduce(DataFrame.crossJoin, [*together(jobs), counts])  # single rows

@@ -355,3 +355,51 @@ def test_trajectory_metrics_read_each_table_once(spark, monkeypatch):
     want, sorts, before = [d.first()[0] for d in alone], [], trajectory._with_before
     monkeypatch.setattr(trajectory, "_with_before", lambda *a: sorts.append(1) or before(*a))
     assert list(trajectory.trajectory_metrics(*tables).first()) == pytest.approx(want, nan_ok=True) and len(sorts) == 2
+
+
+def test_visits_open_few_boxes(monkeypatch):
+    """Queries go down the tree of cells: the same visits as from all distances of all boxes, of which few are computed."""
+    rng = np.random.default_rng(5)
+    ref, num = rng.uniform(size=(3, 8_000)), rng.uniform(-0.2, 1.2, size=(3, 600))
+    kind, cat = rng.integers(0, 3, size=(1, 8_000)), rng.integers(0, 4, size=(1, 600))
+    cells = knn.Cells.cut(ref, kind, 250)
+    at = cells.cell_of(ref, kind, 8_000)
+    ends = [{"cell": c, "rows": int((at == c).sum()), **{f"{e}_{n}{j}": f(x[j][at == c]) for n, x in (("n", ref), ("c", kind)) for j in range(len(x)) for e, f in (("low", min), ("high", max))}} for c in range(cells.count)]
+    cells.boxed(ends)
+    bound, tau = cells.bounds(num, cat, 600), np.full(600, 0.01)
+    first = knn._first_cells(bound, cells.rows, 1)
+    tau = np.maximum(tau, bound.min(axis=1))
+    seen, whole = [], knn.Tree.bounds
+    monkeypatch.setattr(knn.Tree, "bounds", lambda self, num, cat, q, at: seen.append(len(q)) or whole(self, num, cat, q, at))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), *map(pa.array, num), pa.array(cat[0]), pa.array(tau)], ["id", "n0", "n1", "n2", "c0", "tau"])
+    for again, want in ((False, first), (True, ~first & (bound <= tau[:, None]))):
+        got = {(i, c) for b in knn._visits([batch], cells, 1, None, again) for i, c in zip(b.column("id").to_pylist(), b.column("cell").to_pylist(), strict=True)}
+        assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+    assert sum(seen) < 0.4 * 2 * 600 * cells.count
+    monkeypatch.setattr(knn, "BLOCK_PAIRS", 500)
+    assert sum(b.num_rows for b in knn._visits([batch], cells, 1, None, True)) == want.sum()
+
+
+def test_other_cells_send_only_nearer_rows():
+    """A query that meets another cell in vain makes no row to be merged."""
+    query = pa.table({"id": [1, 2], "n0": [0.0, 5.0], "tau": [0.5, 0.5], "cell": pa.array([0, 0], pa.int32()), "part": pa.array([0, 0], pa.int32())})
+    got = knn._nearest(query, pa.table({"id": [7, 8], "n0": [4.5, 9.0]}), 2, 1, 0)
+    assert got.select(["id", "d2", "near"]).to_pylist() == [{"id": 2, "d2": [0.25, 16.0], "near": [7, 8]}]
+
+
+def test_queries_of_one_id_are_one(spark):
+    query = spark.createDataFrame([(1, 0.0), (1, 9.0), (2, 9.0)], "id long, v double")
+    ref = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, v double")
+    got = {r["id"]: (r["d"], r["near"]) for r in knn.nearest(query, ref, ["v"], k=2, cell_rows=2).collect()}
+    assert got == {1: ([0.0, 0.0], [0, 9]), 2: ([0.0, 1.0], [9, 8])}
+
+
+def test_candidates_are_not_one_task(spark):
+    """The members of an attack are the least hashes of either side, without a limit that takes them all to one task."""
+    from synthscope.operators import split
+
+    train, holdout = (spark.range(n, m).withColumn("x", F.col("id") * 2) for n, m in ((0, 100), (200, 240)))
+    got = split.member_candidates(train, holdout, ["id"], 3)
+    want = {(r["id"], m) for d, m in ((train, 1), (holdout, 0)) for r in split.smallest_hashes(d, 40, ["id"], 3).collect()}
+    assert {(r["id"], r["member"]) for r in got.collect()} == want and got.columns == ["id", "x", "member"]
+    assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
