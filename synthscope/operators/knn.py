@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial, reduce
 from operator import and_
 
@@ -26,6 +26,8 @@ from ..sources.io import kept
 CELL_ROWS, CELLS, SAMPLE, CHUNK_ROWS, BLOCK_PAIRS = 512, 4_096, 20_000, 2_048, 2_000_000
 #: Pairs whose distances are computed at once: as many as stay in a core's cache.
 TILE_PAIRS = 1 << 16
+#: Queries from which it is told how many meet each cell, about; no result depends on it.
+COUNTED = 200_000
 #: Bounds are lowered by this share before they are compared with distances, which may be rounded otherwise.
 SLACK = 1e-9
 
@@ -332,12 +334,14 @@ class Search:
         return self._dealt(query, again)[0]
 
     def _dealt(self, query: DataFrame, again: bool) -> tuple[DataFrame, np.ndarray]:
-        """The visits, and the number of parts of each cell."""
+        """The visits, and the number of parts of each cell, by how many of some queries meet it; all queries are dealt."""
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.schema) + ", cell int, part int"
-        counts = query.mapInArrow(partial(_met_counts, cells=self.cells, k=self.k, again=again), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        share = -(-query.count() // COUNTED)
+        some = query.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else query
+        counts = some.mapInArrow(partial(_met_counts, cells=self.cells, k=self.k, again=again), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         parts = np.ones(self.cells.count, np.int64)
         for r in counts.collect():  # a row a cell
-            parts[r["cell"]] = -(-r["n"] // self.chunk_rows)
+            parts[r["cell"]] = -(-r["n"] * share // self.chunk_rows)
         return query.mapInArrow(partial(_visits, cells=self.cells, k=self.k, parts=parts, again=again), schema), parts
 
     def found(self, query: DataFrame, again: bool) -> DataFrame:
@@ -367,11 +371,13 @@ def nearest(query: DataFrame, ref: DataFrame | Search, numeric: Sequence[str], c
     a cell, both bounded. Where boxes tell nothing (very many columns), every query meets every cell
     and the work is that of all pairs. Null numbers and categories are the caller's to fill. An empty
     reference is an error; an empty query gives no rows; queries of one id are taken for the same row.
-    Equal queries are searched once. ``ref`` may be a ``reference`` of the same columns, whose k then holds.
+    Equal queries are searched once. ``ref`` may be a ``reference`` of the same columns for as many neighbours or more.
     The result is stored: whatever is asked of it, rows are searched once.
     """
     search = ref if isinstance(ref, Search) else reference(ref, numeric, categorical, k, ref_id, cell_rows, chunk_rows)
-    k = search.k
+    if k > search.k:
+        raise ValueError(f"reference rows are kept for {search.k} neighbours only")
+    search = replace(search, k=k)
     whole = kept(_columns(query, numeric, categorical, query_id))
     once = whole.groupBy("id").count().where("count > 1").isEmpty()
     if not search.names:

@@ -101,7 +101,7 @@ def dcr_baseline_protection(train: DataFrame, synth: DataFrame, id_col: str, dro
         random = random_rows(train, n, enc.numeric, enc.categorical, seed).withColumnRenamed("id", id_col)
     median = lambda df, name: quantiles(df.select(_first().alias("d")), ["d"], [0.5]).agg(F.max("q0").alias(name))
     a = median(closest.synth, "synth_median")
-    b = median(enc.nearest(random, closest.train, 2, id_col), "random_median")
+    b = median(enc.nearest(random, closest.train, 1, id_col), "random_median")
     return a.crossJoin(b).withColumn("dcr_baseline_protection", F.when(F.col("random_median") > 0, F.least(F.lit(1.0), F.col("synth_median") / F.col("random_median"))))  # single rows
 
 

@@ -403,3 +403,18 @@ def test_candidates_are_not_one_task(spark):
     want = {(r["id"], m) for d, m in ((train, 1), (holdout, 0)) for r in split.smallest_hashes(d, 40, ["id"], 3).collect()}
     assert {(r["id"], r["member"]) for r in got.collect()} == want and got.columns == ["id", "x", "member"]
     assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_some_queries_tell_the_parts(spark, monkeypatch):
+    """Parts of cells are told from some queries, but all are answered; a reference for two neighbours serves one."""
+    monkeypatch.setattr(knn, "COUNTED", 100)
+    met, counted = knn._met_counts, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(knn, "_met_counts", lambda batches, **k: (counted.add(sum(b.column("n").to_pylist())) or b for b in met(batches, **k)))
+    ref = spark.range(40).select("id", (F.col("id") * 2.0).alias("v"))
+    search = knn.reference(ref, ["v"], k=2, cell_rows=10, chunk_rows=50)
+    got = {r["id"]: (r["d"], r["near"]) for r in knn.nearest(spark.range(1000).select("id", (F.col("id") % 500 + 0.5).alias("v")), search, ["v"], k=1).collect()}
+    assert 0 < counted.value < 500
+    want = lambda v: min((abs(v - 2.0 * i), i) for i in range(40))
+    assert got == {i: ([d], [n]) for i in range(1000) for d, n in [want(i % 500 + 0.5)]}
+    with pytest.raises(ValueError):
+        knn.nearest(ref, search, ["v"], k=3)
